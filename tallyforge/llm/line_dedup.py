@@ -7,7 +7,8 @@ line goes if an earlier one, by document id and line number, is a duplicate of i
 Every variant of a line within the bound is a line with one word less, tagged by the place of the gap; the line
 itself, tagged by each place where a gap could be, stands for the longer lines. All lines that emit an equal
 variant are within one edit of each other, so each is compared with the earliest of them alone, on its words.
-Variants are emitted only for lines that share a half with another line, which any two lines within one edit do.
+Any two lines within one edit share a half, and the edit is in the other: variants are emitted only for lines
+that share a half with another line, and only for gaps in the half that they don't share.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, cut, if_few, stored
+from tallyforge.llm.common import FEW, blocks, cut, if_few, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
@@ -82,15 +83,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """Hashed keys of the line's deletion neighbourhood: each gap's place with the words left, then each place with all words."""
+def variants(words: list[bytes], head: bool = True, tail: bool = True) -> np.ndarray:
+    """Hashed keys of the line's deletion neighbourhood: each gap's place with the words left, then each place with all words.
+
+    ``head`` and ``tail`` ask for gaps in the first half, the middle included, and in the last.
+    """
     n = len(words)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
     powers = np.cumprod(np.full(n, _BASE, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
     without = sums[:-1] + (sums[-1] - sums[1:]) * _INVERSE
     places = _mixed((np.arange(n + 1, dtype=np.uint64) + np.uint64(1)) * _BASE)
-    return np.concatenate([_mixed(without ^ places[:n]), _mixed(sums[-1] ^ places)])
+    low, high = 0 if head else (n - 1) // 2, n + 1 if tail else n // 2 + 1
+    return np.concatenate([_mixed(without ^ places[:n])[low:high], _mixed(sums[-1] ^ places)[low:high]])
 
 
 def within_one(a: list, b: list) -> bool:
@@ -106,24 +111,29 @@ def within_one(a: list, b: list) -> bool:
 def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, th, line) of each first occurrence in ``lines`` that has an earlier line within one edit; ``docs`` has the texts."""
     first = lines.where("not again and k1 is not null and doc_id is not null")
-    keyed = first.select("doc_id", "th", "line", "h1", "h2", F.explode(F.array(*_HALVES)).alias("key"))
+    halves = F.array(*[F.struct(F.col(k).alias("key"), F.lit(i % 2 == 0).alias("first_half")) for i, k in enumerate(_HALVES)])
+    keyed = first.select("doc_id", "th", "line", "h1", "h2", F.explode(halves).alias("k")).select("*", "k.key", "k.first_half").drop("k")
     shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     near = keyed.join(if_few(shared), "key", "left_semi").groupBy("h1", "h2")
-    near = cut(near.agg(F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("line", "doc_id").alias("line")).drop("h1", "h2"))
-    texts = docs.join(if_few(near), ["doc_id", "th"]).select("doc_id", "th", "line", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
+    place = [F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("line", "doc_id").alias("line")]
+    near = cut(near.agg(*place, F.bool_or(~F.col("first_half")).alias("head"), F.bool_or("first_half").alias("tail")).drop("h1", "h2"))
+    texts = docs.join(if_few(near), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
     texts = cut(texts.distinct())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "words", 1 << 17):
-                keys = [variants(x.encode().split()) for x in part.column("words").to_pylist()]
+                keys = [variants(x.encode().split(), head, tail) for x, head, tail in zip(*(part.column(c).to_pylist() for c in ("words", "head", "tail")))]
                 at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
                 some = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(part.column(c).take(at) for c in ("doc_id", "th", "line"))], names=["key", "doc_id", "th", "line"])
 
-    own = texts.mapInArrow(emit, "key long, doc_id long, th long, line int")
+    own = texts.select("doc_id", "th", "line", "head", "tail", "words").mapInArrow(emit, "key long, doc_id long, th long, line int")
+    lines_of_key = own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line").alias("c"), F.max("line").alias("d"))
+    met = cut(lines_of_key.where("a <> b or c <> d").select("key"))
+    own = own.join(if_few(met), "key", "left_semi")
     place = F.struct("doc_id", "line", "th")
-    earliest = own.groupBy("key").agg(F.min(place).alias("e"), F.count("*").alias("n")).where("n > 1").select("key", "e")
+    earliest = own.groupBy("key").agg(F.min(place).alias("e"))
     pairs = own.join(earliest, "key").where(F.struct("doc_id", "line") > F.struct("e.doc_id", "e.line"))
     pairs = pairs.select("doc_id", "th", "line", *[F.col(f"e.{c}").alias(f"{c}_e") for c in ("doc_id", "th", "line")]).distinct()
     other = texts.select(*[F.col(c).alias(f"{c}_e") for c in ("doc_id", "th", "line", "words")])
@@ -152,7 +162,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     exact = lines.where("not again").join(if_few(repeated), ["h1", "h2"]).where("doc_id is null or doc_id > d")
     gone = exact.select("doc_id", "th", "line").unionByName(lines.where("again").select("doc_id", "th", "line")).unionByName(near_lines(lines, docs))
     gone = cut(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("__gone")))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__gone")
+    few = (gone.agg(F.sum(F.size("__gone") + 1)).first()[0] or 0) <= FEW
+    gone = (F.broadcast(gone) if few else gone).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__gone")
     joined = hashed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns if c != "n_dropped"]
