@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import with_arrow
+from tallyforge.llm.common import cut, if_few, with_arrow
 
 #: Labelled documents of each label that a model learns from, terms of a lexicon, and terms that are sought with misspellings, at most.
 SAMPLE, TERMS, FUZZY_TERMS = 6000, 300, 60
@@ -269,7 +269,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
     if not counts.get(0) or not counts.get(1):
         return None
     share = F.when(F.col("y") == 1, F.lit(sample / counts[1])).otherwise(F.lit(sample / counts[0]))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = if_few(cut(known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     automaton = build_automaton(learn_lexicon(rows))
     seen = _with_features(rows, automaton).select("y", "features").toArrow()
