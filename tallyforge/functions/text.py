@@ -168,5 +168,5 @@ def similarity_bigrams(a: Column, b: Column) -> Column:
 
 def key_list(c: Column) -> Column:
     """The trimmed parts of a separated list, each once by its folded key, the first spelling kept."""
-    parts = F.filter(F.transform(F.split(c, f"[{SEPARATORS}]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, f"[{SEPARATORS}]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(F.exists(done, lambda y: F.lower(y) == F.lower(x)), done).otherwise(F.array_append(done, x)))

@@ -65,10 +65,10 @@ def bind_dimensions(dimensions: DataFrame, segments: DataFrame, scope: list[str]
     axis = F.expr(" or ".join(f"(abs(least(a{c}, b{c}) - least(s{c}, t{c})) <= {tolerance} and abs(greatest(a{c}, b{c}) - greatest(s{c}, t{c})) <= {tolerance} and abs(s{o} - t{o}) <= {tolerance})" for c, o in ("xy", "yx")))
     pairs = dimensions.join(segments, scope).withColumn("rank", F.when(exact, 1).when(axis, 2)).where("rank is not null")
     length = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
-    per_rank = pairs.groupBy(*scope, "dim_id", "value", "rank").agg(F.count("*").alias("n"), F.min(F.struct("seg_id", length.alias("length"))).alias("s"))
-    best = per_rank.groupBy(*scope, "dim_id", "value").agg(F.min(F.struct("rank", "n", "s")).alias("b"))
-    state = F.when(F.col("b.n") > 1, "ambiguous").when(F.abs(F.col("b.s.length") - F.col("value")) > 0.5, "conflict").otherwise("bound")
-    return best.select(*scope, "dim_id", F.col("b.rank").alias("rank"), state.alias("state"), F.when(state != "ambiguous", F.col("b.s.seg_id")).alias("seg_id"))
+    per_rank = pairs.groupBy(*scope, "dim_id", "value", "rank").agg(F.count("*").alias("n"), F.min(F.struct("seg_id", length.alias("length"))).alias("seg"))
+    best = per_rank.groupBy(*scope, "dim_id", "value").agg(F.min(F.struct("rank", "n", "seg")).alias("b"))
+    state = F.when(F.col("b.n") > 1, "ambiguous").when(F.abs(F.col("b.seg.length") - F.col("value")) > 0.5, "conflict").otherwise("bound")
+    return best.select(*scope, "dim_id", F.col("b.rank").alias("rank"), state.alias("state"), F.when(state != "ambiguous", F.col("b.seg.seg_id")).alias("seg_id"))
 
 
 def covered_spans(spans: DataFrame, views: DataFrame, scope: list[str], tolerance: float = 1e-6) -> DataFrame:

@@ -44,7 +44,7 @@ def review_pack(candidates: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def markdown_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """K6: the rows as lines of a Markdown table, nulls as blanks; the header is ``markdown_header``. Ordering is the writer's."""
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\\\|"), F.lit("")) for c in columns]), F.lit(" |")).alias("line"))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\|"), F.lit("")) for c in columns]), F.lit(" |")).alias("line"))
 
 
 def markdown_header(columns: list[str]) -> str:

@@ -68,7 +68,8 @@ def headed_rows(cells: DataFrame, aliases: dict[str, list[str]], required: int =
     marked = cells.where("problem is null").withColumn("field", known[F.lower(F.trim("text"))])
     headers = marked.where("field is not null").groupBy("path", "sheet", F.col("row").alias("head")).agg(F.count("*").alias("n")).where(F.col("n") >= required)
     spans = headers.withColumn("until", F.lead("head").over(Window.partitionBy("path", "sheet").orderBy("head")))
-    columns = marked.where("field is not null").join(spans, (F.col("row") == F.col("head")) & (marked["path"] == spans["path"]) & (marked["sheet"] == spans["sheet"])).select(marked["path"], marked["sheet"], "head", "until", "col", "field")
+    named = marked.where("field is not null").select("path", "sheet", F.col("row").alias("head"), "col", "field")
+    columns = named.join(spans.drop("n"), ["path", "sheet", "head"])
     body = marked.drop("field").join(columns, ["path", "sheet", "col"]).where("row > head and (until is null or row < until)")
     return body.groupBy("path", "sheet", "row").agg(*[F.max(F.when(F.col("field") == f, F.trim("text"))).alias(f) for f in aliases])
 
