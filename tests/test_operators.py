@@ -183,7 +183,7 @@ def test_geometry_operators(spark):
     assert out == {1: (2, "branch"), 2: (0, "no_stem"), 3: (1, "branch")}
     dims = spark.createDataFrame([("s", 1, 0.0, 0.0, 10.0, 0.0, 10.0), ("s", 2, 0.0, 7.0, 10.0, 7.0, 12.0), ("s", 3, 1.0, 1.0, 2.0, 2.0, 1.0)], "s string, dim_id int, ax double, ay double, bx double, by double, value double")
     out = {r["dim_id"]: (r["rank"], r["state"]) for r in geometry.bind_dimensions(dims, segs, ["s"]).collect()}
-    assert out[1] == (1, "bound") and out[2] == (2, "ambiguous") and 3 not in out
+    assert out[1] == (1, "bound") and out[2] == (2, "conflict") and 3 not in out
     box = [("s", 1, 0.0, 0.0, 4.0, 0.0), ("s", 2, 0.0, 3.0, 4.0, 3.0), ("s", 3, 0.0, 0.0, 0.0, 3.0), ("s", 4, 4.0, 0.0, 4.0, 3.1), ("s", 5, 1.0, 1.0, 2.0, 1.0)]
     frames = geometry.rectangles(spark.createDataFrame(box, "s string, id int, x0 double, y0 double, x1 double, y1 double"), ["s"]).collect()
     assert [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in frames] == [(0.0, 0.0, 4.0, 3.0)]
