@@ -25,7 +25,7 @@ from tallyforge.llm.common import cut, if_few, with_arrow
 #: Labelled documents of each label that a model learns from, terms of a lexicon, and terms that are sought with misspellings, at most.
 SAMPLE, TERMS, FUZZY_TERMS = 6000, 300, 60
 #: Letters of the shortest term that is sought with misspellings, and of the stems that stand for all their words.
-FUZZY_LETTERS, STEMS = 5, (4, 5, 6)
+FUZZY_LETTERS, STEMS = 5, (3, 4, 5, 6, 7, 8)
 #: Weights of a hit by kind (misspelt, stem, exact) and of one in quotation.
 KIND_WEIGHT, QUOTED = np.array([0.0, 0.8, 1.0, 1.0]), 0.3
 #: Words around a hit that are its context.
@@ -241,9 +241,10 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> list[tuple[str, bool]
     found = sample.select("y", F.explode(F.array_distinct(F.concat(words, *stems))).alias("term"))
     counts = found.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    least = max(3, 0.004 * positive)
+    least = max(5, 0.005 * positive)
     odds = F.log((F.col("pos") + 0.5) / (positive + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (total - positive + 1))
-    strong = counts.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= 2.5))
+    sure = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("n") - F.col("pos") + 0.5))  # few copies of one text are no evidence
+    strong = counts.withColumn("odds", sure).where((F.col("pos") >= least) & (F.col("odds") >= 2.0))
     rows = strong.orderBy(F.desc(F.col("odds") + 0.2 * F.log("pos")), "term").limit(8 * most).collect()  # the lexicon is a top-k
     pos = {r["term"]: r["pos"] for r in rows}
     out: list[tuple[str, bool]] = []
