@@ -1,0 +1,159 @@
+"""Evidence, receipts and profiles."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def measurement_profile(facts: DataFrame, keys: list[str], value: str, relative: float = 1e-9) -> DataFrame:
+    """Per key the facts, and the numbers that differ by more than ``relative`` from the one before, in ascending order."""
+    values = F.array_sort(F.array_compact(F.collect_list(value)))
+    grouped = facts.groupBy(*keys).agg(F.count("*").alias("facts"), values.alias("__v"))
+    far = lambda done, x: (F.size(done) == 0) | (F.abs(x - F.element_at(done, -1)) > F.greatest(F.abs(x), F.abs(F.element_at(done, -1))) * relative)
+    start = F.array().cast(T.ArrayType(T.DoubleType()))
+    distinct = F.aggregate("__v", start, lambda done, x: F.when(F.size(done) == 0, F.array_append(done, x.cast("double"))).when(far(done, x), F.array_append(done, x.cast("double"))).otherwise(done))
+    return grouped.select(*keys, "facts", distinct.alias("distinct_values"))
+
+
+def receipt_check(observed: DataFrame, expected: DataFrame, batch: str, kind: str) -> DataFrame:
+    """Per batch and kind of warning the observed and the expected number; a batch with any difference is blocking."""
+    o = observed.groupBy(batch, kind).agg(F.count("*").alias("observed"))
+    e = expected.groupBy(batch, kind).agg(F.count("*").alias("expected"))
+    both = o.join(e, [batch, kind], "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("observed", "expected")})
+    bad = both.groupBy(batch).agg(F.bool_or(F.col("observed") != F.col("expected")).alias("blocking"))
+    return both.join(bad, batch)
+
+
+def normalised_records(rows: DataFrame, raw: str, fields: dict[str, list[str]]) -> DataFrame:
+    """Heterogeneous JSON records as columns: each field from the first of its aliases that is there; plain text is the first field."""
+    first = next(iter(fields))
+    text = F.col(raw)
+    is_object = text.rlike(r"^\s*\{")
+    columns = []
+    for name, aliases in fields.items():
+        value = F.coalesce(*[F.get_json_object(text, f"$.{a}") for a in (name, *aliases)])
+        columns.append(F.when(is_object, value).otherwise(F.trim(text) if name == first else F.lit(None)).alias(name))
+    return rows.select(*[c for c in rows.columns if c != raw], *columns)
+
+
+@F.pandas_udf(T.StructType([T.StructField("state", T.StringType()), T.StructField("thickness", T.DoubleType()), T.StructField("centre_length", T.DoubleType())]))
+def strip_profile(points: pd.Series) -> pd.DataFrame:
+    """V1: whether an outline (array<struct<x,y>>) is a bent strip: two equal end caps, and between them two chains of parallel segments at the caps' distance.
+
+    UNIQUE with thickness and centre length, AMBIGUOUS if several pairs of caps fit, else NONE. Outlines of more than 256 vertices or fewer than 4 are NONE.
+    """
+
+    def analyse(raw) -> tuple[str, float | None, float | None]:
+        p = [(q["x"], q["y"]) for q in raw] if raw is not None else []
+        n = len(p)
+        if not 4 <= n <= 256:
+            return "NONE", None, None
+        length = [math.dist(p[i], p[(i + 1) % n]) for i in range(n)]
+        tolerance = 1e-6 * sum(length)
+        shortest = min(length)
+        caps = [i for i in range(n) if length[i] <= shortest + tolerance]
+        found = []
+        for a in range(len(caps)):
+            for b in range(a + 1, len(caps)):
+                i, j = caps[a], caps[b]
+                one = [p[(i + 1 + k) % n] for k in range((j - i - 1) % n + 1)]
+                two = [p[(j + 1 + k) % n] for k in range((i - j - 1) % n + 1)][::-1]
+                if len(one) != len(two) or len(one) < 2:
+                    continue
+                good, centre = True, 0.0
+                for s, t, u, v in zip(one, one[1:], two, two[1:]):
+                    dx, dy = t[0] - s[0], t[1] - s[1]
+                    size = math.hypot(dx, dy)
+                    if size <= tolerance or math.dist(u, v) <= tolerance:
+                        good = False
+                        break
+                    offsets = [abs((w[0] - s[0]) * dy - (w[1] - s[1]) * dx) / size for w in (u, v)]
+                    if any(abs(o - shortest) > tolerance for o in offsets):
+                        good = False
+                        break
+                    centre += (size + math.dist(u, v)) / 2
+                if good:
+                    found.append(centre)
+        longest = [c for c in found if c > shortest + tolerance]
+        if not longest:
+            return "NONE", None, None
+        return ("UNIQUE", shortest, longest[0]) if len(longest) == 1 else ("AMBIGUOUS", None, None)
+
+    return pd.DataFrame([analyse(x) for x in points], columns=["state", "thickness", "centre_length"])
+
+
+def selected_profiles(candidates: DataFrame, branch: str) -> DataFrame:
+    """V2: a branch's profile if it has one supported candidate, no issue, and nothing of its group was truncated; truncation anywhere retracts all.
+
+    Candidates have profile_id, group, supported, issue (nullable) and truncated.
+    """
+    groups = candidates.groupBy("group").agg(F.bool_or("truncated").alias("__cut"))
+    per = candidates.join(groups, "group").groupBy(branch).agg(F.count_if("supported").alias("n"), F.min(F.when(F.col("supported"), F.col("profile_id"))).alias("p"), F.count("issue").alias("issues"), F.bool_or("__cut").alias("cut"))
+    state = F.when(F.col("cut"), "truncated").when(F.col("issues") > 0, "issue").when(F.col("n") == 1, "selected").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return per.select(branch, state.alias("state"), F.when(state == "selected", F.col("p")).alias("profile_id"))
+
+
+def owned_points(points: DataFrame, views: DataFrame, scope: list[str]) -> DataFrame:
+    """V7: points (point_id, x, y) with the one view (view_id and a box) of their scope that holds them, and all views that show them."""
+    hits = points.join(views, scope).where("x0 <= x and x <= x1 and y0 <= y and y <= y1")
+    per = hits.groupBy(*scope, "point_id").agg(F.count("*").alias("n"), F.min("view_id").alias("v"), F.array_join(F.array_sort(F.collect_list(F.col("view_id").cast("string"))), ",").alias("views"))
+    out = points.join(per, [*scope, "point_id"], "left")
+    return out.select(*scope, "point_id", F.when(F.col("n") == 1, F.col("v")).alias("owner"), F.coalesce("views", F.lit("")).alias("views"), F.when(F.col("n").isNull(), "outside").when(F.col("n") > 1, "several").alias("issue"))
+
+
+def drift(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
+    """Artefacts whose digests changed, that are new or gone; none if a rebuild reproduces everything."""
+    a = before.select(key, F.col(digest).alias("was"))
+    b = after.select(key, F.col(digest).alias("now"))
+    joined = a.join(b, key, "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+    return joined.select(key, F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").otherwise("changed").alias("change"))
+
+
+def refreshed(index: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The index with refreshed values where there are any; the index itself isn't changed."""
+    renamed = fresh.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    out = index.join(renamed, key, "left")
+    return out.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in index.columns])
+
+
+def variant_binding(plans: DataFrame, elevations: DataFrame, key: str) -> DataFrame:
+    """A variant is bound if plan and elevation name one and the same; the blockers say why not: plan_missing, elevation_missing, plan_conflict, elevation_conflict, disagree."""
+    one = lambda df, p: df.groupBy(key).agg(F.count_distinct("variant").alias(f"{p}n"), F.min("variant").alias(f"{p}v"))
+    both = one(plans, "p").join(one(elevations, "e"), key, "full_outer")
+    blockers = F.array_compact(F.array(
+        F.when(F.coalesce("pn", F.lit(0)) == 0, "plan_missing"), F.when(F.coalesce("en", F.lit(0)) == 0, "elevation_missing"), F.when(F.col("pn") > 1, "plan_conflict"), F.when(F.col("en") > 1, "elevation_conflict"),
+        F.when((F.col("pn") == 1) & (F.col("en") == 1) & (F.col("pv") != F.col("ev")), "disagree"),
+    ))
+    return both.select(key, F.array_join(blockers, ",").alias("blockers"), F.when(F.size(blockers) == 0, F.col("pv")).alias("variant"))
+
+
+def stage_candidates(direct: DataFrame, by_code: DataFrame, edges: DataFrame, component: str) -> DataFrame:
+    """Candidate sheets of a component's stages with the best of their origins: explicit, relation (a confirmed edge from an explicit sheet) or material_code.
+
+    ``direct`` and ``by_code`` have the component, stage and sheet; ``edges`` source, target, stage and status.
+    """
+    own = direct.select(component, "stage", "sheet", F.lit(0).alias("o"))
+    reach = direct.select(component, F.col("sheet").alias("source")).join(edges.where("status = 'PASS'"), "source").select(component, "stage", F.col("target").alias("sheet"), F.lit(1).alias("o"))
+    code = by_code.select(component, "stage", "sheet", F.lit(2).alias("o"))
+    best = own.unionByName(reach).unionByName(code).groupBy(component, "stage", "sheet").agg(F.min("o").alias("o"))
+    names = F.array(*map(F.lit, ("explicit", "relation", "material_code")))
+    rank = F.row_number().over(Window.partitionBy(component, "stage").orderBy("o", "sheet"))
+    return best.select(component, "stage", "sheet", F.element_at(names, F.col("o") + 1).alias("origin"), rank.alias("rank"))
+
+
+def composite_check(assemblies: DataFrame, materials: DataFrame, key: str, required: dict[str, list[str]], kind: str) -> DataFrame:
+    """Assemblies with the first reason against them: unknown kind, a role that is missing, has several materials or is not PASS; null if all roles hold.
+
+    ``materials`` has the key, role and status. ``required`` names the roles of each kind.
+    """
+    roles = F.create_map(*[x for k, v in sorted(required.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    needed = assemblies.select(key, kind, F.explode_outer(F.try_element_at(roles, F.col(kind))).alias("role"))
+    counts = materials.groupBy(key, "role").agg(F.count("*").alias("n"), F.bool_and(F.col("status") == "PASS").alias("ok"))
+    joined = needed.join(counts, [key, "role"], "left")
+    bad: Column = F.when(F.col("role").isNull(), "0:unknown_kind").when(F.col("n").isNull(), F.concat(F.lit("1:missing:"), "role")).when(F.col("n") > 1, F.concat(F.lit("2:several:"), "role")).when(~F.col("ok"), F.concat(F.lit("3:not_pass:"), "role"))
+    return joined.groupBy(key).agg(F.min(bad).alias("r")).select(key, F.regexp_replace("r", "^[0-9]:", "").alias("reason"))

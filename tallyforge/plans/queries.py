@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import geometry_queries, matching_queries, pricing_queries, ranking_queries
+from tallyforge.plans import evidence_queries, geometry_queries, matching_queries, pricing_queries, ranking_queries
 from tallyforge.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry_queries", "matching_queries", "pricing_queries", "ranking_queries"]
+__all__ = ["QUERIES", "SQL", "evidence_queries", "geometry_queries", "matching_queries", "pricing_queries", "ranking_queries"]
