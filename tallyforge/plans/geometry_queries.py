@@ -64,7 +64,9 @@ def viewport_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.unique_assignment(pairs, "scope", "a", "b")
 
 
-@query()
+@query("""WITH s AS (SELECT p_brand, list_sort([p_size % 9 + 1, 3, p_size % 9 + 1, 3]) AS sides, round(p_retailprice, 2) AS d FROM part),
+g AS (SELECT p_brand, substring(sha256(array_to_string(sides, ',')), 1, 24) AS signature, count(*) AS occurrences, min(d) AS nearest FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 20),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY nearest, signature) AS INT) AS rank FROM g) SELECT * FROM r WHERE rank <= 6""")
 def repeated_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12."""
     k, w = F.col("p_partkey").cast("double"), (F.col("p_size") % 9 + 1).cast("double")
@@ -94,14 +96,14 @@ def trusted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on a grid of twelve by twelve, by customers' nations: horizontal for even keys, else vertical."""
-    k, even = F.col("c_custkey"), F.col("c_custkey") % 2 == 0
-    x, y, n = k % 7 * 10.0, F.floor(k / 7) % 6 * 10.0, (k % 3 + 1) * 10.0
+    """Lines on a grid of twelve by twelve, by customers' nations: horizontal or vertical by turns."""
+    k, even = F.col("c_custkey"), F.floor(F.col("c_custkey") / 42) % 2 == 0
+    x, y, n = k % 7 * 10.0, F.floor(k / 7) % 6 * 10.0, (F.floor(k / 84) % 3 + 1) * 10.0
     return table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("scope"), k.alias("id"), x.alias("x0"), y.cast("double").alias("y0"), F.when(even, x + n).otherwise(x).alias("x1"), F.when(even, y).otherwise(y + n).cast("double").alias("y1"))
 
 
-@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0 AS x0, (c_custkey // 7) % 6 * 10.0 AS y0, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 7 * 10.0 + (c_custkey % 3 + 1) * 10.0 ELSE c_custkey % 7 * 10.0 END AS x1,
-  CASE WHEN c_custkey % 2 = 0 THEN (c_custkey // 7) % 6 * 10.0 ELSE (c_custkey // 7) % 6 * 10.0 + (c_custkey % 3 + 1) * 10.0 END AS y1 FROM customer),
+@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0 AS x0, (c_custkey // 7) % 6 * 10.0 AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN c_custkey % 7 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 ELSE c_custkey % 7 * 10.0 END AS x1,
+  CASE WHEN (c_custkey // 42) % 2 = 0 THEN (c_custkey // 7) % 6 * 10.0 ELSE (c_custkey // 7) % 6 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 END AS y1 FROM customer),
 h AS (SELECT scope, x0, x1, y0, min(id) AS id FROM l WHERE y0 = y1 GROUP BY ALL), v AS (SELECT scope, y0, y1, x0, min(id) AS id FROM l WHERE x0 = x1 GROUP BY ALL)
 SELECT b.scope, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE AS x1, t.y0::DOUBLE AS y1, b.id AS bottom, t.id AS top, e.id AS "left", f.id AS "right" FROM h b JOIN h t ON t.scope = b.scope AND t.x0 = b.x0 AND t.x1 = b.x1 AND t.y0 > b.y0
 JOIN v e ON e.scope = b.scope AND e.x0 = b.x0 AND e.y0 = b.y0 AND e.y1 = t.y0 JOIN v f ON f.scope = b.scope AND f.x0 = b.x1 AND f.y0 = b.y0 AND f.y1 = t.y0""")
@@ -122,7 +124,13 @@ def leader_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.border_leaders(leaders, borders, ["scope"])
 
 
-@query()
+@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0::DOUBLE AS x0, (c_custkey // 7) % 6 * 10.0::DOUBLE AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE ELSE 0.0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0.0 ELSE ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE END AS h FROM customer),
+d AS (SELECT scope, id AS dim_id, x0 AS ax, y0 + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS ay, x0 + w AS bx, y0 + h + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS b_y, (id % 3 + 1) * 10.0::DOUBLE AS value FROM l WHERE id % 5 < 2),
+s AS (SELECT scope, id AS seg_id, x0 AS sx, y0 AS sy, x0 + w AS tx, y0 + h AS ty FROM l),
+p AS (SELECT scope, dim_id, value, seg_id, greatest(tx - sx, ty - sy) AS len, CASE WHEN ax = sx AND ay = sy AND bx = tx AND b_y = ty THEN 1 WHEN (ax = sx AND bx = tx AND sy = ty) OR (ay = sy AND b_y = ty AND sx = tx) THEN 2 END AS rank FROM d JOIN s USING (scope)),
+g AS (SELECT scope, dim_id, value, rank, count(*) AS n, min((seg_id, len)) AS m FROM p WHERE rank IS NOT NULL GROUP BY ALL), b AS (SELECT scope, dim_id, value, min((rank, n, m)) AS b FROM g GROUP BY ALL),
+t AS (SELECT scope, dim_id, b[1] AS rank, b[3][1] AS seg, CASE WHEN b[2] > 1 THEN 'ambiguous' WHEN abs(b[3][2] - value) > 0.5 THEN 'conflict' ELSE 'bound' END AS state FROM b)
+SELECT scope, dim_id, CAST(rank AS INT) AS rank, state, CASE WHEN state <> 'ambiguous' THEN seg END AS seg_id FROM t""")
 def dimension_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3."""
     segments = _lines(spark, sf_dir).select("scope", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
@@ -253,7 +261,8 @@ def takeoff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("items"), F.sum(F.when(F.col("verdict") == "PASS", F.col("amount"))).cast("double").alias("amount"))
 
 
-@query()
+@query(f"""WITH {CALC_SQL} SELECT l_orderkey, l_linenumber AS sequence, p_type AS name, unit, CASE WHEN unit = 'm' THEN '=J' || (l_linenumber + 1) || '*K' || (l_linenumber + 1) || '/1000' WHEN unit = '㎡' THEN '=I' || (l_linenumber + 1) || '*J' || (l_linenumber + 1) || '*K' || (l_linenumber + 1) || '/1000000'
+  WHEN unit IN ('件', '套') THEN '=K' || (l_linenumber + 1) END AS quantity_formula, CASE WHEN status = 'PASS' THEN CAST(amount AS DOUBLE) END AS amount, status FROM calc""")
 def quote_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4, K5: the quote's rows with formulas, by order."""
     calculated = pricing.calculate_items(items(spark, sf_dir)).withColumns({"sequence": F.col("l_linenumber"), "name": F.col("p_type")})

@@ -170,7 +170,13 @@ def stage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 KIND_RULES = [("plan", "metal", "steel|copper", 2.0), ("plan", "small", "small|economy", 1.5), ("elevation", "metal", "brass|nickel", 2.5), ("elevation", "large", "large|promo", 1.0), ("detail", "tin", "tin", 3.0), ("detail", "colour", "blue|green", 1.0)]
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey, lower(p_name) AS n, lower(p_type) AS y FROM part),
+k AS (SELECT p_partkey, 'plan' AS kind, 2 * (CASE WHEN regexp_matches(n, 'steel|copper') THEN 2.0::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'steel|copper') THEN 2.0::DOUBLE ELSE 0 END) + 2 * (CASE WHEN regexp_matches(n, 'small|economy') THEN 1.5::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'small|economy') THEN 1.5::DOUBLE ELSE 0 END) AS s FROM t
+  UNION ALL SELECT p_partkey, 'elevation', 2 * (CASE WHEN regexp_matches(n, 'brass|nickel') THEN 2.5::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'brass|nickel') THEN 2.5::DOUBLE ELSE 0 END) + 2 * (CASE WHEN regexp_matches(n, 'large|promo') THEN 1.0::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'large|promo') THEN 1.0::DOUBLE ELSE 0 END) FROM t
+  UNION ALL SELECT p_partkey, 'detail', 2 * (CASE WHEN regexp_matches(n, 'tin') THEN 3.0::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'tin') THEN 3.0::DOUBLE ELSE 0 END) + 2 * (CASE WHEN regexp_matches(n, 'blue|green') THEN 1.0::DOUBLE ELSE 0 END) + 1.5 * (CASE WHEN regexp_matches(y, 'blue|green') THEN 1.0::DOUBLE ELSE 0 END) FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, kind) AS r FROM k), w AS (SELECT p_partkey, max(CASE WHEN r = 1 THEN kind END) AS kind, max(CASE WHEN r = 1 THEN s END) AS a, max(CASE WHEN r = 2 THEN s END) AS b FROM r GROUP BY p_partkey),
+c AS (SELECT p_partkey, kind, a < 3 OR (b >= 3 AND a - b < 1) AS u, least(0.96, 0.48::DOUBLE + 0.3::DOUBLE * (1 - exp(-a / 5)) + least(0.16, (a - b) / 25)) AS sure FROM w)
+SELECT p_partkey, CASE WHEN u THEN 'unknown' ELSE kind END AS kind, round(CASE WHEN u THEN least(sure, 0.45) ELSE sure END, 3) AS confidence FROM c""")
 def sheet_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
