@@ -17,13 +17,13 @@ def measurement_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_type", "facts", F.array_join(F.transform("distinct_values", lambda x: x.cast("long").cast("string")), ",").alias("values"))
 
 
-@query("""WITH o AS (SELECT o_custkey % 100 AS batch, o_orderstatus AS kind, count(*) AS observed FROM orders GROUP BY ALL), e AS (SELECT o_custkey % 100 AS batch, o_orderstatus AS kind, count(*) AS expected FROM orders WHERE o_orderkey % 211 > 0 GROUP BY ALL),
+@query("""WITH o AS (SELECT o_custkey % 100 AS batch, o_orderstatus AS kind, count(*) AS observed FROM orders GROUP BY ALL), e AS (SELECT o_custkey % 100 AS batch, o_orderstatus AS kind, count(*) AS expected FROM orders WHERE o_totalprice < 490000 GROUP BY ALL),
 j AS (SELECT coalesce(o.batch, e.batch) AS batch, coalesce(o.kind, e.kind) AS kind, coalesce(observed, 0) AS observed, coalesce(expected, 0) AS expected FROM o FULL JOIN e ON o.batch = e.batch AND o.kind = e.kind)
 SELECT *, bool_or(observed <> expected) OVER (PARTITION BY batch) AS blocking FROM j""")
 def receipt_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G24."""
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("batch"), F.col("o_orderstatus").alias("kind"), "o_orderkey")
-    return evidence.receipt_check(rows, rows.where("o_orderkey % 211 > 0"), "batch", "kind")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("batch"), F.col("o_orderstatus").alias("kind"), "o_totalprice")
+    return evidence.receipt_check(rows, rows.where("o_totalprice < 490000"), "batch", "kind")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'plain' ELSE json_extract_string(props, '$.k') END AS k, CAST(NULL AS VARCHAR) AS z FROM events""")
@@ -66,34 +66,34 @@ def owned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.owned_points(points, views, ["scope"])
 
 
-@query("""WITH a AS (SELECT page_id, md5(html) AS d FROM pages WHERE page_id % 10 > 0), b AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN md5(url) ELSE md5(html) END AS d FROM pages WHERE page_id % 11 > 0)
+@query("""WITH a AS (SELECT page_id, md5(html) AS d FROM pages WHERE NOT contains(url, '5')), b AS (SELECT page_id, CASE WHEN length(html) > 1500 THEN md5(url) ELSE md5(html) END AS d FROM pages WHERE NOT contains(url, '7'))
 SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.d IS NULL THEN 'new' WHEN b.d IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.d IS DISTINCT FROM b.d""")
 def artefact_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9, X9, S4."""
     pages = table(spark, sf_dir, "pages")
-    now = pages.where("page_id % 11 > 0").select("page_id", F.when(F.col("page_id") % 7 == 0, F.md5("url")).otherwise(F.md5("html")).alias("d"))
-    return evidence.drift(pages.where("page_id % 10 > 0").select("page_id", F.md5("html").alias("d")), now, "page_id", "d")
+    now = pages.where(~F.col("url").contains("7")).select("page_id", F.when(F.length("html") > 1500, F.md5("url")).otherwise(F.md5("html")).alias("d"))
+    return evidence.drift(pages.where(~F.col("url").contains("5")).select("page_id", F.md5("html").alias("d")), now, "page_id", "d")
 
 
-@query("""SELECT s.s_suppkey, s.s_name, coalesce(f.bal, s.s_acctbal) AS s_acctbal FROM supplier s LEFT JOIN (SELECT s_suppkey, abs(s_acctbal) AS bal FROM supplier WHERE s_suppkey % 3 = 0) f USING (s_suppkey)""")
+@query("""SELECT s.s_suppkey, s.s_name, coalesce(f.bal, s.s_acctbal) AS s_acctbal FROM supplier s LEFT JOIN (SELECT s_suppkey, abs(s_acctbal) AS bal FROM supplier WHERE s_acctbal < 0) f USING (s_suppkey)""")
 def frame_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V10."""
     index = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    return evidence.refreshed(index, index.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.abs("s_acctbal")), "s_suppkey", ["s_acctbal"])
+    return evidence.refreshed(index, index.where("s_acctbal < 0").withColumn("s_acctbal", F.abs("s_acctbal")), "s_suppkey", ["s_acctbal"])
 
 
-@query("""WITH p AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS pn, min(o_orderstatus) AS pv FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), e AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS en, min(o_orderstatus) AS ev FROM orders WHERE o_orderkey % 7 = 1 GROUP BY o_custkey),
+@query("""WITH p AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS pn, min(o_orderpriority) AS pv FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), e AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS en, min(o_orderpriority) AS ev FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey),
 j AS (SELECT o_custkey, pn, en, pv, ev FROM p FULL JOIN e USING (o_custkey)),
 b AS (SELECT o_custkey, pv, concat_ws(',', CASE WHEN coalesce(pn, 0) = 0 THEN 'plan_missing' END, CASE WHEN coalesce(en, 0) = 0 THEN 'elevation_missing' END, CASE WHEN pn > 1 THEN 'plan_conflict' END, CASE WHEN en > 1 THEN 'elevation_conflict' END, CASE WHEN pn = 1 AND en = 1 AND pv <> ev THEN 'disagree' END) AS blockers FROM j)
 SELECT o_custkey, blockers, CASE WHEN blockers = '' THEN pv END AS variant FROM b""")
 def variant_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V11."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("variant"), "o_orderkey")
-    return evidence.variant_binding(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 7 = 1"), "o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("variant"), "o_orderstatus")
+    return evidence.variant_binding(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'P'"), "o_custkey")
 
 
 @query("""WITH d AS (SELECT l_orderkey AS c, 'plan' AS stage, l_suppkey AS sheet FROM lineitem WHERE l_linenumber = 1), k AS (SELECT l_orderkey AS c, 'detail' AS stage, l_partkey % 50 AS sheet FROM lineitem WHERE l_linenumber = 2),
-e AS (SELECT s_suppkey AS source, (s_suppkey * 3) % 50 AS target, 'detail' AS stage FROM supplier WHERE s_suppkey % 2 = 0),
+e AS (SELECT s_suppkey AS source, (s_suppkey * 3) % 50 AS target, 'detail' AS stage FROM supplier WHERE s_acctbal > 0),
 u AS (SELECT c, stage, sheet, 0 AS o FROM d UNION ALL SELECT c, e.stage, target, 1 FROM d JOIN e ON source = sheet UNION ALL SELECT c, stage, sheet, 2 FROM k), b AS (SELECT c, stage, sheet, min(o) AS o FROM u GROUP BY ALL)
 SELECT c, stage, sheet, ['explicit', 'relation', 'material_code'][o + 1] AS origin, CAST(row_number() OVER (PARTITION BY c, stage ORDER BY o, sheet) AS INT) AS rank FROM b""")
 def stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     direct = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("c"), F.lit("plan").alias("stage"), F.col("l_suppkey").alias("sheet"))
     code = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("c"), F.lit("detail").alias("stage"), (F.col("l_partkey") % 50).alias("sheet"))
-    edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 3 % 50).alias("target"), F.lit("detail").alias("stage"), F.when(F.col("s_suppkey") % 2 == 0, "PASS").otherwise("REVIEW").alias("status"))
+    edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 3 % 50).alias("target"), F.lit("detail").alias("stage"), F.when(F.col("s_acctbal") > 0, "PASS").otherwise("REVIEW").alias("status"))
     return evidence.stage_candidates(direct, code, edges, "c")
 
 

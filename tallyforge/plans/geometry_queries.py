@@ -25,8 +25,8 @@ def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7."""
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 50).alias("sheet"), k.alias("id"), F.array((k % 3).cast("string"), (k % 5).cast("string")).alias("evidence"), F.when(k % 4 == 0, (k % 8).cast("string")).alias("leader"), F.floor(F.col("value")).cast("double").alias("x"), (k % 7).cast("double").alias("y"), F.round(F.col("value") / 100, 2).alias("confidence"))
-    out = sequential.merge_occurrences(rows.where("id % 9 = 0"), ["event_type", "sheet"])
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("sheet"), k.alias("id"), F.array((k % 3).cast("string"), (k % 5).cast("string")).alias("evidence"), F.when(k % 4 == 0, (k % 8).cast("string")).alias("leader"), F.floor(F.col("value")).cast("double").alias("x"), (k % 7).cast("double").alias("y"), F.round(F.col("value") / 100, 2).alias("confidence"))
+    out = sequential.merge_occurrences(rows, ["event_type", "sheet"])
     return out.withColumn("evidence", F.array_join("evidence", ","))
 
 
@@ -34,7 +34,7 @@ def merged_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G9."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("mt"), k.alias("id"), (k % 6).alias("sheet"), F.when(k % 3 > 0, (k % 9).cast("string")).alias("room"), F.when(k % 4 > 0, (k % 5).cast("string")).alias("name"), F.col("o_orderpriority").alias("title"), (k % 2).alias("source"), (k % 11).alias("drawing"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mt"), k.alias("id"), (k % 6).alias("sheet"), F.when(k % 3 > 0, (k % 9).cast("string")).alias("room"), F.when(k % 4 > 0, (k % 5).cast("string")).alias("name"), F.col("o_orderpriority").alias("title"), (k % 2).alias("source"), (k % 11).alias("drawing"))
     return sequential.guarded_components(rows, "mt", [["title"], ["source", "room", "name"], ["source", "drawing", "name"]])
 
 
@@ -58,9 +58,9 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def viewport_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G22."""
-    p = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("scope"), "s_suppkey", (F.col("s_acctbal") > 5000).alias("rich"))
-    a, b = p.where("rich").withColumnRenamed("s_suppkey", "a"), p.where("not rich").withColumnRenamed("s_suppkey", "b")
-    pairs = a.join(b.drop("rich"), "scope").where("(a + b) % 3 > 0").select("scope", "a", "b")
+    p = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("scope"), F.floor(F.col("s_acctbal") / 250).alias("shelf"), "s_suppkey", "s_acctbal", (F.col("s_name") < "Supplier#000000050").alias("left"))
+    a, b = p.where("left").select("scope", "shelf", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x")), p.where("not left").select("scope", "shelf", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
+    pairs = a.join(b, ["scope", "shelf"]).where("abs(x - y) < 200").select(F.concat_ws("/", "scope", "shelf").alias("scope"), "a", "b")
     return sequential.unique_assignment(pairs, "scope", "a", "b")
 
 
@@ -75,14 +75,13 @@ def repeated_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.repeated_shapes(shapes, "p_brand", "distance")
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'CODE' WHEN 1 THEN 'VIEW' ELSE 'OTHER' END AS tag, trim(CAST(o_orderkey % 2 AS VARCHAR)) AS v FROM orders WHERE o_orderkey % 5 < 2),
+@query("""WITH a AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'CODE' WHEN 'P' THEN 'VIEW' ELSE 'OTHER' END AS tag, substring(o_orderpriority, 1, 1) AS v FROM orders),
 g AS (SELECT o_custkey, list_distinct(list(v) FILTER (WHERE tag = 'CODE')) AS c, list_distinct(list(v) FILTER (WHERE tag = 'VIEW')) AS w FROM a GROUP BY o_custkey),
 r AS (SELECT *, CASE WHEN coalesce(len(c), 0) = 0 THEN 'no_code' WHEN len(c) > 1 THEN 'several_codes' WHEN coalesce(len(w), 0) = 0 THEN 'no_view' WHEN len(w) > 1 THEN 'several_views' END AS reason FROM g)
 SELECT o_custkey, reason, CASE WHEN reason IS NULL THEN c[1] END AS code, CASE WHEN reason IS NULL THEN w[1] END AS "view" FROM r""")
 def sibling_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7, T6."""
-    k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 < 2").select("o_custkey", F.when(k % 3 == 0, "CODE").when(k % 3 == 1, "View").otherwise("OTHER").alias("tag"), F.concat((k % 2).cast("string"), F.lit(" ")).alias("v"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "CODE").when(F.col("o_orderstatus") == "P", "View").otherwise("OTHER").alias("tag"), F.concat(F.substring("o_orderpriority", 1, 1), F.lit(" ")).alias("v"))
     return geometry.sibling_codes(rows, [], "o_custkey", "tag", "v", "CODE", "VIEW")
 
 
@@ -99,7 +98,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on a grid of twelve by twelve, by customers' nations: horizontal or vertical by turns."""
     k, even = F.col("c_custkey"), F.floor(F.col("c_custkey") / 42) % 2 == 0
     x, y, n = k % 7 * 10.0, F.floor(k / 7) % 6 * 10.0, (F.floor(k / 84) % 3 + 1) * 10.0
-    return table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("scope"), k.alias("id"), x.alias("x0"), y.cast("double").alias("y0"), F.when(even, x + n).otherwise(x).alias("x1"), F.when(even, y).otherwise(y + n).cast("double").alias("y1"))
+    return table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("scope"), F.col("c_acctbal").alias("bal"), k.alias("id"), x.alias("x0"), y.cast("double").alias("y0"), F.when(even, x + n).otherwise(x).alias("x1"), F.when(even, y).otherwise(y + n).cast("double").alias("y1"))
 
 
 @query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0 AS x0, (c_custkey // 7) % 6 * 10.0 AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN c_custkey % 7 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 ELSE c_custkey % 7 * 10.0 END AS x1,
@@ -124,8 +123,8 @@ def leader_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.border_leaders(leaders, borders, ["scope"])
 
 
-@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0::DOUBLE AS x0, (c_custkey // 7) % 6 * 10.0::DOUBLE AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE ELSE 0.0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0.0 ELSE ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE END AS h FROM customer),
-d AS (SELECT scope, id AS dim_id, x0 AS ax, y0 + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS ay, x0 + w AS bx, y0 + h + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS b_y, (id % 3 + 1) * 10.0::DOUBLE AS value FROM l WHERE id % 5 < 2),
+@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_acctbal AS bal, c_custkey AS id, c_custkey % 7 * 10.0::DOUBLE AS x0, (c_custkey // 7) % 6 * 10.0::DOUBLE AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE ELSE 0.0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0.0 ELSE ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE END AS h FROM customer),
+d AS (SELECT scope, id AS dim_id, x0 AS ax, y0 + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS ay, x0 + w AS bx, y0 + h + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS b_y, (id % 3 + 1) * 10.0::DOUBLE AS value FROM l WHERE bal > 5000),
 s AS (SELECT scope, id AS seg_id, x0 AS sx, y0 AS sy, x0 + w AS tx, y0 + h AS ty FROM l),
 p AS (SELECT scope, dim_id, value, seg_id, greatest(tx - sx, ty - sy) AS len, CASE WHEN ax = sx AND ay = sy AND bx = tx AND b_y = ty THEN 1 WHEN (ax = sx AND bx = tx AND sy = ty) OR (ay = sy AND b_y = ty AND sx = tx) THEN 2 END AS rank FROM d JOIN s USING (scope)),
 g AS (SELECT scope, dim_id, value, rank, count(*) AS n, min((seg_id, len)) AS m FROM p WHERE rank IS NOT NULL GROUP BY ALL), b AS (SELECT scope, dim_id, value, min((rank, n, m)) AS b FROM g GROUP BY ALL),
@@ -133,10 +132,10 @@ t AS (SELECT scope, dim_id, b[1] AS rank, b[3][1] AS seg, CASE WHEN b[2] > 1 THE
 SELECT scope, dim_id, CAST(rank AS INT) AS rank, state, CASE WHEN state <> 'ambiguous' THEN seg END AS seg_id FROM t""")
 def dimension_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3."""
-    segments = _lines(spark, sf_dir).select("scope", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    segments = _lines(spark, sf_dir).select("scope", "bal", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
     k = F.col("seg_id")
-    dims = segments.where("seg_id % 5 < 2").select("scope", k.alias("dim_id"), F.col("sx").alias("ax"), (F.col("sy") + F.when(k % 5 == 1, 4.0).otherwise(0.0)).alias("ay"), F.col("tx").alias("bx"), (F.col("ty") + F.when(k % 5 == 1, 4.0).otherwise(0.0)).alias("by"), ((k % 3 + 1) * 10.0).alias("value"))
-    return geometry.bind_dimensions(dims, segments, ["scope"])
+    dims = segments.where("bal > 5000").select("scope", k.alias("dim_id"), F.col("sx").alias("ax"), (F.col("sy") + F.when(k % 5 == 1, 4.0).otherwise(0.0)).alias("ay"), F.col("tx").alias("bx"), (F.col("ty") + F.when(k % 5 == 1, 4.0).otherwise(0.0)).alias("by"), ((k % 3 + 1) * 10.0).alias("value"))
+    return geometry.bind_dimensions(dims, segments.drop("bal"), ["scope"])
 
 
 @query("""WITH v AS (SELECT s_nationkey AS scope, s_suppkey % 9 * 100 AS x0, s_suppkey % 9 * 100 + 150 AS x1, 0 AS y0, s_suppkey % 3 * 100 + 100 AS y1 FROM supplier), s AS (SELECT c_nationkey AS scope, c_custkey AS span_id, c_custkey % 250 AS y, c_custkey % 6 * 100 AS a, c_custkey % 6 * 100 + c_custkey % 400 AS b FROM customer),
@@ -155,8 +154,8 @@ def dimension_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5."""
     lines = _lines(spark, sf_dir)
-    segments = lines.where("id % 3 > 0").select("scope", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
-    starts = lines.where("id % 3 = 0").select("scope", F.col("id").alias("start_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    segments = lines.where("bal > 2000").select("scope", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    starts = lines.where("bal <= 2000").select("scope", F.col("id").alias("start_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     return geometry.trace_paths(segments, starts, "scope")
 
 

@@ -14,12 +14,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders, and a copy in which some keys, customers, dates and prices differ."""
     o = table(spark, sf_dir, "orders")
     left = o.select(F.col("o_orderkey").alias("l"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey")).alias("k1"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("p"))
-    right = o.where("o_orderkey % 11 > 0").select((-F.col("o_orderkey")).alias("r"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey")).alias("k1"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).otherwise(F.lit(0)).cast("long").alias("c"), F.col("o_orderdate").alias("d"), F.round(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 4 == 0, 1.1).otherwise(1.0), 2).alias("p"))
+    right = o.where("o_orderstatus <> 'P'").select((-F.col("o_orderkey")).alias("r"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey")).alias("k1"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).otherwise(F.lit(0)).cast("long").alias("c"), F.col("o_orderdate").alias("d"), F.round(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 4 == 0, 1.1).otherwise(1.0), 2).alias("p"))
     return left, right
 
 
 _SIDES = """a AS (SELECT o_orderkey AS l, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS k1, o_custkey AS c, o_orderdate AS d, o_totalprice AS p FROM orders),
-b AS (SELECT -o_orderkey AS r, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS k1, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey ELSE 0 END AS c, o_orderdate AS d, round(o_totalprice * CASE WHEN o_orderkey % 4 = 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 2) AS p FROM orders WHERE o_orderkey % 11 > 0)"""
+b AS (SELECT -o_orderkey AS r, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS k1, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey ELSE 0 END AS c, o_orderdate AS d, round(o_totalprice * CASE WHEN o_orderkey % 4 = 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END, 2) AS p FROM orders WHERE o_orderstatus <> 'P')"""
 
 
 def _stage_sql(n: int, keys: str) -> str:
@@ -30,6 +30,8 @@ def _stage_sql(n: int, keys: str) -> str:
     return f"m{n} AS ({found if n == 1 else f'SELECT * FROM m{n - 1} UNION ALL {found}'})"
 
 
+#: Keys of the stages, strongest first.
+STAGES = [["k1"], ["c", "d"], ["d", "p"]]
 _STAGED = f"{_SIDES}, {_stage_sql(1, 'k1')}, {_stage_sql(2, 'c, d')}, {_stage_sql(3, 'd, p')}"
 
 
@@ -37,12 +39,15 @@ _STAGED = f"{_SIDES}, {_stage_sql(1, 'k1')}, {_stage_sql(2, 'c, d')}, {_stage_sq
 def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15, first stages."""
     left, right = _orders(spark, sf_dir)
-    return matching.staged_match(left, right, [["k1"], ["c", "d"], ["d", "p"]])
+    return matching.staged_match(left, right, STAGES)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one day among the rows that the stages leave."""
     left, right = _orders(spark, sf_dir)
-    pairs = left.where("l % 3 = 0").join(right.drop("k1").withColumnsRenamed({"c": "rc", "p": "rp"}), "d")
+    done = matching.staged_match(left, right, STAGES)
+    left, right = matching.without(left, done, "l"), matching.without(right, done, "r")
+    pairs = left.join(right.drop("k1").withColumnsRenamed({"c": "rc", "p": "rp"}), "d")
     return pairs.select(F.col("d").cast("string").alias("d"), "l", "r", F.round(1 / (1 + F.abs(F.col("p") - F.col("rp")) / 1000) + F.when(F.col("c") == F.col("rc"), 0.5).otherwise(0.0), 6).alias("score"))
 
 
@@ -111,8 +116,8 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"mae": F.round("mae", 1), "mape": F.round("mape", 8)})
 
 
-@query("""WITH a AS (SELECT md5(c_name) AS digest, c_mktsegment AS seg, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS nat FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT md5(c_name), c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 50 = 1),
-b AS (SELECT md5(c_name) AS digest, CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE c_mktsegment END AS seg, c_nationkey AS nat FROM customer WHERE c_custkey % 6 > 0),
+@query("""WITH a AS (SELECT md5(c_name) AS digest, c_mktsegment AS seg, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS nat FROM customer WHERE c_acctbal > 0 UNION ALL SELECT md5(c_name), c_mktsegment, c_nationkey FROM customer WHERE c_acctbal > 9500),
+b AS (SELECT md5(c_name) AS digest, CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE c_mktsegment END AS seg, c_nationkey AS nat FROM customer WHERE c_acctbal < 9000),
 l AS (SELECT digest, count(*) AS n, min(seg) AS seg, min(nat) AS nat FROM a GROUP BY digest), r AS (SELECT digest, count(*) AS n, min(seg) AS seg, min(nat) AS nat FROM b GROUP BY digest),
 j AS (SELECT coalesce(l.digest, r.digest) AS digest, CASE WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN r.n IS NULL THEN 'left_only' WHEN l.n IS NULL THEN 'right_only' ELSE 'matched' END AS state, l.seg AS ls, r.seg AS rs, l.nat AS ln, r.nat AS rn FROM l FULL JOIN r ON l.digest = r.digest)
 SELECT digest, state, CASE WHEN state = 'matched' THEN 'seg:' || CASE WHEN ls IS NULL OR rs IS NULL THEN 'UNRESOLVED' WHEN ls = rs THEN 'PASS' ELSE 'FAIL' END || ',nat:' || CASE WHEN ln IS NULL OR rn IS NULL THEN 'UNRESOLVED' WHEN ln = rn THEN 'PASS' ELSE 'FAIL' END END AS verdicts FROM j""")
@@ -120,12 +125,12 @@ def digest_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J22."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     row = lambda df, seg, nat: df.select(F.md5("c_name").alias("digest"), seg.alias("seg"), nat.alias("nat"))
-    left = row(c.where("c_custkey % 5 > 0"), F.col("c_mktsegment"), F.when(k % 3 > 0, F.col("c_nationkey"))).unionByName(row(c.where("c_custkey % 50 = 1"), F.col("c_mktsegment"), F.col("c_nationkey")))
-    right = row(c.where("c_custkey % 6 > 0"), F.when(k % 7 == 0, "OTHER").otherwise(F.col("c_mktsegment")), F.col("c_nationkey"))
+    left = row(c.where("c_acctbal > 0"), F.col("c_mktsegment"), F.when(k % 3 > 0, F.col("c_nationkey"))).unionByName(row(c.where("c_acctbal > 9500"), F.col("c_mktsegment"), F.col("c_nationkey")))
+    right = row(c.where("c_acctbal < 9000"), F.when(k % 7 == 0, "OTHER").otherwise(F.col("c_mktsegment")), F.col("c_nationkey"))
     return matching.digest_join(left, right, "digest", ["seg", "nat"], F.col("digest").isNotNull())
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderkey % 4000 AS seq, o_orderstatus FROM orders), r AS (SELECT o_orderkey AS record_id, o_custkey, o_orderkey % 4000 AS seq, o_orderstatus FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey % 3 = 0),
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderkey % 4000 AS seq, o_orderstatus FROM orders), r AS (SELECT o_orderkey AS record_id, o_custkey, o_orderkey % 4000 AS seq, o_orderstatus FROM orders WHERE o_orderstatus = 'P'),
 k AS (SELECT o_custkey, min(record_id) AS k FROM r GROUP BY o_custkey), q AS (SELECT seq, count(*) AS n, min(record_id) AS s, min(o_orderstatus) AS st FROM r GROUP BY seq),
 j AS (SELECT o_orderkey, k, q.s AS s, CASE WHEN k IS NOT NULL THEN NULL WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'sequence_not_unique' WHEN o_orderstatus IS DISTINCT FROM st THEN 'identity_differs' END AS error FROM s LEFT JOIN k USING (o_custkey) LEFT JOIN q USING (seq))
 SELECT o_orderkey, CASE WHEN error IS NULL THEN coalesce(k, s) END AS record_id, error FROM j""")
@@ -133,7 +138,7 @@ def selection_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J16."""
     o = table(spark, sf_dir, "orders")
     selections = o.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4000).alias("seq"), "o_orderstatus")
-    records = o.where("o_orderkey % 4 = 0 and o_custkey % 3 = 0").select(F.col("o_orderkey").alias("record_id"), "o_custkey", (F.col("o_orderkey") % 4000).alias("seq"), "o_orderstatus")
+    records = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("record_id"), "o_custkey", (F.col("o_orderkey") % 4000).alias("seq"), "o_orderstatus")
     return matching.bound_records(selections, records, "o_custkey", "seq", ["o_orderstatus"]).select("o_orderkey", "record_id", "error")
 
 
@@ -198,7 +203,7 @@ def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.split_panels(anchors, "s_nationkey", "s_acctbal", "low", "high")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS sheet, s_nationkey AS room, s_suppkey % 3 AS floor, list_sort(list_distinct(list(l_partkey % 40))) AS m FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_orderkey < 300 GROUP BY ALL),
+@query("""WITH s AS (SELECT s_suppkey AS sheet, s_nationkey * 100 + floor(s_acctbal / 500)::BIGINT AS room, s_suppkey % 3 AS floor, list_sort(list_distinct(list(l_partkey % 400))) AS m FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey, s_acctbal),
 b AS (SELECT a.sheet, c.sheet AS other, bool_or(a.sheet * 7 % 101 = c.sheet) AS explicit FROM s a JOIN s c ON a.sheet <> c.sheet AND (a.room = c.room OR a.sheet * 7 % 101 = c.sheet) GROUP BY ALL),
 p AS (SELECT b.*, x.floor AS f1, y.floor AS f2, 0.02::DOUBLE + CASE WHEN explicit THEN 0.72::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_intersect(x.m, y.m)) > 0 THEN 0.10::DOUBLE + 0.08::DOUBLE * len(list_intersect(x.m, y.m)) / len(list_distinct(list_concat(x.m, y.m))) ELSE 0.0::DOUBLE END + CASE WHEN x.room = y.room THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS score
   FROM b JOIN s x ON x.sheet = b.sheet JOIN s y ON y.sheet = b.other),
@@ -206,8 +211,8 @@ k AS (SELECT sheet, other, explicit, round(least(score, 1.0), 6) AS score, row_n
 SELECT sheet, other, score, explicit, CASE WHEN explicit AND n = 1 THEN 'PASS' ELSE 'REVIEW' END AS status FROM k WHERE explicit OR r <= 5""")
 def relation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3, W3."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 300").groupBy(F.col("l_suppkey").alias("sheet")).agg(F.collect_set(F.col("l_partkey") % 40).alias("materials"))
-    sheets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sheet"), F.col("s_name").alias("code"), F.col("s_nationkey").alias("room"), (F.col("s_suppkey") % 3).alias("floor")).join(lines, "sheet")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sheet")).agg(F.collect_set(F.col("l_partkey") % 400).alias("materials"))
+    sheets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sheet"), F.col("s_name").alias("code"), (F.col("s_nationkey") * 100 + F.floor(F.col("s_acctbal") / 500)).alias("room"), (F.col("s_suppkey") % 3).alias("floor")).join(lines, "sheet")
     names = sheets.select("sheet", "room", (F.col("sheet") * 7 % 101).alias("named"))
     other = sheets.select(F.col("sheet").alias("other"), F.col("room"))
     rooms = names.join(other, "room").where("sheet <> other").select("sheet", "other", F.lit(False).alias("explicit"))
@@ -215,25 +220,25 @@ def relation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.rank_relations(sheets, sheets, rooms.unionByName(named))
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS callout, l_suppkey % 30 AS page, l_partkey % 40 AS target FROM lineitem WHERE l_orderkey < 500), p AS (SELECT s_suppkey AS page, s_suppkey % 35 AS code, s_suppkey * 3 % 30 AS back FROM supplier),
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS callout, l_suppkey % 30 AS page, l_partkey % 40 AS target FROM lineitem), p AS (SELECT s_suppkey AS page, s_suppkey % 35 AS code, s_suppkey * 3 % 30 AS back FROM supplier),
 t AS (SELECT code, count(*) AS targets FROM p GROUP BY code), b AS (SELECT code, back, count(*) AS backs, min(page) AS target_page FROM p GROUP BY ALL),
 j AS (SELECT callout, c.page, target, CASE WHEN targets IS NULL THEN 'missing' WHEN backs IS NULL THEN 'one_way' WHEN backs > 1 THEN 'ambiguous' ELSE 'reciprocal' END AS state, target_page FROM c LEFT JOIN t ON t.code = target LEFT JOIN b ON b.code = target AND b.back = c.page)
 SELECT callout, page, target, state, CASE WHEN state = 'reciprocal' THEN target_page END AS target_page FROM j""")
 def detail_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10, J11."""
-    callouts = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.expr("l_orderkey * 10 + l_linenumber").alias("callout"), (F.col("l_suppkey") % 30).alias("page"), (F.col("l_partkey") % 40).alias("target"))
+    callouts = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("callout"), (F.col("l_suppkey") % 30).alias("page"), (F.col("l_partkey") % 40).alias("target"))
     pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), (F.col("s_suppkey") % 35).alias("code"), (F.col("s_suppkey") * 3 % 30).alias("back"))
     return catalog.reciprocal_links(callouts, pages)
 
 
-@query("""WITH f AS (SELECT p_name AS phrase, min(p_brand) AS code FROM part GROUP BY p_name), m AS (SELECT p_partkey AS mention, 'two ' || p_name || ' and ' || p_type AS text FROM part WHERE p_partkey % 10 = 0),
+@query("""WITH f AS (SELECT p_name AS phrase, min(p_brand) AS code FROM part GROUP BY p_name), m AS (SELECT p_partkey AS mention, 'two ' || p_name || ' and ' || p_type AS text FROM part),
 h AS (SELECT mention, count(DISTINCT code) AS codes, min(code) AS code FROM m JOIN f ON contains(lower(' ' || text || ' '), lower(' ' || phrase || ' ')) GROUP BY mention)
 SELECT mention, CASE WHEN codes = 1 THEN code END AS code, CASE WHEN codes = 1 THEN 'REVIEW' WHEN codes > 1 THEN 'BLOCK' END AS status FROM m LEFT JOIN h USING (mention)""")
 def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13."""
     parts = table(spark, sf_dir, "part")
     phrases = parts.groupBy(F.col("p_name").alias("phrase")).agg(F.min("p_brand").alias("code"))
-    mentions = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("mention"), F.concat(F.lit("two "), "p_name", F.lit(" and "), "p_type").alias("text"))
+    mentions = parts.select(F.col("p_partkey").alias("mention"), F.concat(F.lit("two "), "p_name", F.lit(" and "), "p_type").alias("text"))
     return catalog.phrase_codes(mentions, phrases)
 
 
@@ -278,13 +283,13 @@ def ordered_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rules.first_reason(checks).alias("reason"))
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), h AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (SELECT min(l_suppkey) FROM c WHERE c.l_orderkey = o_orderkey) ELSE o_custkey % 100 END AS choice FROM orders WHERE o_orderkey % 3 > 0)
+@query("""WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), h AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (SELECT min(l_suppkey) FROM c WHERE c.l_orderkey = o_orderkey) ELSE o_custkey % 100 END AS choice FROM orders WHERE o_orderstatus <> 'P')
 SELECT k.l_orderkey, CASE WHEN c.l_suppkey IS NOT NULL THEN choice END AS chosen, CASE WHEN choice IS NOT NULL AND c.l_suppkey IS NULL THEN 'unknown_choice' END AS reason FROM (SELECT DISTINCT l_orderkey FROM c) k LEFT JOIN h USING (l_orderkey) LEFT JOIN c ON c.l_orderkey = k.l_orderkey AND c.l_suppkey = choice""")
 def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J18."""
     candidates = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     low = candidates.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("low"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").withColumnRenamed("o_orderkey", "l_orderkey").join(low, "l_orderkey", "left")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").withColumnRenamed("o_orderkey", "l_orderkey").join(low, "l_orderkey", "left")
     choices = orders.select("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("low")).otherwise(F.col("o_custkey") % 100).alias("choice"))
     return rules.confirm(candidates, choices, "l_orderkey", "l_suppkey")
 

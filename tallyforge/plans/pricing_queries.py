@@ -78,13 +78,13 @@ def price_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_brand, count(DISTINCT (p_type, p_size)) AS variants, bool_or(p_size = 50) AS conflicted, min_by(p_type, p_partkey) AS t, min_by(p_size, p_partkey) AS z FROM part WHERE p_partkey % 37 < 2 GROUP BY p_brand)
-SELECT p_brand, variants, conflicted, CASE WHEN variants = 1 AND NOT conflicted THEN t END AS p_type, CASE WHEN variants = 1 AND NOT conflicted THEN z END AS p_size FROM s""")
+WITH s AS (SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS variants, bool_or(l_tax > 0.07) AS conflicted, min(l_returnflag) AS f, min(l_linestatus) AS t FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, variants, conflicted, CASE WHEN variants = 1 AND NOT conflicted THEN f END AS l_returnflag, CASE WHEN variants = 1 AND NOT conflicted THEN t END AS l_linestatus FROM s""")
 def unique_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2."""
-    specs = table(spark, sf_dir, "part").where("p_partkey % 37 < 2")
-    out = pricing.unique_specs(specs, "p_brand", ["p_type", "p_size"], F.col("p_size") == 50, "p_partkey")
-    return out.select("p_brand", "variants", "conflicted", "spec.p_type", "spec.p_size")
+    specs = table(spark, sf_dir, "lineitem")
+    out = pricing.unique_specs(specs, "l_orderkey", ["l_returnflag", "l_linestatus"], F.col("l_tax") > 0.07, "l_partkey")
+    return out.select("l_orderkey", "variants", "conflicted", "spec.l_returnflag", "spec.l_linestatus")
 
 
 @query("""

@@ -184,12 +184,12 @@ def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.id_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""WITH r AS (SELECT url, md5(html) AS content FROM pages UNION ALL SELECT url, CASE WHEN page_id % 10 = 0 THEN 'changed' ELSE md5(html) END FROM pages WHERE page_id % 3 = 0)
+@query("""WITH r AS (SELECT url, md5(html) AS content FROM pages UNION ALL SELECT url, CASE WHEN length(html) > 1500 THEN 'changed' ELSE md5(html) END FROM pages WHERE contains(url, '3'))
 SELECT url, count(*) AS copies, CASE WHEN count(DISTINCT content) <= 1 THEN min(content) END AS content, count(DISTINCT content) > 1 AS conflict FROM r GROUP BY url""")
 def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G23."""
     pages = table(spark, sf_dir, "pages")
-    second = pages.where("page_id % 3 = 0").select("url", F.when(F.col("page_id") % 10 == 0, "changed").otherwise(F.md5("html")).alias("content"))
+    second = pages.where(F.col("url").contains("3")).select("url", F.when(F.length("html") > 1500, "changed").otherwise(F.md5("html")).alias("content"))
     return graphs.merge_shards([pages.select("url", F.md5("html").alias("content")), second], "url", "content")
 
 
