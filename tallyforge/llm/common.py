@@ -94,7 +94,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Narrow rows that may be broadcast after a count.
-FEW = 250_000
+FEW = 500_000
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
