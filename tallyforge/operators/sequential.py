@@ -16,24 +16,24 @@ from pyspark.sql import functions as F
 def cluster_values(rows: DataFrame, keys: list[str], value: str, handle: str, absolute: float = 2.0, relative: float = 0.005) -> DataFrame:
     """Greedy clusters of a key's values: in ascending order a value joins while it is within max(2, 0.5 %) of the running mean.
 
-    Returns keys, cluster (from 0), center, size and corroborated (two or more handles). Null values are left out.
+    Equal values are counted before they are grouped: once the first of them has joined, the others do. Returns keys, cluster (from 0),
+    center, size and corroborated (two or more handles). Null values are left out.
     """
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna(subset=[value]).sort_values([value, handle])
-        labels, total, n, label = [], 0.0, 0, -1
-        for x in group[value]:
-            if n and abs(x - total / n) <= max(absolute, relative * abs(total / n)):
-                total, n = total + x, n + 1
+        out: list[list] = []  # total, size, least and greatest handle
+        for x, n, low, high in group.sort_values("__x")[["__x", "__n", "__low", "__high"]].itertuples(index=False):
+            if out and abs(x - (mean := out[-1][0] / out[-1][1])) <= max(absolute, relative * abs(mean)):
+                t, size, a, b = out[-1]
+                out[-1] = [t + x * n, size + n, min(a, low), max(b, high)]
             else:
-                total, n, label = x, 1, label + 1
-            labels.append(label)
-        out = group.assign(cluster=labels).groupby("cluster").agg(center=(value, "mean"), size=(value, "size"), handles=(handle, "nunique")).reset_index()
-        out["corroborated"] = out.pop("handles") >= 2
-        return out.assign(**{k: group[k].iloc[0] if len(group) else None for k in keys})[[*keys, "cluster", "center", "size", "corroborated"]]
+                out.append([x * n, n, low, high])
+        found = pd.DataFrame([(i, t / n, n, a != b) for i, (t, n, a, b) in enumerate(out)], columns=["cluster", "center", "size", "corroborated"])
+        return found.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "cluster", "center", "size", "corroborated"]]
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, value, handle).groupBy(*keys).applyInPandas(cluster, f"{kinds}, cluster int, center double, size long, corroborated boolean")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__n"), F.min(handle).alias("__low"), F.max(handle).alias("__high"))
+    return counted.groupBy(*keys).applyInPandas(cluster, f"{kinds}, cluster int, center double, size long, corroborated boolean")
 
 
 def merge_occurrences(rows: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -72,8 +72,9 @@ def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) ->
 
     def union(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
-        root = {i: i for i in group["id"]}
-        traits = {r["id"]: ({r["room"]} - {None}, {r["name"]} - {None}) for r in group.to_dict("records")}
+        rows_ = group.to_dict("records")
+        root = {r["id"]: r["id"] for r in rows_}
+        traits = {r["id"]: ({r["room"]} - {None}, {r["name"]} - {None}) for r in rows_}
 
         def find(x):
             while root[x] != x:
@@ -81,12 +82,16 @@ def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) ->
             return x
 
         for columns in passes:
-            for _, bucket in group.dropna(subset=columns).groupby(columns):
-                if bucket["sheet"].nunique() < 2:
+            buckets: dict[tuple, list[dict]] = {}
+            for r in rows_:
+                value = tuple(r[c] for c in columns)
+                if not any(pd.isna(v) for v in value):
+                    buckets.setdefault(value, []).append(r)
+            for _, bucket in sorted(buckets.items()):
+                if len({r["sheet"] for r in bucket}) < 2:
                     continue
-                ids = bucket["id"].tolist()
-                for a, b in zip(ids, ids[1:]):
-                    a, b = sorted((find(a), find(b)))
+                for one, two in zip(bucket, bucket[1:]):
+                    a, b = sorted((find(one["id"]), find(two["id"])))
                     if a == b or any(x and y and not x & y for x, y in zip(traits[a], traits[b])):
                         continue
                     root[b] = a

@@ -294,7 +294,10 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.confirm(candidates, choices, "l_orderkey", "l_suppkey")
 
 
-@query()
+@query(r"""WITH p AS (SELECT p_partkey, p_partkey % 12 AS k, p_size, p_name, lower(trim(p_name)) AS n FROM part),
+t AS (SELECT *, list_sort(list_distinct(list_append(regexp_extract_all(n, '[a-z0-9]+'), n))) AS tok, list_sort(list_distinct(CASE WHEN length(p_name) < 2 THEN [p_name] ELSE list_transform(range(1, length(p_name)), lambda i: substring(p_name, i, 2)) END)) AS g FROM p)
+SELECT p_partkey, 'GC-SS-' || lpad(CAST(k AS VARCHAR), 2, '0') || ',MT-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS codes, array_to_string(list_transform(range(k, k + 4), lambda i: 'A-' || lpad(CAST(i AS VARCHAR), 2, '0')), ',') AS "range", array_to_string(tok, ',') AS tokens, array_to_string(g, '') AS grams,
+  'A' || lpad(CAST(k AS VARCHAR), 2, '0') || 'A' || lpad(CAST(k + 3 AS VARCHAR), 2, '0') AS key, p_name || ';x' AS list FROM t""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes, ranges, tokens, bigrams and keys of made-up texts around part names."""
     parts = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 12)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions import boxes, numeric, text
-from tallyforge.operators import catalog, geometry, graphs, matching, pricing, ranking, rules, sequential, spatial
+from tallyforge.operators import assembly, catalog, geometry, graphs, matching, pricing, ranking, rules, sequential, spatial
 from tallyforge.sources import files, sinks, workbooks
 
 
@@ -227,6 +227,11 @@ def test_empty_inputs(spark):
     assert graphs.components(empty.select("id"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_same_set(spark):
+    rows = [(["a", "b"], ["b", "a", "a"]), (["a"], ["b"]), ([], [])]
+    assert values(spark, assembly.same_set(F.col("a"), F.col("b")), rows, "a array<string>, b array<string>") == [True, False, True]
+
+
 def test_policy_hash_and_ids(spark):
     assert text.policy_hash({"b": 1, "a": [2]}) == text.policy_hash({"a": [2], "b": 1})
     ids = values(spark, text.content_id("x", {"b": F.col("t"), "a": F.lit(1)}), [('q"\\',), (None,)], "t string")
