@@ -8,23 +8,42 @@ from pyspark.sql import functions as F
 from tallyforge.plans.checkpoints import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
-    """(id, component): the least id that is reachable over ``edges`` (a, b); nodes without edges are their own.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for each node of ``edges`` (a, b: long): root is the least node of its component.
 
-    Each round takes the least label among the neighbours, then the label of that label, so labels halve their
-    distance to the root; both are grouped or equi-joined, and each round is checkpointed.
+    Each step joins every edge with the least neighbour of one of its ends, a grouped minimum with
+    map-side combine, so a hub is never gathered in one task; the result of a step is checkpointed.
+    Loops, repeated edges and nulls are allowed: a loop gives (node, node), an edge with a null is ignored.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, labels = cut(both), cut(nodes.select(F.col(node).alias("a"), F.col(node).alias("l")).distinct())
-    while True:
-        offered = both.join(labels.withColumnRenamed("a", "b").withColumnRenamed("l", "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-        lower = labels.join(offered, "a", "left").select("a", "l", F.least("l", "m").alias("m"))
-        jump = labels.select(F.col("a").alias("m"), F.col("l").alias("j"))
-        after = cut(lower.join(jump, "m", "left").select("a", "l", F.least("m", "j").alias("n")))
-        moved = after.where("n <> l").isEmpty()
-        labels = after.select("a", F.col("n").alias("l"))
-        if moved:
-            return labels.select(F.col("a").alias(node), F.col("l").alias("component"))
+    edges = edges.select("a", "b").where("a is not null and b is not null")
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = _mark(links)
+    while mark[0]:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = _mark(links)
+        if now == mark:
+            break
+        mark = now
+    leaves = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return leaves.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def _mark(links: DataFrame) -> tuple:
+    """Size and an order-free checksum of the links; equal marks of two steps mean that nothing moved."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
+    """(id, component): the least id that is reachable over ``edges`` (a, b); nodes without edges are their own."""
+    roots = connected_components(edges).withColumnsRenamed({"node": node, "root": "component"})
+    return nodes.select(node).distinct().join(roots, node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def path_summary(parts: DataFrame, component: str = "component") -> DataFrame:
