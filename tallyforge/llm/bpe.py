@@ -25,7 +25,9 @@ from tallyforge.llm.common import with_arrow
 #: Pieces of up to so many bytes are encoded together.
 SHORT = 32
 #: Pieces that a task remembers; at this many it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
+#: Short pieces in one array of trees.
+TOGETHER = 4096
 NONE = np.iinfo(np.int64).max // 2
 
 
@@ -189,8 +191,8 @@ class Encoder:
         if whole:
             done.append((whole, np.array([known[raw[k]] for k in whole], np.int64), np.ones(len(whole), np.int64)))
         for size, ks in by_size.items():
-            for start in range(0, len(ks), 16_384):
-                some = ks[start : start + 16_384]
+            for start in range(0, len(ks), TOGETHER):
+                some = ks[start : start + TOGETHER]
                 done.append((some, *encode_short([raw[k] for k in some], self.ranks, size)))
         base = len(self.slot)
         self.slot.update((new[k], base + i) for i, k in enumerate(k for ks, _, _ in done for k in ks))

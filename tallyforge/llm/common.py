@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.plans.checkpoints import checkpoint_root, cut
+
+__all__ = ["bound_batches", "blocks", "cut", "if_few", "shared_folder", "stored", "table", "with_arrow", "word_count"]
+
 #: Text bytes that one numpy or Python step holds at a time inside a task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+
+#: Bytes of an Arrow batch between the JVM and a Python worker. Rows of text are long: Spark's default of 10,000 rows would hold tens of MB on both sides.
+BATCH_BYTES = 4 << 20
 
 #: The ASCII white space that separates words in every contract of this package.
 SPACE = r"\x20\x09-\x0D"
@@ -22,29 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The context's own folder under ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local session gets a temporary folder and a cluster an error.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        setting = context.getConf().get("spark.checkpoint.dir")
-        if not setting and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(setting or tempfile.mkdtemp(prefix="tallyforge-"))
-    return context.getCheckpointDir()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name in the context's checkpoint folder, for tables that a job writes and reads again."""
     return f"{checkpoint_root(spark)}/table-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored under ``spark.checkpoint.dir``, which all executors share."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session cut its Arrow batches at BATCH_BYTES, unless the job's configuration sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -55,16 +48,12 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         yield batch.slice(start, step)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    """The texts of a batch; a null is an empty text."""
-    return [x or "" for x in batch.column(column).to_pylist()]
-
-
 def with_arrow(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``fields`` that the function made by ``make`` computes from each block.
 
     ``make`` runs once a task. A column of ``df`` with an output's name is replaced; those in ``drop`` go.
     """
+    bound_batches(df.sparkSession)
     new = {f.name for f in fields} | set(drop)
     kept = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in kept]

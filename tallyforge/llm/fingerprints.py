@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import blocks, with_arrow
+from tallyforge.llm.common import blocks, bound_batches, with_arrow
 
 #: Code points of an anchor and of its inner substrings: of 6 inner ones each, the least is at an edge in a third of all cases.
 K, S = 10, 5
@@ -143,6 +143,8 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
 def shared_anchors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
     """(doc_id, position, anchor) of every closed syncmer, for positional matching by joins on ``anchor``; a text below k code points has none."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -192,6 +194,7 @@ def edited_halves(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     text is an empty one. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     An empty table gives no rows.
     """
+    bound_batches(df.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 

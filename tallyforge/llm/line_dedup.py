@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, cut, if_few, stored
+from tallyforge.llm.common import blocks, bound_batches, cut, if_few, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
@@ -46,6 +46,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NE
 
     h1 and h2 hash its words; ``again`` marks a line that the same text has before; k1 to k4 hash its halves, null below ``near_words``.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, th long, line int, again boolean, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut
+from tallyforge.llm.common import bound_batches, cut
 
 #: Text bytes of a bucket, on average.
 BUCKET_BYTES = 8 << 20
@@ -47,6 +47,7 @@ def shuffled_shards(df: DataFrame, shards: int = 40, seed: int = 0, doc_id: str
     lost task gives the same rows again. Rows equal in both are alike and may swap. Null ids and texts are values
     like others. An empty table gives no rows; columns named shard or slot are replaced.
     """
+    bound_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in ("shard", "slot")]
     data = df.select(*[f.name for f in keep])
     total, n = data.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16), F.count("*")).first()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.common import cut, with_arrow
-from tallyforge.llm.components import connected_components
+from tallyforge.operators.graphs import connected_components
 
 BITS = 64
 #: Shingles whose bits are unpacked at a time.

@@ -15,8 +15,9 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from tallyforge.llm import bpe, components, fingerprints, licenses, line_dedup, mixing, quality, queries, secrets, shards, simhash, toxicity
+from tallyforge.llm import bpe, fingerprints, licenses, line_dedup, mixing, quality, queries, secrets, shards, simhash, toxicity
 from tallyforge.llm.common import table
+from tallyforge.operators import graphs
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, shard string, __other int"
@@ -365,7 +366,7 @@ def test_links_give_all_components(spark, distance, hot_key):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     links = simhash.link_fingerprints(df, distance, hot_key)
-    roots = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    roots = {r["node"]: r["root"] for r in graphs.connected_components(links).collect()}
     got, want = defaultdict(set), defaultdict(set)
     for f, r in brute_components(fps, distance).items():
         want[r].add(f)
@@ -399,7 +400,7 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
 
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (5000, 5000), (None, 3)]
-    out = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["root"] for r in graphs.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(61)) and all(out[1000 + i] == 1000 for i in range(50)) and out[5000] == 5000
 
 
