@@ -25,7 +25,7 @@ from tallyforge.llm.common import with_arrow
 #: Pieces of up to so many bytes are encoded together.
 SHORT = 32
 #: Pieces that a task remembers; at this many it starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Short pieces in one array of trees.
 TOGETHER = 4096
 NONE = np.iinfo(np.int64).max // 2
@@ -273,17 +273,39 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
             lists = batch.column(ids)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-            sizes = ranks.sizes[flat]
-            ends = np.cumsum(sizes)
-            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(ranks.starts[flat] - ends + sizes, sizes)
-            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-            return [pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ranks.bytes[places])])]
+            return [decode(ranks, flat, np.concatenate([[0], np.cumsum(counts)]))]
 
         return step
 
     return with_arrow(df, ids, [T.StructField(out, T.BinaryType())], make)
 
 
+def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the ``ids`` of ``bpe_encode`` and the bytes that ``bpe_decode`` gives for them, in one pass: one Python worker a task."""
+    content = _shared(df, ranks_path)
+
+    def make():
+        encoder = encoder_of(content.value, pattern)
+
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            found, offsets = encoder.texts([x or "" for x in batch.column(text).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
+            return [lists, decode(encoder.ranks, found.astype(np.int64), offsets)]
+
+        return step
+
+    return with_arrow(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())], make)
+
+
+def decode(ranks: Ranks, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of each run of token ids between two offsets."""
+    sizes = ranks.sizes[ids]
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(ranks.starts[ids] - ends + sizes, sizes)
+    bounds = np.concatenate([[0], ends])[offsets].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(ranks.bytes[places])])
+
+
 def _shared(df: DataFrame, path: str):
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())

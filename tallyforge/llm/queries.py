@@ -42,8 +42,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.bpe_encode(docs, RANKS, PATTERN).drop("text")
-    return bpe.digests(bpe.bpe_decode(encoded, RANKS))
+    return bpe.digests(bpe.bpe_round_trip(docs, RANKS, PATTERN).drop("text"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

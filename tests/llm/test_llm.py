@@ -202,6 +202,7 @@ def reference_encoding():
 def test_bpe_equals_the_library(spark, odd, empty, reference_encoding):
     docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     out = bpe.bpe_decode(bpe.bpe_encode(docs, queries.RANKS, queries.PATTERN), queries.RANKS).collect()
+    assert sorted(out, key=str) == sorted(bpe.bpe_round_trip(docs, queries.RANKS, queries.PATTERN).collect(), key=str)
     assert len(out) == docs.count()
     for r in out:
         assert r["ids"] == reference_encoding.encode_ordinary(r["text"] or "")
