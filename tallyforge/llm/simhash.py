@@ -205,7 +205,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """``df`` with one row of each component of ``near_duplicates``: that of the smallest id (a tie: of the least text hash)."""
-    groups = cut(near_duplicates(df, doc_id, text, shingle, distance))
+    return first_of_components(df, cut(near_duplicates(df, doc_id, text, shingle, distance)), doc_id, text)
+
+
+def first_of_components(df: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``df`` with one row of each component of ``groups`` (doc_id, text_hash, component_id): that of the smallest id (a tie: of the least text hash)."""
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     own = [F.col(doc_id).eqNullSafe(F.col("__kept_id")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__kept_hash")]
     left = df.join(kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")), own, "left_semi")

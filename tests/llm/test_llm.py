@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from tallyforge.llm import bpe, fingerprints, licenses, line_dedup, mixing, quality, queries, secrets, shards, simhash, toxicity
+from tallyforge.llm import bpe, fingerprints, licenses, line_dedup, mixing, near_copies, quality, queries, secrets, shards, simhash, toxicity
 from tallyforge.llm.common import table
 from tallyforge.operators import graphs
 
@@ -399,6 +399,29 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot_key", [256, 4])
+def test_near_copies_equal_brute_force(spark, hot_key):
+    rng = random.Random(hot_key)
+    rows = [(d["doc_id"], d["text"]) for d in rows_of(spark)]
+    passage = [f"common{i}" for i in range(40)]
+    for k in range(40):  # copies in which words are exchanged, and texts that share a passage only
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(4, 200))]
+        rows.append((10_000 + 100 * k, " ".join(words)))
+        for c in range(1, 8):
+            rows.append((10_000 + 100 * k + c, " ".join("x" + w if rng.random() < 0.004 * c else w for w in words)))
+        rows.append((20_000 + k, " ".join(words[:40] + passage)))
+    sets = {i: set(near_copies.shingle_set(t).tolist()) for i, t in rows}
+    alike = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if (n := len(sets[a] & sets[b])) * 10 >= 8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert len(alike) > 300
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), hot_key=hot_key).collect()}
+    assert not any(a in kept and b in kept for a, b in alike)
+    root = {i: i for i in sets}
+    for a, b in sorted(alike) * 3:
+        root[a] = root[b] = min(root[a], root[b])
+    firsts = {i for i, r in root.items() if i == r}
+    assert kept == firsts if hot_key == 256 else kept >= firsts and all(any(i in p for p in alike) for i in sets if i not in kept)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (5000, 5000), (None, 3)]
     out = {r["node"]: r["root"] for r in graphs.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
