@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyforge.plans.checkpoints import checkpoint_root, cut
 
-__all__ = ["bound_batches", "blocks", "cut", "if_few", "shared_folder", "stored", "table", "with_arrow", "word_count"]
+__all__ = ["bound_batches", "blocks", "cut", "if_few", "labelled_sample", "shared_folder", "stored", "table", "texts_of_sample", "with_arrow", "word_count"]
 
 #: Text bytes that one numpy or Python step holds at a time inside a task.
 BLOCK_BYTES = 1 << 19
@@ -89,3 +89,19 @@ FEW = 500_000
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     """``df`` (checkpointed or stored, of a few numbers a row) marked for broadcast if it has up to ``most`` rows; else Spark shuffles."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def labelled_sample(labels: DataFrame, label: str, sample: int, seed: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """(doc_id, y) of about ``sample`` ids of each label, 0 and 1, or of all there are, chosen by a seeded hash of the id, and how many ids each label has; None without both labels."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not counts.get(0) or not counts.get(1):
+        return None, counts
+    share = F.when(F.col("y") == 1, F.lit(sample / counts[1])).when(F.col("y") == 0, F.lit(sample / counts[0]))
+    return cut(known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)), counts
+
+
+def texts_of_sample(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text): one row for each of ``chosen`` (doc_id, y) that ``docs`` has, however often it repeats the id: the least of its texts, a null being empty."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(if_few(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))

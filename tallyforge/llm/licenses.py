@@ -1,8 +1,11 @@
-"""License scans: whole texts and single lines, in canonical form, looked up by digest among known licences.
-
-The canonical form drops copyright lines, folds case, turns all but letters and digits into single spaces and
-replaces equivalent spellings, so licences that differ in those alone have one digest. The catalogue holds digests
-of whole licence texts and of the short notices that stand for them; documents meet it in a hash join.
+"""License scans: whole texts and single lines, in canonical form, joined by digest with known licences.
+
+The canonical form drops copyright notices and a title, folds case, turns all but letters and digits into single spaces and
+replaces equivalent spellings, so licences that differ in those alone have one digest. A notice is told from a sentence
+that a line break cut before "copyright" by what follows: a year, a sign, a placeholder, "by" or "all rights reserved". Where it ends no mark
+says, so a text has two forms: one drops the notice's whole paragraph and doesn't depend on how lines are wrapped, the other its
+line, for texts that go on in the next line. The catalogue holds the digests of both forms of licence texts, and those of
+the short notices that stand for them.
 """
 
 from __future__ import annotations
@@ -15,65 +18,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import with_arrow
-from tallyforge.llm.license_texts import BODIES, NOTICES, SPELLINGS, TEXTS
+from tallyforge.llm.common import cut, if_few, with_arrow
+from tallyforge.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
-_COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved\b|portions copyright\b).*$", re.IGNORECASE | re.MULTILINE)
+_NOTICE = re.compile(
+    r"^\W*(?:(?:portions\s+)?copyright\s*(?:\(c\)|©|[0-9]{4}|[<\[{]|by\b|yyyy\b)|portions\s+copyright\b|(?:\(c\)|©)\s*(?:copyright\b|[0-9]{4}|[<\[{]|by\b|yyyy\b)|all\s+rights\s+reserved\W*$|copyright\b.*\b[12][0-9]{3}\b)",
+    re.IGNORECASE,
+)
+_LICENSE = re.compile(r"licen[sc]e", re.IGNORECASE)
 _OTHER = re.compile(r"[\W_]+")
 _WORDS = re.compile(r"\b(?:" + "|".join(map(re.escape, SPELLINGS)) + r")\b")
-#: A notice line has a word of this kind; other lines are not looked up.
-_HINT = re.compile(r"licen[sc]e|spdx|public domain|gpl|creative commons|cc by|cc0", re.IGNORECASE)
+#: Words of a title at most, and of what goes on after a notice's line and still belongs to it.
+TITLE, REST = 12, 11
+#: Lines of documents that the shipped notices can equal have a word of this kind.
+HINT = r"licen[sc]e|spdx|public domain|gpl|creative commons|cc by|cc0"
+
+
+def _folded(text: str) -> str:
+    return _WORDS.sub(lambda m: SPELLINGS[m[0]], _OTHER.sub(" ", text.casefold()).strip())
+
+
+def _paragraphs(text: str) -> list[list[str]]:
+    """The lines of each paragraph: lines without letters and digits part them."""
+    out: list[list[str]] = [[]]
+    for line in text.splitlines():
+        if re.search(r"[^\W_]", line):
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return [p for p in out if p]
+
+
+def canonical(text: str, whole: bool = True) -> str:
+    """The form of a text in which licences are compared: without notices - their ``whole`` paragraphs, or their lines alone - and title."""
+    parts: list[str] = []
+    for lines in _paragraphs(text):
+        if whole:
+            if not _NOTICE.match(lines[0]):
+                parts.append(" ".join(lines))
+            continue
+        run: list[str] = []
+        after = False  # a notice stands before the run in this paragraph
+        for line in [*lines, None]:
+            if line is not None and not _NOTICE.match(line):
+                run.append(line)
+                continue
+            if run and not (after and len(" ".join(run).split()) <= REST):
+                parts.append(" ".join(run))
+            run, after = [], True
+    if len(parts) > 1 and len(parts[0].split()) <= TITLE and _LICENSE.search(parts[0]):
+        parts = parts[1:]
+    return _folded(" ".join(parts))
 
-#: Entries of a catalogue, at most.
-MOST = 5000
 
+def line_form(text: str) -> str:
+    """The canonical form of a single line; that of a copyright notice is empty."""
+    return "" if _NOTICE.match(text) else _folded(text)
 
-def canonical(text: str) -> str:
-    """The form of a text in which licences are compared."""
-    folded = _OTHER.sub(" ", _COPYRIGHT.sub("", text).casefold()).strip()
-    return _WORDS.sub(lambda m: SPELLINGS[m[0]], folded)
 
+def _sha(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
 
-def digest(text: str) -> str:
-    return hashlib.sha256(canonical(text).encode()).hexdigest()
 
+def digests(text: str) -> tuple[str, str]:
+    """The digests of both canonical forms of a text."""
+    return _sha(canonical(text)), _sha(canonical(text, False))
 
-def catalogue(texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> list[tuple[str, str, str]]:
-    """(digest, licence, kind) of the known texts and notices."""
-    rows = [(digest(t), name, "text") for known in ((texts, BODIES) if texts is TEXTS else (texts,)) for name, t in known.items()]
-    return sorted(set(rows + [(digest(t), name, "notice") for name, lines in notices.items() for t in lines]))
 
+_NOTHING = _sha("")
 
-def with_digests(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text_digest``, of the whole text, and ``line_digests``, array<struct<line, digest>> of its lines that mention a licence; a null text is an empty one."""
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("digest", pa.string())]))
-    line = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("digest", T.StringType())])
+
+def catalogue(texts: dict[str, str] = TEXTS, notices: dict[str, list[str]] = NOTICES, known: dict[str, list[str]] = DIGESTS) -> list[tuple[str, str, str]]:
+    """(digest, licence, kind) of the known texts, given or by their digests, and notices."""
+    rows = [(d, name, "text") for name, t in texts.items() for d in digests(t)]
+    rows += [(d, name, "text") for name, ds in known.items() for d in ds]
+    return sorted({r for r in rows + [(_sha(line_form(t)), name, "notice") for name, lines in notices.items() for t in lines] if r[0] != _NOTHING})
+
+
+def with_digests(df: DataFrame, text: str = "text", hint: str | None = HINT) -> DataFrame:
+    """``df`` with ``text_digest`` and ``other_digest``, of both forms of the whole text, and ``line_digests`` (array), of its lines that match ``hint``, or of all.
+
+    A null text is an empty one; forms without words have no line digest. Columns of these names are replaced.
+    """
+    likely = re.compile(hint, re.IGNORECASE) if hint is not None else None
 
     def make():
+        def of_lines(x: str) -> list[str]:
+            if likely is not None and not likely.search(x):
+                return []
+            return sorted({_sha(form) for s in x.split("\n") if (likely is None or likely.search(s)) and (form := line_form(s))})
+
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [x or "" for x in batch.column(text).to_pylist()]
-            lines = [[{"line": i, "digest": digest(s)} for i, s in enumerate(x.split("\n")) if _HINT.search(s)] if _HINT.search(x) else [] for x in texts]
-            return [pa.array([digest(x) for x in texts]), pa.array(lines, kind)]
+            both = [digests(x) for x in texts]
+            return [*(pa.array([d[k] for d in both], pa.string()) for k in (0, 1)), pa.array([of_lines(x) for x in texts], pa.list_(pa.string()))]
 
         return step
 
-    return with_arrow(df, text, [T.StructField("text_digest", T.StringType()), T.StructField("line_digests", T.ArrayType(line))], make)
+    fields = [T.StructField("text_digest", T.StringType()), T.StructField("other_digest", T.StringType()), T.StructField("line_digests", T.ArrayType(T.StringType()))]
+    return with_arrow(df, text, fields, make)
 
 
-def scan_licenses(df: DataFrame, known: list[tuple[str, str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, known: DataFrame | list[tuple[str, str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_digest, license, notices) of every row: the licence whose whole text it is, or null, and those that its lines name.
 
-    ``known`` is a catalogue: configuration of bounded size, whose texts are broadcast and whose notices are a literal map.
-    A row without notices has an empty array; repeated rows are scanned alike; texts without words match nothing.
+    ``known`` is a catalogue (digest, license, kind: text or notice) of any size, by default the shipped one: digests meet it in hash joins, and it is
+    broadcast only after a count. Of several licences with one digest the least name counts. A row without notices has an empty array; repeated rows
+    and rows of one id are scanned each for itself; texts without words match nothing; null ids stay null; an empty table gives no rows.
     """
-    spark = df.sparkSession
-    entries = [e for e in (catalogue() if known is None else known) if e[0] != digest("")]
-    if len(entries) > MOST:
-        raise ValueError(f"a catalogue of more than {MOST} digests isn't broadcast")
-    texts = sorted({d: name for d, name, kind in entries if kind == "text"}.items())
-    notices = {d: name for d, name, kind in entries if kind == "notice"}
-    whole = F.broadcast(spark.createDataFrame(texts, "text_digest string, license string"))
-    rows = with_digests(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text").join(whole, "text_digest", "left")
-    names = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair]) if notices else F.create_map(F.lit(""), F.lit(""))
-    named = F.filter(F.transform("line_digests", lambda s: F.try_element_at(names, s["digest"])), lambda x: x.isNotNull())
-    return rows.select("doc_id", "text_digest", "license", F.array_sort(F.array_distinct(named)).alias("notices"))
+    spark, schema = df.sparkSession, "digest string, license string, kind string"
+    if known is None or isinstance(known, list):
+        entries = spark.createDataFrame(catalogue() if known is None else known, schema)
+    else:
+        entries = known.select("digest", "license", "kind")
+    entries = cut(entries.where(F.col("digest") != _NOTHING).groupBy("digest", "kind").agg(F.min("license").alias("license")))
+    of = lambda kind, key, out: if_few(entries.where(F.col("kind") == kind).select(F.col("digest").alias(key), F.col("license").alias(out)))
+    rows = with_digests(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("__th")), hint=HINT if known is None else None).drop("text")
+    rows = cut(rows)
+    lines = rows.where(F.size("line_digests") > 0).select("doc_id", "__th", F.explode("line_digests").alias("line_digest")).distinct()
+    named = lines.join(of("notice", "line_digest", "__notice"), "line_digest").groupBy("doc_id", "__th").agg(F.array_sort(F.collect_set("__notice")).alias("notices"))
+    named = if_few(cut(named.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "notices")))
+    out = rows.join(of("text", "text_digest", "__one"), "text_digest", "left").join(of("text", "other_digest", "__two"), "other_digest", "left")
+    out = out.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    return out.select("doc_id", "text_digest", F.coalesce("__one", "__two").alias("license"), F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut, if_few, with_arrow
+from tallyforge.llm.common import labelled_sample, texts_of_sample, with_arrow
 
 #: Statistics that the rules use, and those that the trees add; the sign asks for a monotone score.
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -136,29 +136,25 @@ def _flat(nodes: list[list], roots: list[int], start: float, depth: int) -> Tree
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = 0) -> Trees | None:
-    """Trees learnt from labelled documents, at most about ``sample`` of each label, chosen by a seeded hash of the id.
+    """Trees learnt from the labelled documents that pass the rules, at most about ``sample`` of each label, chosen by a seeded hash of the id.
 
-    Only the features of the chosen reach the driver. Without both labels there is no model.
+    Only the features of the chosen reach the driver, one row an id and label: of the texts of an id that ``documents`` repeats, the
+    least counts. Null ids and labels teach nothing. Without both labels among those that pass, as with empty tables, there is no model.
     """
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
+    chosen, _ = labelled_sample(labels, label, sample, seed)
+    if chosen is None:
         return None
-    share = F.when(F.col("y") == 1, F.lit(sample / counts[1])).otherwise(F.lit(sample / counts[0]))
-    chosen = if_few(cut(known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)))
-    rows = with_statistics(docs.select("doc_id", "text").join(chosen, "doc_id")).select("y", "n_words", "n_repeat_words", "features").toArrow()
+    rows = with_statistics(texts_of_sample(docs, chosen)).select("y", "n_words", "n_repeat_words", "features").toArrow()
     x = np.array(rows.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column("y").to_numpy().astype(float)
     passed = ~base_failed(rows.column("n_words").to_numpy(), rows.column("n_repeat_words").to_numpy())  # the rules take the others
-    if passed.sum() < 20 or len(set(y[passed])) < 2:
-        passed[:] = True
-    if len(set(y)) < 2:
+    if len(set(y[passed])) < 2:
         return None
     return fit_trees(x[passed], y[passed], list(FEATURES.values()))
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the base statistics (long) and ``features`` (array<double>) of each whole text; a null text is an empty one."""
+    """``df`` with the base statistics (long) and ``features`` (array<double>) of each whole text; a null text is an empty one. Columns of these names are replaced."""
     fields = [T.StructField(n, T.LongType()) for n in BASE] + [T.StructField("features", T.ArrayType(T.DoubleType()))]
 
     def make():
@@ -174,7 +170,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 def quality_verdicts(df: DataFrame, model: Trees | None, text: str = "text", least: float = LEAST) -> DataFrame:
     """``df`` with the base statistics, base_failed, score and kept; without a model the score is null and the rules alone decide.
 
-    Texts without words fail the rules. Extra columns pass; those with an output's name are replaced.
+    Texts without words fail the rules. Repeated rows get equal verdicts, an empty table gives no rows. Extra columns pass; those with
+    an output's name are replaced.
     """
     fields = [T.StructField(n, T.LongType()) for n in BASE] + [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut, with_arrow
+from tallyforge.llm.common import cut, if_few, with_arrow
 from tallyforge.operators.graphs import connected_components
 
 BITS = 64
@@ -209,10 +209,20 @@ def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def first_of_components(df: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``df`` with one row of each component of ``groups`` (doc_id, text_hash, component_id): that of the smallest id (a tie: of the least text hash)."""
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    own = [F.col(doc_id).eqNullSafe(F.col("__kept_id")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__kept_hash")]
-    left = df.join(kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")), own, "left_semi")
-    if groups.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+    """``df`` with one row of each component of ``groups`` (doc_id, text_hash, component_id): that of the smallest id (a tie: of the least text hash).
+
+    The rows that go are taken out, which are fewer than those that stay: if they are few, no text is shuffled.
+    """
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("__kept")).agg(F.min("text_hash").alias("__kept_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("__kept_hash"))
+    marked = groups.join(kept, F.col("component_id").eqNullSafe(F.col("__kept")), "left").select("doc_id", "text_hash", F.coalesce(stays, F.lit(False)).alias("__stays"))
+    rows = cut(marked.groupBy("doc_id", "text_hash").agg(F.bool_or("__stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"))
+    gone = rows.where("not __stays").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
+    own = F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__gone_hash"))
+    left = df.join(if_few(gone), own, "left_anti")
+    if rows.where("__stays").isEmpty():
         return left
-    return left.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    # rows of one id and text: one of them stays, and only they are grouped
+    twice = rows.where("__stays").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
+    once, several = left.join(if_few(twice), own, "left_anti"), left.join(if_few(twice), own, "left_semi")
+    return once.unionByName(several.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, "__hash"]).drop("__hash"))

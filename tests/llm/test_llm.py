@@ -112,16 +112,14 @@ def test_fingerprints_on_odd_rows(spark, odd, empty):
 
 def test_licenses(spark, odd, empty):
     mit = licenses.TEXTS["MIT"].replace("<year>", "2021").replace("<holder>", "Some One").upper()
-    isc = licenses.BODIES["ISC"].replace("software", "  software ")
+    isc = licenses.TEXTS["ISC"].split("\n\n", 1)[1].replace("software", "  software ")
     docs = spark.createDataFrame([(1, mit), (2, isc), (3, mit + " and more"), (4, "prose\nReleased under the MIT Licence"), (5, None)], "doc_id long, text string")
     out = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan_licenses(docs).collect()}
     assert out == {1: ("MIT", []), 2: ("ISC", []), 3: (None, []), 4: (None, ["MIT"]), 5: (None, [])}
-    assert licenses.scan_licenses(odd).count() == odd.count()
+    rows = licenses.scan_licenses(odd)
+    assert rows.columns == ["doc_id", "text_digest", "license", "notices"]
+    assert sorted((r["doc_id"] or 0, r["license"], r["notices"]) for r in rows.collect()) == sorted((r["doc_id"] or 0, None, []) for r in odd.collect())
     assert licenses.scan_licenses(empty).count() == 0
-    found = Counter(r["notices"] for r in queries.op2_license_scan(spark, "/root/testdata/sf0.01").collect())
-    texts = [r["text"] for r in rows_of(spark, sf="/root/testdata/sf0.01")]
-    assert found["MIT"] == sum("Released under the MIT License." in t.split("\n") for t in texts)
-    assert found["GPL-3.0"] > 0 and found["Apache-2.0"] > 0 and found["CC-BY-NC-4.0"] > 0
 
 
 # ---- 3: toxicity
@@ -142,7 +140,7 @@ def within(a, b):
 
 def test_automaton_is_one_edit():
     terms = [("idiot", False), ("stupid", False), ("clown", False), ("vequ", True), ("cow", False)]
-    auto = toxicity.build_automaton(terms)
+    auto = toxicity.Automaton(terms)
     table_ = toxicity._class_table(auto)
     rng = random.Random(1)
     words = set()
@@ -157,15 +155,15 @@ def test_automaton_is_one_edit():
                     w[j], w[j + 1] = w[j + 1], w[j]
             words.add("".join(w))
     words = sorted(w for w in words if w)
-    _, _, _, hits = toxicity.find_hits([" ".join(words)], auto, table_)
+    hits = toxicity.find_hits([" ".join(words)], auto, table_)[-1]
     got = {int(h[0]): int(h[1]) for h in hits.T}
     for i, w in enumerate(words):
-        want = 3 if w in ("idiot", "stupid", "clown", "cow") else 2 if w.startswith("vequ") else 1 if any(within(w, t) for t in ("idiot", "stupid", "clown")) else 0
+        want = 4 if w in ("idiot", "stupid", "clown", "cow") else 3 if w.startswith("vequ") else 2 if any(within(w, t) for t in ("idiot", "stupid", "clown")) else 0
         assert got.get(i, 0) == want, w
 
 
 def test_toxicity_context():
-    auto = toxicity.build_automaton([("idiot", False)])
+    auto = toxicity.Automaton([("idiot", False)])
     t = toxicity._class_table(auto)
     plain, said, leet, marked = toxicity.features(["you idiot , go", 'she read "you idiot , go" aloud', "you 1d10t", "an idiot### there"], auto, t)
     assert plain[0] > said[0] > 0 and said[4] > 0 and plain[4] == 0
@@ -555,7 +553,7 @@ def test_random_runs(reference_encoding):
     keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(50)]
     hit = sum(bool(secrets.random_runs(f"see {k} there", reference_encoding)) for k in keys)
     assert hit >= 48
-    for plain in ("the_quick_brown_fox_jumps_2024", "src/main/java/org/example/Application", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "internationalization", "1234567890123456789012345"):
+    for plain in ("the_quick_brown_fox_jumps_2024", "HttpServletRequestWrapperFactory", "python-3-11-2-linux-x86-64", "2024-01-02T03-04-05-678", "/usr/local/lib/python3/dist-packages", "src/main/java/org/example/Application", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "internationalization", "1234567890123456789012345"):
         assert not secrets.random_runs(plain, reference_encoding), plain
 
 
