@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUANTITY = T.DecimalType(38, 9)
-#: Bounds of the safe arithmetic (M1): characters, nodes, literals, values.
+#: Bounds of the safe arithmetic (M1): characters, nodes, literals, values. Fixed values.
 LONGEST, NODES, LITERAL, VALUE = 256, 64, Decimal(10) ** 12, Decimal(10) ** 15
 
 _OPERATIONS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b}
@@ -123,7 +123,9 @@ def dimensional(text: str | None, unit: str | None, width: float | None, length:
 @F.pandas_udf(QUANTITY)
 def dimensional_quantity(text: pd.Series, unit: pd.Series, width: pd.Series, length: pd.Series, quantity: pd.Series) -> pd.Series:
     """M2 as a column function; null where the expression isn't valid for its unit or a value is missing."""
-    return pd.Series([_rounded(dimensional(*row)) for row in zip(text, unit, width, length, quantity)], dtype=object)
+    rows = list(zip(text, unit, width, length, quantity))
+    known = {row: _rounded(dimensional(*row)) for row in set(rows)}  # each distinct row is parsed once a batch
+    return pd.Series([known[row] for row in rows], dtype=object)
 
 
 def formula(expression: Column, symbols: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Dashes and spaces that count as one.
+#: Dashes that count as one, and separators of lists. Fixed values.
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uff0d"
 SEPARATORS = ",\uff0c;\uff1b|\uff5c"
 
@@ -86,7 +86,7 @@ def tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(key), F.regexp_extract_all(key, F.lit("([a-z0-9]+)"), F.lit(1)))))
 
 
-#: Attribute tags by the role that they play.
+#: Attribute tags by the role that they play (T6). Fixed values.
 ROLES = {"HT": "height", "HEIGHT": "height", "LEN": "length", "LENGTH": "length", "WD": "width", "WIDTH": "width", "QTY": "quantity", "COUNT": "quantity"}
 
 
@@ -121,13 +121,23 @@ def code_key(c: Column) -> Column:
     return F.when(key.rlike("[A-Z]") & key.rlike("[0-9]"), key)
 
 
+#: Characters below the space that JSON has short escapes for.
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_string(value: Column) -> Column:
+    """A text as canonical JSON: quotes, backslashes and control characters escaped, everything else as it is; a null is null."""
+    text = F.replace(F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    controlled = text
+    for i in range(32):
+        controlled = F.replace(controlled, F.lit(chr(i)), F.lit(_SHORT.get(chr(i), f"\\u{i:04x}")))
+    escaped = F.when(text.rlike(r"[\x00-\x1f]"), controlled).otherwise(text)
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
 def content_id(prefix: str, fields: dict[str, Column]) -> Column:
-    """``prefix:`` and 24 hexadecimal digits of the SHA-256 of the fields as JSON, names sorted, without spaces."""
-    parts = []
-    for name in sorted(fields):
-        value = fields[name].cast("string")
-        escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-        parts.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))))
+    """``prefix:`` and 24 hexadecimal digits of the SHA-256 of the fields, as texts, in canonical JSON: names sorted, no spaces."""
+    parts = [F.concat(F.lit(f"{json.dumps(name, ensure_ascii=False)}:"), json_string(fields[name])) for name in sorted(fields)]
     return F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256), 1, 24))
 
 

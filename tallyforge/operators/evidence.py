@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.operators.spatial import containing_boxes
+
 
 def measurement_profile(facts: DataFrame, keys: list[str], value: str, relative: float = 1e-9) -> DataFrame:
-    """Per key the facts, and the numbers that differ by more than ``relative`` from the one before, in ascending order."""
-    values = F.array_sort(F.array_compact(F.collect_list(value)))
-    grouped = facts.groupBy(*keys).agg(F.count("*").alias("facts"), values.alias("__v"))
+    """Per key the facts, and the numbers that differ by more than ``relative`` from the one before, in ascending order.
+
+    Equal numbers are counted before they are collected, so what a key gathers are its distinct ones.
+    """
+    counted = facts.groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
+    grouped = counted.groupBy(*keys).agg(F.sum("__n").alias("facts"), F.array_sort(F.collect_list("__x")).alias("__v"))
     far = lambda done, x: (F.size(done) == 0) | (F.abs(x - F.element_at(done, -1)) > F.greatest(F.abs(x), F.abs(F.element_at(done, -1))) * relative)
     start = F.array().cast(T.ArrayType(T.DoubleType()))
     distinct = F.aggregate("__v", start, lambda done, x: F.when(F.size(done) == 0, F.array_append(done, x.cast("double"))).when(far(done, x), F.array_append(done, x.cast("double"))).otherwise(done))
@@ -98,9 +103,12 @@ def selected_profiles(candidates: DataFrame, branch: str) -> DataFrame:
     return per.select(branch, state.alias("state"), F.when(state == "selected", F.col("p")).alias("profile_id"))
 
 
-def owned_points(points: DataFrame, views: DataFrame, scope: list[str]) -> DataFrame:
-    """V7: points (point_id, x, y) with the one view (view_id and a box) of their scope that holds them, and all views that show them."""
-    hits = points.join(views, scope).where("x0 <= x and x <= x1 and y0 <= y and y <= y1")
+def owned_points(points: DataFrame, views: DataFrame, scope: list[str], cell: float = 1000.0) -> DataFrame:
+    """V7: points (point_id, x, y) with the one view (view_id and a box) of their scope that holds them, and all views that show them.
+
+    Points and views meet in grid cells; choose ``cell`` near the usual side of a view.
+    """
+    hits = containing_boxes(points, views, scope, cell, "view_id")
     per = hits.groupBy(*scope, "point_id").agg(F.count("*").alias("n"), F.min("view_id").alias("v"), F.array_join(F.array_sort(F.collect_list(F.col("view_id").cast("string"))), ",").alias("views"))
     out = points.join(per, [*scope, "point_id"], "left")
     return out.select(*scope, "point_id", F.when(F.col("n") == 1, F.col("v")).alias("owner"), F.coalesce("views", F.lit("")).alias("views"), F.when(F.col("n").isNull(), "outside").when(F.col("n") > 1, "several").alias("issue"))

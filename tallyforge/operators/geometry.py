@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,21 +23,42 @@ def trusted_groups(groups: DataFrame, edges: DataFrame, sheet: str, code: str) -
     return trusted.groupBy(sheet, code).agg(F.count("*").alias("n"), F.min("group_id").alias("group_id")).where("n = 1").drop("n")
 
 
+def _cells(x: str, y: str, size: float) -> F.Column:
+    """The cell of a point and the eight around it, as an array of structs."""
+    at = lambda c, d: F.floor(F.col(c) / size) + d
+    return F.array(*[F.struct(at(x, i).alias("i"), at(y, j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+
+def _met(left: DataFrame, right: DataFrame, scope: list[str], a: tuple[str, str], b: tuple[str, str], tolerance: float) -> DataFrame:
+    """Rows of both sides whose points a and b lie within ``tolerance`` in x and in y: b meets a in its cell or one beside it."""
+    own = left.withColumn("__c", F.struct(F.floor(F.col(a[0]) / tolerance).alias("i"), F.floor(F.col(a[1]) / tolerance).alias("j")))
+    near = right.withColumn("__c", F.explode(_cells(*b, tolerance)))
+    close = [F.abs(F.col(p) - F.col(q)) <= tolerance for p, q in zip(a, b)]
+    return own.join(near, [*scope, "__c"]).where(close[0] & close[1]).drop("__c")
+
+
 def rectangles(lines: DataFrame, scope: list[str], tolerance: float = 0.5) -> DataFrame:
     """Frames of two horizontal and two vertical lines whose ends meet within ``tolerance``.
 
-    Lines have id, x0, y0, x1 and y1. Ends snap to a grid of ``tolerance``; each side is an equi-join on a snapped corner. One row a box, with the least ids of its sides.
+    Lines have id, x0, y0, x1 and y1. Each corner is a join on grid cells and their neighbours with the distance verified. A frame's box has the y of its
+    horizontal and the x of its vertical sides; boxes that are equal to ``tolerance`` are one, with the least ids of its sides. Closed outlines are
+    given as their four lines.
     """
-    snap = lambda c: F.round(F.col(c) / tolerance).cast("long")
-    s = lines.select(*scope, "id", F.least(snap("x0"), snap("x1")).alias("a"), F.least(snap("y0"), snap("y1")).alias("b"), F.greatest(snap("x0"), snap("x1")).alias("c"), F.greatest(snap("y0"), snap("y1")).alias("d"))
-    flat, tall = s.where("b = d and a < c"), s.where("a = c and b < d")
-    low = flat.groupBy(*scope, "a", "b", "c").agg(F.min("id").alias("bottom"))
-    high = flat.groupBy(*scope, "a", F.col("b").alias("d"), "c").agg(F.min("id").alias("top"))
-    left = tall.groupBy(*scope, "a", "b", "d").agg(F.min("id").alias("left"))
-    right = tall.groupBy(*scope, F.col("a").alias("c"), "b", "d").agg(F.min("id").alias("right"))
-    boxes = low.join(left, [*scope, "a", "b"]).join(high, [*scope, "a", "c", "d"]).join(right, [*scope, "c", "b", "d"])
-    at = lambda c: (F.col(c) * tolerance)
-    return boxes.select(*scope, at("a").alias("x0"), at("b").alias("y0"), at("c").alias("x1"), at("d").alias("y1"), "bottom", "top", "left", "right")
+    t = tolerance
+    ends = lines.select(*scope, "id", F.least("x0", "x1").alias("a"), F.least("y0", "y1").alias("b"), F.greatest("x0", "x1").alias("c"), F.greatest("y0", "y1").alias("d"))
+    flat = ends.where(f"d - b <= {t} and c - a > {t}").groupBy(*scope, "a", "b", "c", "d").agg(F.min("id").alias("id"))  # equal lines are one
+    tall = ends.where(f"c - a <= {t} and d - b > {t}").groupBy(*scope, "a", "b", "c", "d").agg(F.min("id").alias("id"))
+    side = lambda df, n: df.select(*scope, *[F.col(c).alias(f"{n}_{c}") for c in ("a", "b", "c", "d", "id")])
+    bottom, top, left, right = side(flat, "bottom"), side(flat, "top"), side(tall, "left"), side(tall, "right")
+    corner = _met(bottom, left, scope, ("bottom_a", "bottom_b"), ("left_a", "left_b"), t)
+    three = _met(corner, top, scope, ("left_c", "left_d"), ("top_a", "top_b"), t)
+    four = _met(three, right, scope, ("bottom_c", "bottom_d"), ("right_a", "right_b"), t)
+    four = four.where(f"abs(right_c - top_c) <= {t} and abs(right_d - top_d) <= {t}")
+    box = {"x0": F.col("left_a"), "y0": F.col("bottom_b"), "x1": F.col("right_a"), "y1": F.col("top_b")}
+    found = four.select(*scope, *[c.alias(n) for n, c in box.items()], *[F.col(f"{n}_id").alias(n) for n in ("bottom", "top", "left", "right")])
+    cell = [F.round(F.col(n) / t).alias(f"__{n}") for n in box]
+    one = found.groupBy(*scope, *cell).agg(*[F.min(c).alias(c) for c in (*box, "bottom", "top", "left", "right")])
+    return one.select(*scope, *box, "bottom", "top", "left", "right")
 
 
 def border_leaders(leaders: DataFrame, borders: DataFrame, scope: list[str], tolerance: float = 1e-6, cell: float = 1000.0) -> DataFrame:
@@ -54,26 +77,51 @@ def border_leaders(leaders: DataFrame, borders: DataFrame, scope: list[str], tol
     return hits.join(counts, [*scope, "leader_id"]).withColumn("state", F.when(F.col("borders") > 1, "ambiguous").otherwise("branch"))
 
 
-def bind_dimensions(dimensions: DataFrame, segments: DataFrame, scope: list[str], tolerance: float = 1e-6) -> DataFrame:
+def _spread(c: F.Column, tolerance: float, cell: float) -> F.Column:
+    """The grid cells, one or two, in which a value may lie that is within ``tolerance``."""
+    return F.explode(F.sequence(F.floor((c - tolerance) / cell), F.floor((c + tolerance) / cell)))
+
+
+def bind_dimensions(dimensions: DataFrame, segments: DataFrame, scope: list[str], tolerance: float = 1e-6, cell: float = 1.0) -> DataFrame:
     """V3: each dimension's segment: both its points are the segment's ends (rank 1) or project onto them along an axis (rank 2).
 
-    Dimensions have dim_id, ax, ay, bx, by and value; segments seg_id, sx, sy, tx and ty. The best rank counts; several segments at it are ambiguous, a value that
-    differs from the segment's length is a conflict, else bound.
+    Dimensions have dim_id, ax, ay, bx, by and value; segments seg_id, sx, sy, tx and ty. They meet on the grid cells of their lower ends and, along an axis,
+    of both bounds. The best rank counts; several segments at it are ambiguous, a value that differs from the segment's length is a conflict, else bound.
     """
+    bounds = lambda p, q: {"lx": F.least(f"{p}x", f"{q}x"), "ly": F.least(f"{p}y", f"{q}y"), "gx": F.greatest(f"{p}x", f"{q}x"), "gy": F.greatest(f"{p}y", f"{q}y")}
+    dims = dimensions.withColumns({f"__{n}": c for n, c in bounds("a", "b").items()})
+    segs = segments.withColumns({f"{n}_": c for n, c in bounds("s", "t").items()})
     same = lambda p, q: f"abs({p}x - {q}x) <= {tolerance} and abs({p}y - {q}y) <= {tolerance}"
-    exact = F.expr(f"({same('a', 's')} and {same('b', 't')}) or ({same('a', 't')} and {same('b', 's')})")
-    axis = F.expr(" or ".join(f"(abs(least(a{c}, b{c}) - least(s{c}, t{c})) <= {tolerance} and abs(greatest(a{c}, b{c}) - greatest(s{c}, t{c})) <= {tolerance} and abs(s{o} - t{o}) <= {tolerance})" for c, o in ("xy", "yx")))
-    pairs = dimensions.join(segments, scope).withColumn("rank", F.when(exact, 1).when(axis, 2)).where("rank is not null")
-    length = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
-    per_rank = pairs.groupBy(*scope, "dim_id", "value", "rank").agg(F.count("*").alias("n"), F.min(F.struct("seg_id", length.alias("length"))).alias("seg"))
+    tests = {
+        ("lx", "ly"): (1, f"({same('a', 's')} and {same('b', 't')}) or ({same('a', 't')} and {same('b', 's')})"),
+        ("lx", "gx"): (2, f"abs(__lx - lx_) <= {tolerance} and abs(__gx - gx_) <= {tolerance} and abs(sy - ty) <= {tolerance}"),
+        ("ly", "gy"): (2, f"abs(__ly - ly_) <= {tolerance} and abs(__gy - gy_) <= {tolerance} and abs(sx - tx) <= {tolerance}"),
+    }
+    pairs = None
+    for (p, q), (rank, test) in tests.items():
+        own = dims.withColumns({"__p": F.floor(F.col(f"__{p}") / cell), "__q": F.floor(F.col(f"__{q}") / cell)})
+        near = segs.withColumn("__p", _spread(F.col(f"{p}_"), tolerance, cell)).withColumn("__q", _spread(F.col(f"{q}_"), tolerance, cell))
+        length = F.sqrt((F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2)
+        met = own.join(near, [*scope, "__p", "__q"]).where(test).select(*scope, "dim_id", "value", "seg_id", F.lit(rank).alias("rank"), length.alias("length"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = pairs.groupBy(*scope, "dim_id", "value", "seg_id", "length").agg(F.min("rank").alias("rank"))
+    per_rank = pairs.groupBy(*scope, "dim_id", "value", "rank").agg(F.count("*").alias("n"), F.min(F.struct("seg_id", "length")).alias("seg"))
     best = per_rank.groupBy(*scope, "dim_id", "value").agg(F.min(F.struct("rank", "n", "seg")).alias("b"))
     state = F.when(F.col("b.n") > 1, "ambiguous").when(F.abs(F.col("b.seg.length") - F.col("value")) > 0.5, "conflict").otherwise("bound")
     return best.select(*scope, "dim_id", F.col("b.rank").alias("rank"), state.alias("state"), F.when(state != "ambiguous", F.col("b.seg.seg_id")).alias("seg_id"))
 
 
-def covered_spans(spans: DataFrame, views: DataFrame, scope: list[str], tolerance: float = 1e-6) -> DataFrame:
-    """V4: whether each span (span_id, y, a, b) is covered by the union of its scope's boxes without a gap: covered, gap or outside (an end lies in no box)."""
-    met = spans.join(views, scope).where(f"y0 - {tolerance} <= y and y <= y1 + {tolerance} and x1 >= a - {tolerance} and x0 <= b + {tolerance}")
+def covered_spans(spans: DataFrame, views: DataFrame, scope: list[str], tolerance: float = 1e-6, cell: float = 500.0) -> DataFrame:
+    """V4: whether each span (span_id, y, a, b) is covered by the union of its scope's boxes without a gap: covered, gap or outside (an end lies in no box).
+
+    Spans and boxes meet in the grid cells that both touch; a pair counts in the first of them.
+    """
+    at = lambda c, d=0.0: F.floor((c + d) / cell)
+    x0, x1, y0, y1, a, b = (F.col(c) for c in ("x0", "x1", "y0", "y1", "a", "b"))
+    listed = views.withColumn("__i", F.explode(F.sequence(at(x0, -tolerance), at(x1, tolerance)))).withColumn("__j", F.explode(F.sequence(at(y0, -tolerance), at(y1, tolerance))))
+    own = spans.withColumn("__i", F.explode(F.sequence(at(F.least(a, b)), at(b)))).withColumn("__j", at(F.col("y")))
+    first = F.col("__i") == F.greatest(at(x0, -tolerance), at(a))
+    met = own.join(listed, [*scope, "__i", "__j"]).where(first).where(f"y0 - {tolerance} <= y and y <= y1 + {tolerance} and x1 >= a - {tolerance} and x0 <= b + {tolerance}")
     order = Window.partitionBy(*scope, "span_id").orderBy("x0", "x1")
     reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = met.withColumn("__gap", F.coalesce(F.col("x0") > reach + tolerance, F.lit(False)))
@@ -86,19 +134,30 @@ def covered_spans(spans: DataFrame, views: DataFrame, scope: list[str], toleranc
 def trace_paths(segments: DataFrame, starts: DataFrame, scope: str, tolerance: float = 1e-6, most: int = 64) -> DataFrame:
     """V5: from each start the chain of segments that meet end to end, until none follows; a fork, a return or ``most`` segments end it with a reason.
 
-    Segments have seg_id, sx, sy, tx, ty; starts have start_id, x, y. A scope is one sheet. Crossings without common ends never join.
+    Segments have seg_id, sx, sy, tx, ty; starts have start_id, x, y. Ends meet within ``tolerance`` of the first end at a place. A scope is one
+    sheet. Crossings without common ends never join.
     """
 
     def trace(key, segs: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
-        snap = lambda x, y: (round(x / tolerance), round(y / tolerance))
+        cells: dict[tuple, list] = {}
+
+        def place(x: float, y: float) -> tuple:
+            i, j = math.floor(x / tolerance), math.floor(y / tolerance)
+            for near in ((i + a, j + b) for a in (0, -1, 1) for b in (0, -1, 1)):
+                for p in cells.get(near, ()):
+                    if abs(p[0] - x) <= tolerance and abs(p[1] - y) <= tolerance:
+                        return p
+            cells.setdefault((i, j), []).append((x, y))
+            return x, y
+
         ends: dict[tuple, list] = {}
         for r in segs.sort_values("seg_id").to_dict("records"):
-            a, b = snap(r["sx"], r["sy"]), snap(r["tx"], r["ty"])
+            a, b = place(r["sx"], r["sy"]), place(r["tx"], r["ty"])
             ends.setdefault(a, []).append((r["seg_id"], b))
             ends.setdefault(b, []).append((r["seg_id"], a))
         out = []
         for r in begins.sort_values("start_id").to_dict("records"):
-            at, used, seen, reason = snap(r["x"], r["y"]), [], set(), "end"
+            at, used, seen, reason = place(r["x"], r["y"]), {}, set(), "end"
             while True:
                 seen.add(at)
                 ahead = [(s, p) for s, p in ends.get(at, []) if s not in used]
@@ -110,7 +169,7 @@ def trace_paths(segments: DataFrame, starts: DataFrame, scope: str, tolerance: f
                 if len(used) >= most:
                     reason = "too_long"
                     break
-                used.append(ahead[0][0])
+                used[ahead[0][0]] = True
                 at = ahead[0][1]
                 if at in seen:
                     reason = "rejoin"

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from tallyforge.plans.checkpoints import cut
 
 
+#: Edges of a node from which its least neighbour is broadcast. There are at most 2 * edges / HUB such nodes.
+HUB = 100_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least v of their u: a grouped minimum, joined back; to the edges of hubs by broadcast, so that none of them is gathered in one task."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hubs = least.where(F.col("n") > HUB).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs)
+    others = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return others.unionByName(edges.join(hubs, "u"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long): root is the least node of its component.
 
-    Each step joins every edge with the least neighbour of one of its ends, a grouped minimum with
-    map-side combine, so a hub is never gathered in one task; the result of a step is checkpointed.
+    Each step replaces every edge by one from its far end to the least neighbour of its near end; the result of a step is checkpointed.
+    Neither the grouped minima nor the joins gather a hub in one task.
     Loops, repeated edges and nulls are allowed: a loop gives (node, node), an edge with a null is ignored.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
@@ -21,11 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large = cut(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = _with_least(large)
+        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(links)
         if now == mark:
             break

@@ -21,12 +21,13 @@ def without(df: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 def staged_match(left: DataFrame, right: DataFrame, stages: list[list[str]], left_id: str = "l", right_id: str = "r") -> DataFrame:
     """J15, first stages: matches by each list of keys in turn, unique on both sides among the rows that no earlier stage matched.
 
-    Returns left_id, right_id and stage, from 1.
+    Returns left_id, right_id and stage, from 1. Each stage's pairs, a few numbers a row, are checkpointed, so that the next ones read them instead
+    of matching again.
     """
     out = None
     for number, keys in enumerate(stages, 1):
         a, b = (left, right) if out is None else (without(left, out, left_id), without(right, out, right_id))
-        found = unique_pairs(a, b, keys, left_id, right_id).withColumn("stage", F.lit(number))
+        found = cut(unique_pairs(a, b, keys, left_id, right_id).withColumn("stage", F.lit(number)))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -6,12 +6,12 @@ sheet - is one group. Spark deals the scopes out; a scope holds what one drawing
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.graphs import connected_components
+
 
 def cluster_values(rows: DataFrame, keys: list[str], value: str, handle: str, absolute: float = 2.0, relative: float = 0.005) -> DataFrame:
     """Greedy clusters of a key's values: in ascending order a value joins while it is within max(2, 0.5 %) of the running mean.
@@ -121,10 +121,11 @@ def greedy_pairs(pairs: DataFrame, scope: str, left: str, right: str, cost: str)
 def round_robin(rows: DataFrame, scope: str, pool: str, item: str, order: str, cap: int) -> DataFrame:
     """Takes a scope's items from its pools in turn (pools ascending, items by ``order``), each item once, until ``cap``.
 
-    Returns scope, item, pool and turn. Ranks up to the cap are cut by a window first, so a group is at most pools * 2 * cap rows deep.
+    Returns scope, item, pool and turn. Ranks beyond twice the cap are cut by a window first, so a group has at most pools * 2 * cap rows.
     """
     spread = Window.partitionBy(scope, pool).orderBy(order, item)
-    pools = rows.select(scope, pool, item, order).withColumn("__r", F.row_number().over(spread))
+    # at most cap of a pool's items are taken elsewhere before, and cap of its own
+    pools = rows.select(scope, pool, item, order).withColumn("__r", F.row_number().over(spread)).where(F.col("__r") <= 2 * cap)
 
     def take(group: pd.DataFrame) -> pd.DataFrame:
         queues = [(p, g.sort_values("__r")[item].tolist()[::-1]) for p, g in sorted(group.groupby(pool), key=lambda x: x[0])]
@@ -142,32 +143,83 @@ def round_robin(rows: DataFrame, scope: str, pool: str, item: str, order: str, c
     return pools.groupBy(scope).applyInPandas(take, f"{scope} {kind(scope)}, {item} {kind(item)}, {pool} {kind(pool)}, turn int")
 
 
-def unique_assignment(pairs: DataFrame, scope: str, left: str, right: str, most: int = 10_000) -> DataFrame:
-    """The one complete assignment of a scope's left rows to right rows over its allowed pairs; several, none or too many tries give none and the state.
+def unique_assignment(pairs: DataFrame, scope: str, left: str, right: str) -> DataFrame:
+    """Per connected component of a scope's allowed pairs its one complete assignment of left rows to right rows.
 
-    Returns scope, state (unique, ambiguous, none, truncated) and, if unique, one row a pair.
+    A component whose sides differ in number is ``unequal``, one with several complete assignments ``ambiguous``, one without any ``none``;
+    they have one row without a pair. A ``unique`` one has a row for each pair. ``component`` is its least left row. Components are found as a graph;
+    each is one group: what hangs together in one drawing. Pairs with nulls are left out, repeated pairs count once.
     """
+    own = pairs.select(scope, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct()
+    ends = own.withColumns({"__a": F.xxhash64(F.lit("l"), scope, left), "__b": F.xxhash64(F.lit("r"), scope, right)})
+    roots = connected_components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    rooted = ends.join(roots.select(F.col("node").alias("__a"), F.col("root").alias("__root")), "__a").select("__root", scope, left, right)
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        allowed = {(a, b) for a, b in zip(group[left], group[right])}
-        a, b = sorted(set(group[left])), sorted(set(group[right]))
-        found, state = [], "none"
-        if len(a) <= len(b):
-            for tries, choice in enumerate(permutations(b, len(a))):
-                if tries >= most:
-                    found, state = [], "truncated"
-                    break
-                if all(p in allowed for p in zip(a, choice)):
-                    found.append(list(zip(a, choice)))
-                    if len(found) > 1:
-                        break
-            if state != "truncated":
-                state = {0: "none", 1: "unique"}.get(len(found), "ambiguous")
-        rows_ = found[0] if state == "unique" else [(None, None)]
-        return pd.DataFrame([(group[scope].iloc[0], state, x, y) for x, y in rows_], columns=[scope, "state", left, right]).astype({left: object, right: object})
+        state, found = _assignment(list(zip(group[left], group[right])))
+        least = group[left].min()
+        return pd.DataFrame([(group[scope].iloc[0], least, state, a, b) for a, b in found or [(None, None)]], columns=[scope, "component", "state", left, right]).astype({left: object, right: object})
 
     kind = lambda c: pairs.schema[c].dataType.simpleString()
-    return pairs.select(scope, left, right).groupBy(scope).applyInPandas(assign, f"{scope} {kind(scope)}, state string, {left} {kind(left)}, {right} {kind(right)}")
+    return rooted.groupBy("__root").applyInPandas(assign, f"{scope} {kind(scope)}, component {kind(left)}, state string, {left} {kind(left)}, {right} {kind(right)}")
+
+
+def _assignment(pairs: list[tuple]) -> tuple[str, list[tuple]]:
+    """State and pairs of the unique complete assignment of a bipartite graph.
+
+    A graph with one complete assignment only has a row with a single partner, and still has it after that pair is taken away; a rest in which all rows have
+    several has none or several.
+    """
+    ahead: dict = {}
+    for a, b in pairs:
+        ahead.setdefault((0, a), set()).add((1, b))
+        ahead.setdefault((1, b), set()).add((0, a))
+    if 2 * sum(side == 0 for side, _ in ahead) != len(ahead):
+        return "unequal", []
+    taken, single = [], sorted((n for n, near in ahead.items() if len(near) == 1), key=str)
+    while single:
+        n = single.pop()
+        if n not in ahead:
+            continue
+        if not ahead[n]:
+            return "none", []
+        (m,) = ahead[n]
+        taken.append((n[1], m[1]) if n[0] == 0 else (m[1], n[1]))
+        for x in (n, m):
+            for y in ahead.pop(x):
+                if y in ahead:
+                    ahead[y].discard(x)
+                    if len(ahead[y]) <= 1:
+                        single.append(y)
+    if not ahead:
+        return "unique", sorted(taken)
+    return ("ambiguous" if _complete(ahead) else "none"), []
+
+
+def _complete(ahead: dict) -> bool:
+    """Whether all left rows can be assigned at once: each is placed along a path that moves those placed before."""
+    holder: dict = {}
+    for start in (n for n in ahead if n[0] == 0):
+        came, todo, free = {}, [start], None
+        while todo and free is None:
+            n = todo.pop()
+            for m in ahead[n]:
+                if m not in came:
+                    came[m] = n
+                    if m not in holder:
+                        free = m
+                        break
+                    todo.append(holder[m])
+        if free is None:
+            return False
+        while free is not None:
+            n = came[free]
+            before = next((m for m, h in holder.items() if h == n), None)
+            holder[free] = n
+            if before is not None and before != free:
+                del holder[before]
+            free = before
+    return True
 
 
 def repeated_shapes(shapes: DataFrame, scope: str, anchor_distance: str, step: float = 1.0, cap: int = 6) -> DataFrame:

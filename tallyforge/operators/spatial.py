@@ -62,9 +62,13 @@ def unique_owner(points: DataFrame, boxes: DataFrame, scope: list[str], cell: fl
 def inherited_code(orphans: DataFrame, frames: DataFrame, scope: list[str], least_gap: float = 5000.0) -> DataFrame:
     """The code of the frame with the least (vertical gap, horizontal distance, id) of its scope within max(5000, two heights).
 
-    Orphans have id, x, y and h; frames have frame_id, code, fx and fy. Null without one.
+    Orphans have id, x, y and h; frames have frame_id, code, fx and fy. Null without one. They meet in bands of y: a frame in its own, an orphan in
+    those within its reach.
     """
+    reach = F.greatest(F.lit(least_gap), 2 * F.coalesce(F.col("h"), F.lit(0.0)))
+    band = lambda c: F.floor(c / least_gap)
+    listed = orphans.withColumn("__band", F.explode(F.sequence(band(F.col("y") - reach), band(F.col("y") + reach))))
     gap, side = F.abs(F.col("y") - F.col("fy")), F.abs(F.col("x") - F.col("fx"))
-    pairs = orphans.join(frames, scope).where(gap <= F.greatest(F.lit(least_gap), 2 * F.col("h")))
+    pairs = listed.join(frames.withColumn("__band", band(F.col("fy"))), [*scope, "__band"]).where(gap <= reach)
     best = pairs.groupBy("id").agg(F.min(F.struct(gap.alias("gap"), side.alias("side"), "frame_id", "code")).alias("b"))
     return orphans.join(best, "id", "left").select(*orphans.columns, F.col("b.code").alias("code"), F.col("b.frame_id").alias("frame_id"))

@@ -33,7 +33,7 @@ def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.normalised_records(rows, "raw", {"k": ["key", "name"], "z": []})
 
 
-@query()
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'UNIQUE' ELSE 'NONE' END AS state, CASE WHEN p_partkey % 3 > 0 THEN 1.0::DOUBLE END AS thickness, CASE WHEN p_partkey % 3 > 0 THEN round(2.0::DOUBLE * (p_size + 10) + 4, 6) END AS centre_length FROM part""")
 def strip_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: angle profiles of part sizes."""
     w = (F.col("p_size") + 10).cast("double")
@@ -42,7 +42,7 @@ def strip_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = F.array(point(zero, zero), point(w, zero), point(w, one), point(one, one), point(one, w + 5), point(zero, w + 5))
     plate = F.array(point(zero, zero), point(w, zero), point(w, w), point(zero, w))
     s = evidence.strip_profile(F.when(F.col("p_partkey") % 3 > 0, angle).otherwise(plate))
-    return table(spark, sf_dir, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.*")
+    return table(spark, sf_dir, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.state", F.round("s.thickness", 6).alias("thickness"), F.round("s.centre_length", 6).alias("centre_length"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber AS profile_id, l_suppkey % 50 AS g, l_returnflag = 'A' AS supported, CASE WHEN l_tax > 0.07 THEN 'tax' END AS issue, l_suppkey % 50 = 7 AND l_linenumber = 7 AS truncated FROM lineitem),

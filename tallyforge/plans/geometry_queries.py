@@ -14,23 +14,47 @@ from tallyforge.plans.registry import query, table
 from tallyforge.sources import sinks
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT user_id, event_type, round(value, 2) AS x, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM events WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY x) AS k FROM v),
+c AS (SELECT user_id, event_type, k, 0 AS cluster, x * n AS total, n AS size, low, high FROM r WHERE k = 1
+  UNION ALL SELECT r.user_id, r.event_type, r.k, CASE WHEN j THEN cluster ELSE cluster + 1 END, CASE WHEN j THEN total + r.x * r.n ELSE r.x * r.n END, CASE WHEN j THEN size + r.n ELSE r.n END, CASE WHEN j THEN least(c.low, r.low) ELSE r.low END, CASE WHEN j THEN greatest(c.high, r.high) ELSE r.high END
+  FROM (SELECT *, k + 1 AS nxt, total / size AS mean FROM c) c JOIN r ON r.user_id = c.user_id AND r.event_type = c.event_type AND r.k = nxt, LATERAL (SELECT abs(r.x - mean) <= greatest(2.0, 0.005 * abs(mean)) AS j))
+SELECT user_id, event_type, CAST(cluster AS INT) AS cluster, arg_max(total / size, k) AS center, CAST(max(size) AS BIGINT) AS size, arg_max(low <> high, k) AS corroborated FROM c GROUP BY user_id, event_type, cluster""")
 def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G14."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.round("value", 2).alias("value"), "event_id")
     return sequential.cluster_values(events, ["user_id", "event_type"], "value", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type, user_id AS sheet, event_id AS id, list_sort([CAST(event_id % 3 AS VARCHAR), CAST(event_id % 5 AS VARCHAR)]) AS ev, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 8 AS VARCHAR) END AS leader, floor(value) AS x, CAST(event_id % 7 AS DOUBLE) AS y, floor(value) / 100 AS conf FROM events),
+r AS (SELECT * REPLACE (list_sort(list_distinct(ev)) AS ev), row_number() OVER (PARTITION BY event_type, sheet ORDER BY id) AS k FROM e),
+c AS (SELECT event_type, sheet, k, [{'id': id, 'conf': conf, 'ev': ev, 'leader': leader, 'x': x, 'y': y, 'merged': 1}] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT r.event_type, r.sheet, r.k, CASE WHEN p IS NULL OR p = 0 THEN list_append(kept, {'id': r.id, 'conf': r.conf, 'ev': r.ev, 'leader': r.leader, 'x': r.x, 'y': r.y, 'merged': 1})
+    ELSE list_transform(kept, lambda q, i: CASE WHEN i = p THEN {'id': CASE WHEN r.conf > q.conf OR (r.conf = q.conf AND r.id < q.id) THEN r.id ELSE q.id END, 'conf': greatest(q.conf, r.conf), 'ev': list_sort(list_distinct(list_concat(q.ev, r.ev))), 'leader': q.leader, 'x': q.x, 'y': q.y, 'merged': q.merged + 1} ELSE q END) END
+  FROM (SELECT *, k + 1 AS nxt FROM c) c JOIN r ON r.event_type = c.event_type AND r.sheet = c.sheet AND r.k = nxt,
+    LATERAL (SELECT list_position(list_transform(kept, lambda q: q.ev = r.ev OR coalesce(q.leader = r.leader, false) OR (abs(q.x - r.x) <= 1e-6 AND abs(q.y - r.y) <= 1e-6)), true) AS p)),
+l AS (SELECT event_type, sheet, arg_max(kept, k) AS kept FROM c GROUP BY ALL), u AS (SELECT event_type, sheet, unnest(kept) AS q FROM l)
+SELECT event_type, sheet, q.id AS id, q.conf AS confidence, CAST(q.merged AS BIGINT) AS merged, array_to_string(q.ev, ',') AS evidence FROM u""")
 def merged_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7."""
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("sheet"), k.alias("id"), F.array((k % 3).cast("string"), (k % 5).cast("string")).alias("evidence"), F.when(k % 4 == 0, (k % 8).cast("string")).alias("leader"), F.floor(F.col("value")).cast("double").alias("x"), (k % 7).cast("double").alias("y"), F.round(F.col("value") / 100, 2).alias("confidence"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("sheet"), k.alias("id"), F.array((k % 3).cast("string"), (k % 5).cast("string")).alias("evidence"), F.when(k % 4 == 0, (k % 8).cast("string")).alias("leader"), F.floor(F.col("value")).cast("double").alias("x"), (k % 7).cast("double").alias("y"), (F.floor("value") / 100).alias("confidence"))
     out = sequential.merge_occurrences(rows, ["event_type", "sheet"])
     return out.withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS mt, o_orderkey AS id, o_orderkey % 6 AS sheet, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 9 AS VARCHAR) END AS room, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS name, o_orderpriority AS title, o_orderkey % 2 AS source, o_orderkey % 11 AS drawing FROM orders),
+b AS (SELECT mt, id, sheet, 1 AS pass, 0 AS s, 0 AS d, title AS v, '' AS w FROM o UNION ALL SELECT mt, id, sheet, 2, source, 0, room, name FROM o WHERE room IS NOT NULL AND name IS NOT NULL UNION ALL SELECT mt, id, sheet, 3, source, drawing, name, '' FROM o WHERE name IS NOT NULL),
+g AS (SELECT mt, pass, s, d, v, w FROM b GROUP BY ALL HAVING count(DISTINCT sheet) > 1),
+p AS (SELECT b.*, lag(id) OVER (PARTITION BY mt, pass, s, d, v, w ORDER BY id) AS before FROM b JOIN g USING (mt, pass, s, d, v, w)),
+q AS (SELECT *, row_number() OVER (PARTITION BY mt ORDER BY pass, s, d, v, w, id) AS k FROM p WHERE before IS NOT NULL),
+n AS (SELECT mt, list({'id': id, 'root': id, 'rooms': CASE WHEN room IS NULL THEN [] ELSE [room] END, 'names': CASE WHEN name IS NULL THEN [] ELSE [name] END}) AS nodes FROM o GROUP BY mt),
+c AS (SELECT mt, CAST(0 AS BIGINT) AS k, nodes FROM n
+  UNION ALL SELECT c.mt, q.k, CASE WHEN x.root = y.root OR (len(x.rooms) > 0 AND len(y.rooms) > 0 AND NOT list_has_any(x.rooms, y.rooms)) OR (len(x.names) > 0 AND len(y.names) > 0 AND NOT list_has_any(x.names, y.names)) THEN nodes
+    ELSE list_transform(nodes, lambda z: CASE WHEN z.root IN (x.root, y.root) THEN {'id': z.id, 'root': least(x.root, y.root), 'rooms': list_distinct(list_concat(x.rooms, y.rooms)), 'names': list_distinct(list_concat(x.names, y.names))} ELSE z END) END
+  FROM (SELECT *, k + 1 AS nxt FROM c) c JOIN q ON q.mt = c.mt AND q.k = nxt, LATERAL (SELECT list_filter(nodes, lambda z: z.id = q.before)[1] AS x, list_filter(nodes, lambda z: z.id = q.id)[1] AS y)),
+l AS (SELECT mt, arg_max(nodes, k) AS nodes FROM c GROUP BY mt), u AS (SELECT mt, unnest(nodes) AS z FROM l)
+SELECT mt, z.id AS id, z.root AS component FROM u""")
 def semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G9."""
     k = F.col("o_orderkey")
@@ -38,30 +62,47 @@ def semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.guarded_components(rows, "mt", [["title"], ["source", "room", "name"], ["source", "drawing", "name"]])
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_custkey // 150 AS scope, c_custkey, c_nationkey, c_acctbal FROM customer), s AS (SELECT s_suppkey // 10 AS scope, s_suppkey, s_acctbal FROM supplier),
+p AS (SELECT scope, c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 2) AS cost FROM c JOIN s USING (scope) WHERE abs(c_acctbal - s_acctbal) < 500),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cost, c_custkey, s_suppkey) AS k FROM p),
+w AS (SELECT scope, k, true AS t, [c_custkey] AS a, [s_suppkey] AS b FROM r WHERE k = 1
+  UNION ALL SELECT r.scope, r.k, j, CASE WHEN j THEN list_append(a, c_custkey) ELSE a END, CASE WHEN j THEN list_append(b, s_suppkey) ELSE b END FROM (SELECT *, k + 1 AS nxt FROM w) w JOIN r ON r.scope = w.scope AND r.k = nxt, LATERAL (SELECT NOT list_contains(a, c_custkey) AND NOT list_contains(b, s_suppkey) AS j))
+SELECT r.scope, c_custkey, s_suppkey, cost FROM r JOIN w ON w.scope = r.scope AND w.k = r.k WHERE t""")
 def detached_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), "c_custkey", "c_acctbal")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("scope"), "s_suppkey", "s_acctbal")
-    pairs = c.join(s, "scope").where(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 2000)
-    return sequential.greedy_pairs(pairs.select("scope", "c_custkey", "s_suppkey", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("cost")), "scope", "c_custkey", "s_suppkey", "cost")
-
-
-@query()
+    """On sheets of 150 customers and 10 suppliers."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 150").alias("scope"), "c_custkey", "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("scope"), "s_suppkey", "s_acctbal")
+    cost = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
+    return sequential.greedy_pairs(c.join(s, "scope").where(cost < 500).select("scope", "c_custkey", "s_suppkey", F.round(cost, 2).alias("cost")), "scope", "c_custkey", "s_suppkey", "cost")
+
+
+@query("""WITH RECURSIVE g AS (SELECT l_suppkey AS s, l_returnflag AS pool, l_partkey AS item, -max(l_quantity) AS q FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, pool ORDER BY q, item) AS r FROM g), i AS (SELECT s, pool, list(item ORDER BY r) AS items FROM r WHERE r <= 24 GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY pool) - 1 AS n, count(*) OVER (PARTITION BY s) AS pools FROM i),
+w AS (SELECT s, pools, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS item, CAST(NULL AS VARCHAR) AS pool FROM (SELECT DISTINCT s, pools FROM p)
+  UNION ALL SELECT w.s, w.pools, w.k + 1, CASE WHEN nxt IS NULL THEN seen ELSE list_append(seen, nxt) END, nxt, p.pool FROM w JOIN p ON p.s = w.s AND p.n = w.k % w.pools, LATERAL (SELECT list_filter(items, lambda x: NOT list_contains(seen, x))[1] AS nxt) WHERE len(seen) < 12 AND w.k < 36)
+SELECT s AS l_suppkey, item AS l_partkey, pool AS l_returnflag, CAST(len(seen) AS INT) AS turn FROM w WHERE item IS NOT NULL""")
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature is a bounded sample of each region."""
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "lineitem"), F.col("s_suppkey") == F.col("l_suppkey"))
-    pools = rows.groupBy("s_nationkey", "l_returnflag", "l_partkey").agg(F.max("l_quantity").alias("q"))
-    return sequential.round_robin(pools.withColumn("q", -F.col("q")), "s_nationkey", "l_returnflag", "l_partkey", "q", 12)
-
-
-@query()
+    """The feature is a bounded sample of each supplier's parts, by turns of their return flags."""
+    pools = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_partkey").agg((-F.max("l_quantity")).alias("q"))
+    return sequential.round_robin(pools, "l_suppkey", "l_returnflag", "l_partkey", "q", 12)
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey // 60 AS scope, c_custkey AS id, c_acctbal AS x FROM customer),
+p AS (SELECT l.scope, l.id AS a, r.id AS b FROM e l JOIN e r ON l.scope = r.scope AND l.id % 2 = 0 AND r.id % 2 = 1 AND abs(l.x - r.x) < 110),
+t AS (SELECT a, a AS root FROM p UNION SELECT q.a, t.root FROM t JOIN p o ON o.a = t.a JOIN p q ON q.b = o.b),
+m AS (SELECT a, min(root) AS component FROM t GROUP BY a), f AS (SELECT scope, component, a, b FROM p JOIN m USING (a)),
+n AS (SELECT scope, component, list(DISTINCT a ORDER BY a) AS ls, count(DISTINCT b) AS rs FROM f GROUP BY ALL), i AS (SELECT component, a, list(b ORDER BY b) AS bs FROM f GROUP BY ALL),
+w AS (SELECT component, ls, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM n WHERE len(ls) = rs
+  UNION ALL SELECT w.component, ls, w.k + 1, list_append(used, z.b) FROM w JOIN i ON i.component = w.component AND i.a = ls[w.k + 1], LATERAL (SELECT unnest(bs) AS b) z WHERE NOT list_contains(used, z.b)),
+d AS (SELECT component, count(*) AS found, any_value(used) AS used FROM w WHERE k = len(ls) GROUP BY component),
+v AS (SELECT scope, n.component, ls, used, CASE WHEN len(ls) <> rs THEN 'unequal' WHEN found IS NULL THEN 'none' WHEN found > 1 THEN 'ambiguous' ELSE 'unique' END AS state FROM n LEFT JOIN d USING (component))
+SELECT scope, component, state, ls[k] AS a, used[k] AS b FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM v WHERE state = 'unique') UNION ALL SELECT scope, component, state, NULL, NULL FROM v WHERE state <> 'unique'""")
 def viewport_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G22."""
-    p = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("scope"), F.floor(F.col("s_acctbal") / 250).alias("shelf"), "s_suppkey", "s_acctbal", (F.col("s_name") < "Supplier#000000050").alias("left"))
-    a, b = p.where("left").select("scope", "shelf", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x")), p.where("not left").select("scope", "shelf", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
-    pairs = a.join(b, ["scope", "shelf"]).where("abs(x - y) < 200").select(F.concat_ws("/", "scope", "shelf").alias("scope"), "a", "b")
-    return sequential.unique_assignment(pairs, "scope", "a", "b")
+    """On sheets of sixty, those of even numbers with those of odd ones nearby."""
+    e = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 60").alias("scope"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    left, right = e.where("id % 2 = 0").select("scope", F.col("id").alias("a"), "x"), e.where("id % 2 = 1").select("scope", F.col("id").alias("b"), F.col("x").alias("y"))
+    return sequential.unique_assignment(left.join(right, "scope").where("abs(x - y) < 110"), "scope", "a", "b")
 
 
 @query("""WITH s AS (SELECT p_brand, list_sort([p_size % 9 + 1, 3, p_size % 9 + 1, 3]) AS sides, round(p_retailprice, 2) AS d FROM part),
@@ -95,13 +136,13 @@ def trusted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines on a grid of twelve by twelve, by customers' nations: horizontal or vertical by turns."""
+    """Lines on a grid, on sheets of 252: horizontal or vertical by turns."""
     k, even = F.col("c_custkey"), F.floor(F.col("c_custkey") / 42) % 2 == 0
     x, y, n = k % 7 * 10.0, F.floor(k / 7) % 6 * 10.0, (F.floor(k / 84) % 3 + 1) * 10.0
-    return table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).alias("scope"), F.col("c_acctbal").alias("bal"), k.alias("id"), x.alias("x0"), y.cast("double").alias("y0"), F.when(even, x + n).otherwise(x).alias("x1"), F.when(even, y).otherwise(y + n).cast("double").alias("y1"))
+    return table(spark, sf_dir, "customer").select(F.expr("c_custkey div 252").alias("scope"), F.col("c_acctbal").alias("bal"), k.alias("id"), x.alias("x0"), y.cast("double").alias("y0"), F.when(even, x + n).otherwise(x).alias("x1"), F.when(even, y).otherwise(y + n).cast("double").alias("y1"))
 
 
-@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_custkey AS id, c_custkey % 7 * 10.0 AS x0, (c_custkey // 7) % 6 * 10.0 AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN c_custkey % 7 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 ELSE c_custkey % 7 * 10.0 END AS x1,
+@query("""WITH l AS (SELECT c_custkey // 252 AS scope, c_custkey AS id, c_custkey % 7 * 10.0 AS x0, (c_custkey // 7) % 6 * 10.0 AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN c_custkey % 7 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 ELSE c_custkey % 7 * 10.0 END AS x1,
   CASE WHEN (c_custkey // 42) % 2 = 0 THEN (c_custkey // 7) % 6 * 10.0 ELSE (c_custkey // 7) % 6 * 10.0 + ((c_custkey // 84) % 3 + 1) * 10.0 END AS y1 FROM customer),
 h AS (SELECT scope, x0, x1, y0, min(id) AS id FROM l WHERE y0 = y1 GROUP BY ALL), v AS (SELECT scope, y0, y1, x0, min(id) AS id FROM l WHERE x0 = x1 GROUP BY ALL)
 SELECT b.scope, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE AS x1, t.y0::DOUBLE AS y1, b.id AS bottom, t.id AS top, e.id AS "left", f.id AS "right" FROM h b JOIN h t ON t.scope = b.scope AND t.x0 = b.x0 AND t.x1 = b.x1 AND t.y0 > b.y0
@@ -123,7 +164,7 @@ def leader_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.border_leaders(leaders, borders, ["scope"])
 
 
-@query("""WITH l AS (SELECT c_nationkey % 4 AS scope, c_acctbal AS bal, c_custkey AS id, c_custkey % 7 * 10.0::DOUBLE AS x0, (c_custkey // 7) % 6 * 10.0::DOUBLE AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE ELSE 0.0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0.0 ELSE ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE END AS h FROM customer),
+@query("""WITH l AS (SELECT c_custkey // 252 AS scope, c_acctbal AS bal, c_custkey AS id, c_custkey % 7 * 10.0::DOUBLE AS x0, (c_custkey // 7) % 6 * 10.0::DOUBLE AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE ELSE 0.0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0.0 ELSE ((c_custkey // 84) % 3 + 1) * 10.0::DOUBLE END AS h FROM customer),
 d AS (SELECT scope, id AS dim_id, x0 AS ax, y0 + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS ay, x0 + w AS bx, y0 + h + CASE WHEN id % 5 = 1 THEN 4 ELSE 0 END AS b_y, (id % 3 + 1) * 10.0::DOUBLE AS value FROM l WHERE bal > 5000),
 s AS (SELECT scope, id AS seg_id, x0 AS sx, y0 AS sy, x0 + w AS tx, y0 + h AS ty FROM l),
 p AS (SELECT scope, dim_id, value, seg_id, greatest(tx - sx, ty - sy) AS len, CASE WHEN ax = sx AND ay = sy AND bx = tx AND b_y = ty THEN 1 WHEN (ax = sx AND bx = tx AND sy = ty) OR (ay = sy AND b_y = ty AND sx = tx) THEN 2 END AS rank FROM d JOIN s USING (scope)),
@@ -150,9 +191,16 @@ def dimension_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.covered_spans(spans, views, ["scope"])
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT c_custkey // 252 AS scope, c_acctbal AS bal, c_custkey AS id, c_custkey % 7 * 10 AS x0, (c_custkey // 7) % 6 * 10 AS y0, CASE WHEN (c_custkey // 42) % 2 = 0 THEN ((c_custkey // 84) % 3 + 1) * 10 ELSE 0 END AS w, CASE WHEN (c_custkey // 42) % 2 = 0 THEN 0 ELSE ((c_custkey // 84) % 3 + 1) * 10 END AS h FROM customer),
+s AS (SELECT scope, id, x0 * 1000 + y0 AS p, (x0 + w) * 1000 + y0 + h AS q FROM l WHERE bal > 2000), b AS (SELECT scope, id AS start_id, x0 * 1000 + y0 AS p FROM l WHERE bal <= 2000),
+e AS (SELECT scope, p, id, q FROM s UNION ALL SELECT scope, q, id, p FROM s), a AS (SELECT scope, p, list({'id': id, 'q': q}) AS ends FROM e GROUP BY ALL),
+t AS (SELECT b.scope, start_id, b.p AS here, CAST([] AS BIGINT[]) AS used, [b.p] AS seen, CAST(NULL AS VARCHAR) AS reason FROM b
+  UNION ALL SELECT t.scope, start_id, CASE WHEN len(n) = 1 AND len(used) < 64 THEN n[1].q ELSE here END, CASE WHEN len(n) = 1 AND len(used) < 64 THEN list_append(used, n[1].id) ELSE used END, CASE WHEN len(n) = 1 AND len(used) < 64 THEN list_append(seen, n[1].q) ELSE seen END,
+    CASE WHEN coalesce(len(n), 0) = 0 THEN 'end' WHEN len(n) > 1 THEN 'branch' WHEN len(used) >= 64 THEN 'too_long' WHEN list_contains(seen, n[1].q) THEN 'rejoin' END
+  FROM t LEFT JOIN a ON a.scope = t.scope AND a.p = t.here, LATERAL (SELECT list_filter(ends, lambda z: NOT list_contains(used, z.id)) AS n) WHERE reason IS NULL)
+SELECT scope, start_id, CAST(len(used) AS INT) AS length, CASE WHEN len(used) = 0 THEN 'no_stem' ELSE reason END AS reason, array_to_string(used, ',') AS path FROM t WHERE reason IS NOT NULL AND scope IN (SELECT scope FROM b)""")
 def cut_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5."""
+    """V5: on sheets of 252 lines."""
     lines = _lines(spark, sf_dir)
     segments = lines.where("bal > 2000").select("scope", F.col("id").alias("seg_id"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
     starts = lines.where("bal <= 2000").select("scope", F.col("id").alias("start_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))

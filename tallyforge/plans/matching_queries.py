@@ -43,21 +43,34 @@ def staged_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one day among the rows that the stages leave."""
+    """Pairs of one project (orders 6,000 by 6,000) and month with like amounts, among the rows that the stages leave."""
     left, right = _orders(spark, sf_dir)
     done = matching.staged_match(left, right, STAGES)
-    left, right = matching.without(left, done, "l"), matching.without(right, done, "r")
-    pairs = left.join(right.drop("k1").withColumnsRenamed({"c": "rc", "p": "rp"}), "d")
-    return pairs.select(F.col("d").cast("string").alias("d"), "l", "r", F.round(1 / (1 + F.abs(F.col("p") - F.col("rp")) / 1000) + F.when(F.col("c") == F.col("rc"), 0.5).otherwise(0.0), 6).alias("score"))
+    month = F.date_format("d", "yyyy-MM").alias("month")
+    left = matching.without(left, done, "l").select("l", "c", "p", F.expr("l div 6000").alias("project"), month)
+    right = matching.without(right, done, "r").select("r", F.col("c").alias("rc"), F.col("p").alias("rp"), F.expr("-r div 6000").alias("project"), month)
+    pairs = left.join(right, ["project", "month"])
+    return pairs.select(F.concat_ws("/", "project", "month").alias("d"), "l", "r", F.round(1 / (1 + F.abs(F.col("p") - F.col("rp")) / 1000) + F.when(F.col("c") == F.col("rc"), 0.5).otherwise(0.0), 6).alias("score"))
 
 
-@query()
+_MUTUAL = f"""WITH RECURSIVE {_STAGED},
+x AS (SELECT * FROM a WHERE l NOT IN (SELECT l FROM m3)), y AS (SELECT * FROM b WHERE r NOT IN (SELECT r FROM m3)),
+pairs AS (SELECT l // 6000 || '/' || strftime(x.d, '%Y-%m') AS d, l, r, round(1 / (1 + abs(x.p - y.p) / 1000) + CASE WHEN x.c = y.c THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM x JOIN y ON l // 6000 = -r // 6000 AND strftime(x.d, '%Y-%m') = strftime(y.d, '%Y-%m')),
+o AS (SELECT 1 AS n, l, r, score FROM pairs
+  UNION ALL SELECT n + 1, l, r, score FROM (SELECT *, bool_or(t) OVER (PARTITION BY l) AS dl, bool_or(t) OVER (PARTITION BY r) AS dr, bool_or(t) OVER () AS hit FROM
+    (SELECT *, tl AND tr AND sum(CASE WHEN tl THEN 1 ELSE 0 END) OVER (PARTITION BY l) = 1 AND sum(CASE WHEN tr THEN 1 ELSE 0 END) OVER (PARTITION BY r) = 1 AS t FROM
+      (SELECT *, score = max(score) OVER (PARTITION BY l) AS tl, score = max(score) OVER (PARTITION BY r) AS tr FROM o))) WHERE hit AND NOT dl AND NOT dr),
+taken AS (SELECT l, r, n AS round FROM (SELECT *, tl AND tr AND sum(CASE WHEN tl THEN 1 ELSE 0 END) OVER (PARTITION BY n, l) = 1 AND sum(CASE WHEN tr THEN 1 ELSE 0 END) OVER (PARTITION BY n, r) = 1 AS t FROM
+  (SELECT *, score = max(score) OVER (PARTITION BY n, l) AS tl, score = max(score) OVER (PARTITION BY n, r) AS tr FROM o)) WHERE t)"""
+
+
+@query(f"{_MUTUAL} SELECT l, r, round FROM taken")
 def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15, last stage: a fixpoint, tested against a loop."""
+    """J15, last stage: a fixpoint."""
     return matching.mutual_best(_pairs(spark, sf_dir))
 
 
-@query()
+@query(f"{_MUTUAL}, n AS (SELECT d, l, count(*) AS candidates FROM pairs GROUP BY ALL) SELECT d, l, r, candidates, CASE WHEN r IS NULL THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM n LEFT JOIN taken USING (l)")
 def one_to_one_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14."""
     return matching.one_to_one(_pairs(spark, sf_dir), ["d"])
@@ -305,13 +318,18 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.select("p_partkey", F.array_join(text.material_codes(F.col("t"), ["MT", "GC-SS"]), ",").alias("codes"), F.array_join(text.expand_range(F.col("r")), ",").alias("range"), F.array_join(text.tokens(F.col("p_name")), ",").alias("tokens"), F.array_join(text.bigrams(F.col("p_name")), "").alias("grams"), text.code_key(F.col("r")).alias("key"), F.array_join(text.key_list(F.concat_ws(", ", "p_name", F.upper("p_name"), F.lit("x"))), ";").alias("list"))
 
 
-@query("""SELECT p_partkey, 'part:' || substring(sha256('{"brand":"' || p_brand || '","size":"' || p_size || '"}'), 1, 24) AS id FROM part""")
+@query(r"""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'say "' || p_name || '"' WHEN 2 THEN 'C:\' || p_name || '\n' WHEN 3 THEN 'a' || chr(10) || chr(9) || chr(31) || p_name || '㎡' END AS note FROM part),
+j AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN '"' || p_name || '"' WHEN 1 THEN '"say \"' || p_name || '\""' WHEN 2 THEN '"C:\\' || p_name || '\\n"' WHEN 3 THEN '"a\n\t\u001f' || p_name || '㎡"' ELSE 'null' END AS json FROM p)
+SELECT p_partkey, 'part:' || substring(sha256('{"brand":"' || p_brand || '","note":' || json || ',"size":"' || p_size || '"}'), 1, 24) AS id FROM j""")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T9."""
-    return table(spark, sf_dir, "part").select("p_partkey", text.content_id("part", {"size": F.col("p_size"), "brand": F.col("p_brand")}).alias("id"))
+    """Ids of values with quotes, backslashes, control characters, and nulls."""
+    k = F.col("p_partkey") % 5
+    note = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit('say "'), "p_name", F.lit('"'))).when(k == 2, F.concat(F.lit("C:\\"), "p_name", F.lit("\\n"))).when(k == 3, F.concat(F.lit("a\n\t\x1f"), "p_name", F.lit("㎡")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.content_id("part", {"size": F.col("p_size"), "note": note, "brand": F.col("p_brand")}).alias("id"))
 
 
-@query()
+@query("""SELECT p_partkey, (p_size + 3) * 2 - (p_partkey % 5) / 4 AS value, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE * 10 * p_size * 100 * 2 / 1000000 ELSE p_size::DOUBLE * 100 * 2 / 1000 END AS quantity, 2.0::DOUBLE * p_size - 1 AS derived,
+  CASE WHEN p_partkey % 2 = 0 THEN '=(((I{row}*J{row})*K{row})/1000000)' ELSE '=((J{row}*K{row})/1000)' END AS formula FROM part""")
 def safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions over part sizes, by a parser in Arrow batches."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("", F.lit("("), "p_size", F.lit("+3)×2-"), F.col("p_partkey") % 5, F.lit("/4")).alias("e"), F.when(F.col("p_partkey") % 2 == 0, "width_mm*length_mm*quantity/1000000").otherwise("length_mm*quantity/1000").alias("d"), "p_size")

@@ -112,11 +112,14 @@ def merged_specs(specs: DataFrame, identity: list[str], locator: str) -> DataFra
 def row_associations(texts: DataFrame, scope: list[str], code_pattern: str) -> DataFrame:
     """Texts on the baseline of a code: |dy| within max(.5, min(2 median height, 2.5 of the code's height)), right of it, nearest first.
 
-    Texts have id, x, y, h and text. A text belongs to the nearest code on its left on the same baseline.
+    Texts have id, x, y, h and text. A text belongs to the nearest code on its left on the same baseline. They meet in bands of y as high as the
+    greatest reach: a text in its own, a code in three.
     """
-    seeds = texts.where(F.col("text").rlike(code_pattern)).select(*scope, F.col("id").alias("seed"), F.col("text").alias("code"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("h").alias("sh"))
     heights = texts.groupBy(*scope).agg(F.median("h").alias("mh"))
-    pairs = texts.join(seeds, scope).join(heights, scope)
+    banded = texts.join(heights, scope).withColumn("__band", F.floor(F.col("y") / F.greatest(F.lit(0.5), 2 * F.col("mh"))))
+    steps = F.explode(F.array(*[F.col("__band") + i for i in (-1, 0, 1)]))
+    seeds = banded.where(F.col("text").rlike(code_pattern)).select(*scope, F.col("id").alias("seed"), F.col("text").alias("code"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("h").alias("sh"), steps.alias("__band"))
+    pairs = banded.join(seeds, [*scope, "__band"])
     near = (F.abs(F.col("y") - F.col("sy")) <= F.greatest(F.lit(0.5), F.least(2 * F.col("mh"), 2.5 * F.col("sh")))) & (F.col("x") > F.col("sx"))
     best = pairs.where(near).groupBy(*scope, "id", "text", "x").agg(F.min(F.struct((F.col("x") - F.col("sx")).alias("d"), "seed", "code")).alias("b"))
     order = Window.partitionBy(*scope, "b.seed").orderBy("x", "id")

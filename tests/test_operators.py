@@ -173,7 +173,7 @@ def test_unique_assignment(spark):
     pairs = spark.createDataFrame([("u", 1, 1), ("u", 1, 2), ("u", 2, 2), ("v", 1, 1), ("v", 2, 1), ("w", 1, 1), ("w", 1, 2)], "s string, l int, r int")
     out = sequential.unique_assignment(pairs, "s", "l", "r").collect()
     assert sorted((r["s"], r["state"], r["l"], r["r"]) for r in out if r["s"] == "u") == [("u", "unique", 1, 1), ("u", "unique", 2, 2)]
-    assert {r["s"]: r["state"] for r in out if r["s"] != "u"} == {"v": "none", "w": "ambiguous"}
+    assert {r["s"]: r["state"] for r in out if r["s"] != "u"} == {"v": "unequal", "w": "unequal"}
 
 
 def test_geometry_operators(spark):
