@@ -108,7 +108,7 @@ def mixing_plan(rows: DataFrame, weights: dict[tuple, int], share: float, max_ep
     plan = leaf_budgets(leaves, weights, share, max_epochs)
     plan = cut(plan.withColumns({"epochs": F.expr("case when tokens = 0 then 0 else given div tokens end"), "rest": F.expr("case when tokens = 0 then 0 else given % tokens end")}))
     keyed = rows.join(if_few(plan.select(*LEVELS, "epochs")), LEVELS).select(*LEVELS, epoch_key(seed, F.col("epochs"), "doc_id").alias("key"), "n_tokens")
-    edge = plan.where("rest > 0").select(*LEVELS, "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    edge = if_few(plan.where("rest > 0").select(*LEVELS, "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before")))
     for k in range(ROUNDS):
         near = keyed if not k else keyed.join(edge, LEVELS).where(F.col("key").startswith(F.col("prefix"))).select(*LEVELS, "key", "n_tokens")
         sums = cut(near.groupBy(*LEVELS, F.substring("key", 1, (k + 1) * DIGITS).alias("bucket")).agg(F.sum("n_tokens").alias("s")))
