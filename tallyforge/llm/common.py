@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyforge.plans.checkpoints import checkpoint_root, cut
 
-__all__ = ["bound_batches", "blocks", "cut", "if_few", "labelled_sample", "shared_folder", "stored", "table", "texts_of_sample", "with_arrow", "word_count"]
+__all__ = ["bound_batches", "blocks", "cut", "if_few", "labelled_sample", "shared_folder", "sieved", "stored", "table", "texts_of_sample", "with_arrow", "word_count"]
 
 #: Text bytes that one numpy or Python step holds at a time inside a task.
 BLOCK_BYTES = 1 << 19
@@ -105,3 +105,22 @@ def texts_of_sample(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(doc_id, y, text): one row for each of ``chosen`` (doc_id, y) that ``docs`` has, however often it repeats the id: the least of its texts, a null being empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(if_few(chosen), "doc_id")
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+#: Bits of a sieve: 32 MB as a broadcast table, at any size of the input.
+SIEVE_BITS = 1 << 28
+
+
+def sieved(df: DataFrame, columns: list[str | F.Column], keys: DataFrame, names: list[str], out: str = "__maybe", bits: int = SIEVE_BITS) -> DataFrame:
+    """``df`` with ``out``: false only where ``columns`` are surely none of ``keys`` (``names``), true for all that are and a few others.
+
+    The keys' hashes make a bitmap, whose pieces of 4 KB are broadcast: rows of long texts that no key names needn't be shuffled for a join. Nulls are
+    values. An exact join has to follow.
+    """
+    place = lambda cs: F.pmod(F.xxhash64(*cs), F.lit(bits))
+    piece = lambda c: F.bitmap_bucket_number(c)
+    pieces = keys.select(place(names).alias("__p")).groupBy(piece(F.col("__p")).alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("__p"))).alias("__map"))
+    placed = df.withColumn("__p", place(columns)).withColumn("__n", piece(F.col("__p")))
+    bit = F.expr("cast(conv(hex(substring(__map, cast(bitmap_bit_position(__p) div 8 + 1 as int), 1)), 16, 10) as int) >> cast(bitmap_bit_position(__p) % 8 as int) & 1")
+    joined = placed.join(F.broadcast(cut(pieces)), F.col("__n") == F.col("__piece"), "left")
+    return joined.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("__p", "__n", "__piece", "__map")

@@ -2,7 +2,8 @@
 
 A line is its words. Two lines are duplicates if their words are equal (lines of ``MIN_WORDS`` words or more) or if one
 edit - a word put in, left out or exchanged - turns one into the other (both of ``NEAR_WORDS`` words or more). A
-line goes if an earlier one, by document id and line number, is a duplicate of it, whether or not that one stays.
+line goes if an earlier one, by document id and line number, is a duplicate of it, whether or not that one stays. With
+``NEAR_WORDS`` of 5, lines that one edit parts are 0.8 alike or more.
 
 Every variant of a line within the bound is a line with one word less, tagged by the place of the gap; the line
 itself, tagged by each place where a gap could be, stands for the longer lines. All lines that emit an equal
@@ -21,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, bound_batches, cut, if_few, stored
+from tallyforge.llm.common import blocks, bound_batches, cut, if_few, sieved, stored
 
-MIN_WORDS, NEAR_WORDS = 3, 8
+MIN_WORDS, NEAR_WORDS = 3, 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -118,7 +119,8 @@ def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     near = keyed.join(if_few(shared), "key", "left_semi").groupBy("h1", "h2")
     place = [F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("line", "doc_id").alias("line")]
     near = cut(near.agg(*place, F.bool_or(~F.col("first_half")).alias("head"), F.bool_or("first_half").alias("tail")).drop("h1", "h2"))
-    texts = docs.join(if_few(near), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
+    likely = sieved(docs, ["doc_id", "th"], near, ["doc_id", "th"]).where("__maybe").drop("__maybe")
+    texts = likely.join(if_few(near), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
     texts = cut(texts.distinct())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
 
     Of equal lines the first of the smallest id stays; rows of one id are one document, whose equal lines in
     different rows all stay. Rows of a null id come last: they lose lines that others have, and are compared with
-    equal lines only. Shorter lines and empty ones stay. Null texts stay null; an empty table gives no rows.
+    equal lines only. Shorter lines and empty ones stay. Null texts stay null; an empty table gives no rows; repeated rows are one document
+    and stay as often. Other columns pass, one named n_dropped is replaced. Only texts that a line is looked up in or taken from
+    are shuffled, beyond what is broadcast: a bitmap of their ids tells them.
     """
     hashed = df.withColumn("__th", F.xxhash64(F.col(text)))
     docs = hashed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__th").alias("th"), F.col(text).alias("text")).where("text is not null")
@@ -164,7 +168,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     gone = exact.select("doc_id", "th", "line").unionByName(lines.where("again").select("doc_id", "th", "line")).unionByName(near_lines(lines, docs))
     gone = cut(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("__gone")))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__gone")
-    joined = hashed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    marked = sieved(hashed.withColumn("__i", F.col(doc_id).cast("long")), ["__i", "__th"], gone, ["__id", "__h"])
+    met = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
+    likely = marked.where("__maybe").join(if_few(gone), met, "left")
+    joined = likely.drop("__id", "__h").unionByName(marked.where("not __maybe").withColumn("__gone", F.lit(None).cast("array<int>")))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns if c != "n_dropped"]
     return joined.select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"))

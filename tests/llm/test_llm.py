@@ -14,8 +14,10 @@ import pytest
 import tiktoken
 import xxhash
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallyforge.llm import bpe, fingerprints, licenses, line_dedup, mixing, near_copies, quality, queries, secrets, shards, simhash, toxicity
+from tallyforge.llm import bpe, common, fingerprints, licenses, line_dedup, mixing, near_copies, quality, queries, secrets, shards, simhash, toxicity
 from tallyforge.llm.common import table
 from tallyforge.operators import graphs
 
@@ -457,7 +459,7 @@ def test_mixing_prefixes(spark, odd, empty):
 # ---- 9: line dedup
 
 
-def brute_lines(docs, min_words=3, near_words=8):
+def brute_lines(docs, min_words=3, near_words=5):
     """The lines that go from each (doc_id, text)."""
     lines = [(i, k, line.encode().split()) for i, text in docs for k, line in enumerate(text.split("\n"))]
     lines = sorted((x for x in lines if len(x[2]) >= min_words), key=lambda x: x[:2])
@@ -495,7 +497,35 @@ def test_line_dedup_of_edited_lines(spark):
 
 
 def test_line_dedup_of_documents(spark):
-    check_lines(spark, [(r["doc_id"], r["text"]) for r in rows_of(spark)][:120])
+    docs = [(r["doc_id"], r["text"]) for r in rows_of(spark)]
+    gone = brute_lines(docs)
+    out = {r["doc_id"]: r for r in queries.op9_line_dedup(spark, SF).collect()}
+    assert len(out) == len(docs)
+    for i, text in docs:
+        assert out[i]["text"] == "\n".join(line for k, line in enumerate(text.split("\n")) if (i, k) not in gone)
+        assert out[i]["n_dropped"] == sum((i, k) in gone for k in range(text.count("\n") + 1))
+
+
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(common.if_few, "__defaults__", (0,))
+    docs = [(i, "\n".join([f"line of words number {i % 7} for the test", f"own {i} text of {i * i} here", "a short"])) for i in range(60)]
+    check_lines(spark, docs)
+
+
+def test_one_mistyped_word_in_short_and_long_lines(spark):
+    check_lines(spark, [(1, "the quick brown fox jumps over dogs\nfive words are in this"), (2, "the quick brown fox jumped over dogs\nfive words are on this"), (3, "four words are here"), (4, "four words are there")])
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_sieve_keeps_all_keys(spark, bits):
+    rows = spark.range(5000).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("a"), (F.col("id") % 3).alias("b"))
+    keys = rows.where("a % 40 = 1 or a is null")
+    out = common.sieved(rows, ["a", "b"], keys, ["a", "b"], bits=bits)
+    assert out.count() == 5000 and out.columns == ["a", "b", "__maybe"]
+    assert out.where("(a % 40 = 1 or a is null) and not __maybe").isEmpty()
+    assert bits == 64 or out.where("__maybe").count() < 720
+    assert common.sieved(rows, ["a", "b"], keys.limit(0), ["a", "b"]).where("__maybe").isEmpty()
 
 
 def test_variants_meet_within_one_edit():
