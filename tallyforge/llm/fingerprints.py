@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import blocks, bound_batches, with_arrow
+from tallyforge.llm.common import blocks, bound_batches, cut, if_few, with_arrow
 
 #: Code points of an anchor and of its inner substrings: of 6 inner ones each, the least is at an edge in a third of all cases.
 K, S = 10, 5
@@ -155,35 +155,47 @@ def shared_anchors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, position long, anchor long")
 
 
-#: Ranges of the order in which rows meet their successors, at most; a range is streamed, not held.
-RANGES, ROWS_A_RANGE = 4096, 1000
+#: Rows of a range, about, and how often the order is cut: at that many quantiles, and into that many equal parts between two of them, at most. A range
+#: is streamed, not held; at 2e10 documents it has 76,000 rows.
+ROWS_A_RANGE, CUTS = 1000, 512
 
 
 def with_next(df: DataFrame, order: str, tie: str) -> DataFrame:
     """``df`` dealt and sorted into ranges of ``order`` (nulls first; ties by ``tie``), so that a task sees a row and its successor.
 
-    Adds ``__range`` and ``__tail``. Ranges are cut at approximate quantiles of ``order``, a whole number. The first row
-    of each range also goes, marked by ``__tail``, to the end of the range before, that of the first range to the end of
-    the last: a row's successor is the next row of its range. More tails than one, from ties, are to be passed over.
+    Adds ``__range`` and ``__tail``. The number of ranges grows with the rows: approximate quantiles of ``order``, a whole number, are cut
+    into equal parts. The first row of each range also goes, marked by ``__tail``, to the end of the range before that has rows, that of the first
+    range to the end of the last: a row's successor is the next row of its range. More tails than one, from ties, are to be passed over.
+    The driver sees the quantiles and a row for each.
     """
-    spark, rows = df.sparkSession, df.select(F.col(order).cast("double").alias("x"))
-    ranges = min(RANGES, rows.count() // ROWS_A_RANGE)
-    marks = sorted(set(rows.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    rows = df.select(F.col(order).cast("double").alias("x"))
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    ranges = max(1, n // ROWS_A_RANGE)
+    cuts = min(CUTS, ranges)
+    parts = min(CUTS, -(-ranges // cuts))
+    marks = sorted(set(rows.approxQuantile("x", [i / cuts for i in range(1, cuts)], 0.1 / cuts))) if cuts > 1 else []
     ranged = df.withColumn("__x", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
     if marks:
-        ranged = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol="__x", outputCol="__range").transform(ranged)
+        ranged = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol="__x", outputCol="__cut").transform(ranged).withColumn("__cut", F.col("__cut").cast("int"))
+        ends = [low, *marks, high]
+        start, end = (F.get(F.array(*[F.lit(float(x)) for x in xs]), F.col("__cut")) for xs in (ends[:-1], ends[1:]))
+        part = F.floor(F.try_divide(F.col("__x") - start, end - start) * parts)
+        part = F.when(F.col("__x") > start, F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1))).otherwise(0)
+        ranged = ranged.withColumn("__range", F.col("__cut").cast("long") * parts + part)
     else:
-        ranged = ranged.withColumn("__range", F.lit(0.0))
+        ranged = ranged.withColumns({"__cut": F.lit(0), "__range": F.lit(0).cast("long")})
     ranged = ranged.drop("__x")
     first = F.min(F.struct(F.col(order).isNotNull().alias("some"), F.col(order).cast("long").alias("first")))
-    firsts = ranged.groupBy("__range").agg(first.alias("f")).select("__range", "f.first").collect()  # RANGES rows at most
-    found = sorted((r[0], r[1]) for r in firsts) if firsts else []
-    back = [(r, f, found[i - 1][0]) for i, (r, f) in enumerate(found)]
-    tails = F.broadcast(spark.createDataFrame(back, "__r double, __first long, __to double"))
+    firsts = cut(ranged.groupBy("__cut", "__range").agg(first.alias("f")).select("__cut", "__range", "f.first"))
+    lasts = {r["__cut"]: r["last"] for r in firsts.groupBy("__cut").agg(F.max("__range").alias("last")).collect()}  # CUTS rows at most
+    found = sorted(lasts)
+    before = F.get(F.array(*[F.lit(lasts[found[i - 1]]).cast("long") for i in range(len(found))]), F.array_position(F.array(*map(F.lit, found)), F.col("__cut")).cast("int") - 1) if found else F.lit(0).cast("long")
+    to = F.coalesce(F.lag("__range").over(Window.partitionBy("__cut").orderBy("__range")), before)
+    tails = if_few(cut(firsts.select(F.col("__range").alias("__r"), F.col("first").alias("__first"), to.alias("__to"))))
     met = (F.col("__range") == F.col("__r")) & F.col(order).cast("long").eqNullSafe(F.col("__first"))
     tail = ranged.join(tails, met).drop("__r", "__first", "__range").withColumnRenamed("__to", "__range")
     both = ranged.withColumn("__tail", F.lit(False)).unionByName(tail.withColumn("__tail", F.lit(True)))
-    return both.repartition("__range").sortWithinPartitions("__range", "__tail", F.col(order).asc_nulls_first(), tie)
+    return both.drop("__cut").repartition("__range").sortWithinPartitions("__range", "__tail", F.col(order).asc_nulls_first(), tie)
 
 
 def edited_halves(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:

@@ -73,15 +73,25 @@ def test_fingerprints_of_edited_texts(spark):
     assert np.median([r["near_next"] for r in out.values()]) < 0.05
 
 
-def test_next_rows_across_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("cuts", [512, 3, 1])
+def test_next_rows_across_ranges(spark, monkeypatch, cuts):
     monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", 7)
-    rows = [(i * i, f"text number {i} " * 3) for i in range(100)]
+    monkeypatch.setattr(fingerprints, "CUTS", cuts)
+    rows = [(i * i - 50, f"text number {i} " * 3) for i in range(100)] + [(10**15, "far away"), (10**15 + 1, "farther")]  # uneven ids leave ranges empty
     out = {r["doc_id"]: r for r in fingerprints.edited_halves(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows)
     for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         half = len(text) // 2
         assert out[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
 
 
+def test_next_rows_of_nulls_and_ties(spark):
+    docs = spark.createDataFrame([(None, "null id"), (None, None), (3, "b tie"), (3, "a tie"), (9, "last")], "doc_id long, text string")
+    order = [(None, ""), (None, "null id"), (3, "a tie"), (3, "b tie"), (9, "last")]
+    want = {(i, hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % 5][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)}
+    assert {(r["doc_id"], r["edited_sha256"]) for r in fingerprints.edited_halves(docs).collect()} == want
+
+
 def test_anchors_are_closed_syncmers():
     text = "the quick brown fox jumps over the lazy dog and runs away"
     codes = np.array([ord(c) for c in text], np.uint64)
