@@ -41,7 +41,7 @@ def share_out(nodes: DataFrame, parents: list[str], node: str) -> DataFrame:
     lies are put in order one by one.
     """
     family = parents or ["__one"]
-    nodes = nodes if parents else nodes.withColumn("__one", F.lit(0))
+    nodes = nodes if parents else nodes.withColumn("__one", F.length(node) * 0)  # one family; no literal, so that it is a key to join on
     ratio = F.col("cap").cast("double") / F.col("w").cast("double")
     steps = nodes.groupBy(*family, "budget", "cap", "w").agg(F.count("*").alias("k")).withColumns({"ratio": ratio, "cell": F.floor(F.log2(ratio + 1) * 64)})
     total = lambda c: F.sum((F.col(c) * F.col("k")).cast("decimal(25,0)"))
