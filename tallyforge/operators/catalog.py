@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,27 +77,66 @@ def split_panels(anchors: DataFrame, panel: str, position: str, low: str, high:
     return anchors.select(panel, position, F.coalesce((before + here) / 2, F.col(low)).alias("part_low"), F.coalesce((here + after) / 2, F.col(high)).alias("part_high"))
 
 
-def rank_relations(left: DataFrame, right: DataFrame, blocks: DataFrame, top_k: int = 5, least: float = 0.05) -> DataFrame:
-    """Scored relations of sheets, the weak ones cut to the ``top_k`` of each left sheet, all explicit ones kept.
+@F.pandas_udf("double")
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching share of two texts (twice the matched characters over all); each distinct pair is compared once a batch."""
+    known = {p: SequenceMatcher(None, *p).ratio() for p in set(zip(a, b)) if None not in p}
+    return pd.Series([known.get(p) for p in zip(a, b)], dtype="float64")
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """1 for equal texts, the share of lengths if one holds the other, else the matching ratio; 0 if either is missing or empty."""
+    low, high = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    some = F.coalesce((F.length(a) > 0) & (F.length(b) > 0), F.lit(False))
+    inside = F.contains(a, b) | F.contains(b, a)
+    return F.when(~some, 0.0).when(a == b, 1.0).when(inside, low / high).otherwise(_ratio(F.when(some & ~inside, a), F.when(some & ~inside, b)))
 
-    Sheets have ``sheet``, ``code``, ``room``, ``floor`` and ``materials`` (array); ``blocks`` (sheet, other, explicit) has the pairs that share a code,
-    a material, a room or a title word or that name each other: others score the bare prior, which is below ``least``.
-    Score: .02, .72 for an explicit reference, .10 and up to .08 more for shared materials (Jaccard), .15 for the room. Different
-    floors veto a pair unless it is explicit. A sole explicit relation of a sheet is PASS, others are REVIEW.
+
+def relation_candidates(left: DataFrame, right: DataFrame, references: DataFrame) -> DataFrame:
+    """The pairs (sheet, other, explicit, by_number) that can score above the prior: of one project they share a material, a room, or two neighbouring characters of
+    titles or room names; or one refers to the other.
+
+    Keys that are shared are joined once each, after ``distinct``; a project is one set of drawings.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.concat(F.lit("~"), F.substring(c, i, F.lit(2))))
+    empty = F.array().cast("array<string>")
+    tag = lambda t, c: F.transform(F.coalesce(c, empty), lambda x: F.concat(F.lit(t), x))
+    keys = F.array_distinct(F.concat(tag("m:", F.col("materials").cast("array<string>")), tag("r:", F.col("rooms")), F.coalesce(pairs(F.col("title")), empty), F.flatten(F.transform(F.coalesce("rooms", empty), pairs))))
+    of = lambda df, n: df.select("project", F.col("sheet").alias(n), F.explode(keys).alias("key"))
+    met = of(left, "sheet").join(of(right, "other"), ["project", "key"]).where("sheet <> other").select("sheet", "other", F.lit(False).alias("explicit"), F.lit(False).alias("by_number"))
+    own = references.where("sheet <> other").select("sheet", "other", F.lit(True).alias("explicit"), "by_number")
+    return met.unionByName(own).groupBy("sheet", "other").agg(F.bool_or("explicit").alias("explicit"), F.bool_or("by_number").alias("by_number"))
+
+
+def rank_relations(left: DataFrame, right: DataFrame, references: DataFrame, confirmed: DataFrame, top_k: int = 5, least: float = 0.05) -> DataFrame:
+    """Scored relations of sheets, the weak ones cut to the ``top_k`` of each left sheet; those by drawing number, confirmed or sole explicit ones all kept.
+
+    Sheets have project, sheet, title, floor, rooms and materials (arrays); references (sheet, other, by_number) and confirmed (sheet, other) are pairs.
+    Score: .02; 1 if confirmed, else .72 for a reference; .10 and up to .08 more for shared materials (Jaccard); .15 for a shared room, else up
+    to .08 for rooms that are .65 alike; up to .10 for titles that are .25 alike. Different floors veto a pair unless it is confirmed or referred to by its
+    drawing number. Confirmed pairs are PASS, and a sheet's sole reference if it has no confirmed pair; others are REVIEW.
     """
-    names = ["code", "room", "floor", "materials"]
+    names = ["title", "floor", "rooms", "materials"]
     a = left.select("sheet", *[F.col(c).alias(f"a_{c}") for c in names])
     b = right.select(F.col("sheet").alias("other"), *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = blocks.groupBy("sheet", "other").agg(F.bool_or("explicit").alias("explicit")).join(a, "sheet").join(b, "other")
+    sure = confirmed.where("sheet <> other").select("sheet", "other").distinct().withColumn("confirmed", F.lit(True))
+    pairs = relation_candidates(left, right, references).join(sure, ["sheet", "other"], "full_outer")
+    pairs = pairs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("explicit", "by_number", "confirmed")}).join(a, "sheet").join(b, "other")
+    pairs = pairs.where("confirmed or by_number or a_floor is null or b_floor is null or a_floor = b_floor")
+    rooms = pairs.where(~F.coalesce(F.arrays_overlap("a_rooms", "b_rooms"), F.lit(False))).select("sheet", "other", F.explode("a_rooms").alias("x"), "b_rooms").select("sheet", "other", "x", F.explode("b_rooms").alias("y"))
+    likest = rooms.withColumn("likeness", text_similarity(F.col("x"), F.col("y"))).groupBy("sheet", "other").agg(F.max("likeness").alias("room_likeness"))
     both = F.size(F.array_intersect("a_materials", "b_materials"))
     shared = F.when(both > 0, 0.10 + 0.08 * both / F.size(F.array_union("a_materials", "b_materials"))).otherwise(0.0)
-    score = 0.02 + F.when(F.col("explicit"), 0.72).otherwise(0.0) + shared + F.when(F.col("a_room") == F.col("b_room"), 0.15).otherwise(0.0)
-    kept = pairs.withColumn("score", F.round(F.least(score, F.lit(1.0)), 6)).where((F.col("explicit") | ~(F.col("a_floor") != F.col("b_floor"))) & (F.col("score") >= least))
-    order = Window.partitionBy("sheet", "explicit").orderBy(F.desc("score"), "other")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("explicit") | (F.col("rank") <= top_k))
-    sole = kept.where("explicit").groupBy("sheet").agg(F.count("*").alias("n"))
-    out = ranked.join(sole, "sheet", "left")
-    return out.select("sheet", "other", "score", "explicit", F.when(F.col("explicit") & (F.col("n") == 1), "PASS").otherwise("REVIEW").alias("status"))
+    room = F.when(F.arrays_overlap("a_rooms", "b_rooms"), 0.15).when(F.col("room_likeness") >= 0.65, 0.08 * F.col("room_likeness")).otherwise(0.0)
+    scored = pairs.join(likest, ["sheet", "other"], "left").withColumn("title_likeness", text_similarity(F.col("a_title"), F.col("b_title")))
+    base = F.when(F.col("confirmed"), 1.0).when(F.col("explicit"), 0.74).otherwise(0.02)
+    title = F.when(F.col("title_likeness") >= 0.25, 0.10 * F.col("title_likeness")).otherwise(0.0)
+    kept = scored.withColumn("score", F.round(F.least(base + shared + room + title, F.lit(1.0)), 6)).where(F.col("score") >= least)
+    sole = kept.groupBy("sheet").agg(F.count_if("explicit").alias("n"), F.bool_or("confirmed").alias("done"))
+    judged = kept.join(sole, "sheet").withColumn("passed", F.col("confirmed") | (F.col("explicit") & (F.col("n") == 1) & ~F.col("done")))
+    order = Window.partitionBy("sheet", "firm").orderBy(F.desc("score"), "other")
+    ranked = judged.withColumn("firm", F.col("passed") | F.col("by_number")).withColumn("rank", F.row_number().over(order)).where(F.col("firm") | (F.col("rank") <= top_k))
+    return ranked.select("sheet", "other", "score", "explicit", F.when(F.col("passed"), "PASS").otherwise("REVIEW").alias("status"))
 
 
 def reciprocal_links(callouts: DataFrame, pages: DataFrame) -> DataFrame:

@@ -54,6 +54,67 @@ def mutual_best(pairs: DataFrame, left_id: str = "l", right_id: str = "r", score
         open_pairs = cut(without(without(open_pairs, found, left_id), found, right_id))
 
 
+def anchor_pairs(left: DataFrame, right: DataFrame, material: str, anchors: list[str], least: int = 2, left_id: str = "l", right_id: str = "r") -> DataFrame:
+    """Pairs of rows that share the material and ``least`` (two or more) anchors, with the number of anchors that agree as ``score``.
+
+    Rows meet on the material and each two of their anchors, not on the material alone; nulls agree with nothing.
+    """
+    pairs = [(i, j) for i in range(len(anchors)) for j in range(i + 1, len(anchors))]
+
+    def keyed(df: DataFrame, id_: str, p: str) -> DataFrame:
+        keys = F.array(*[F.when(F.col(anchors[i]).isNotNull() & F.col(anchors[j]).isNotNull(), F.struct(F.lit(n).alias("n"), F.col(anchors[i]).cast("string").alias("x"), F.col(anchors[j]).cast("string").alias("y"))) for n, (i, j) in enumerate(pairs)])
+        return df.where(F.col(material).isNotNull()).select(id_, material, *[F.col(c).alias(f"{p}{c}") for c in anchors], F.explode(F.array_compact(keys)).alias("__k"))
+
+    met = keyed(left, left_id, "__l").join(keyed(right, right_id, "__r"), [material, "__k"])
+    agree = sum((F.coalesce((F.col(f"__l{c}") == F.col(f"__r{c}")).cast("int"), F.lit(0)) for c in anchors), F.lit(0))
+    return met.groupBy(left_id, right_id).agg(F.max(agree).alias("score")).where(F.col("score") >= least)
+
+
+def match_rows(left: DataFrame, right: DataFrame, component: str, row: str, material: str, anchors: list[str], left_id: str = "l", right_id: str = "r") -> DataFrame:
+    """Predicted (left) and reviewed (right) rows by component id, row id, categorical signature - each unique on both sides -, then mutual best anchors.
+
+    A signature is the material and all anchors; it needs the material and one anchor. Numbers take no part. Returns left_id, right_id and method.
+    """
+    some = F.coalesce(*[F.col(a).cast("string") for a in anchors])
+    signature = F.when(F.col(material).isNotNull() & some.isNotNull(), F.to_json(F.struct(material, *anchors), {"ignoreNullFields": "false"}))
+    left, right = (df.withColumn("__signature", signature) for df in (left, right))
+    stages = staged_match(left, right, [[component], [row], ["__signature"]], left_id, right_id)
+    pairs = anchor_pairs(without(left, stages, left_id), without(right, stages, right_id), material, anchors, 2, left_id, right_id)
+    last = mutual_best(pairs, left_id, right_id).select(left_id, right_id, F.lit("mutual_best").alias("method"))
+    names = F.array(*map(F.lit, ("component_id", "row_id", "signature")))
+    return stages.select(left_id, right_id, F.element_at(names, F.col("stage")).alias("method")).unionByName(last)
+
+
+def evaluate_projects(predicted: DataFrame, gold: DataFrame, matches: DataFrame, outcomes: dict[str, tuple[Column, Column]], identities: list[str], key: str = "project", target: float = 0.95, left_id: str = "l", right_id: str = "r") -> DataFrame:
+    """Rows, recall, precision and gate of each project.
+
+    ``outcomes`` gives for each field its verdict on a matched row (columns of the gold row, and of the predicted one as p_<name>) and whether the gold row has it. A gold
+    row that lacks a field is invalid and not eligible; without a prediction its fields fail. A row is correct if all fields pass. BLOCKED: an invalid
+    row, an identity (``identities``) that several gold rows of the project have, or no gold rows. INDETERMINATE: an unresolved field or nothing eligible. Else PASS if recall
+    and precision reach the target.
+    """
+    own = predicted.select(*[F.col(c).alias(c if c == left_id else f"p_{c}") for c in predicted.columns])
+    rows = gold.join(matches.select(left_id, right_id), right_id, "left").join(own, left_id, "left")
+    has = [h for _, h in outcomes.values()]
+    verdict = {n: F.when(F.col(left_id).isNull(), F.when(h, "FAIL").otherwise("UNRESOLVED")).otherwise(c) for n, (c, h) in outcomes.items()}
+    marked = rows.withColumns({**{f"__v_{n}": c for n, c in verdict.items()}, "__eligible": F.forall(F.array(*[F.coalesce(h, F.lit(False)) for h in has]), lambda x: x)})
+    every = F.array(*[F.col(f"__v_{n}") for n in outcomes])
+    correct = F.col("__eligible") & F.col(left_id).isNotNull() & F.forall(every, lambda v: v == "PASS")
+    sums = marked.groupBy(key).agg(F.count("*").alias("gold_rows"), F.count_if("__eligible").alias("eligible"), F.count_if(correct).alias("correct"), F.bool_or(F.array_contains(every, "UNRESOLVED")).alias("__unresolved"))
+    repeated = None
+    for c in identities:
+        twice = gold.where(F.col(c).isNotNull()).groupBy(key, c).agg(F.count("*").alias("n")).where("n > 1").groupBy(key).agg(F.count("*").alias("__twice"))
+        repeated = twice if repeated is None else repeated.unionByName(twice)
+    doubles = repeated.groupBy(key).agg(F.sum("__twice").alias("duplicate_identities"))
+    counts = predicted.groupBy(key).agg(F.count("*").alias("predicted_rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = sums.join(counts, key, "full_outer").join(doubles, key, "left").select(key, *[zero(c) for c in ("gold_rows", "predicted_rows", "eligible", "correct", "duplicate_identities")], F.coalesce("__unresolved", F.lit(False)).alias("__unresolved"))
+    recall, precision = F.try_divide("correct", "eligible"), F.coalesce(F.try_divide("correct", "predicted_rows"), F.lit(0.0))
+    blocked = (F.col("gold_rows") == 0) | (F.col("eligible") < F.col("gold_rows")) | (F.col("duplicate_identities") > 0)
+    gate = F.when(blocked, "BLOCKED").when(F.col("__unresolved") | (F.col("eligible") == 0), "INDETERMINATE").when((recall >= target) & (precision >= target), "PASS").otherwise("FAIL")
+    return out.select(key, "gold_rows", "predicted_rows", "eligible", "correct", "duplicate_identities", recall.alias("recall"), precision.alias("precision"), gate.alias("gate"))
+
+
 def one_to_one(pairs: DataFrame, bucket: list[str], left_id: str = "l", right_id: str = "r", score: str = "score") -> DataFrame:
     """Per left row its state: MATCHED to the right row if the pair is alone in its bucket or the sole best of both, else AMBIGUOUS, or MISSING without pairs.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.numeric import unfolded_width, valid_on
+from tallyforge.functions.numeric import price_date, unfolded_width
 
 THOUSANDTH, MILLIONTH = "cast(0.001 as decimal(3,3))", "cast(0.000001 as decimal(6,6))"
 SPEC_FIELDS = ["name", "grade", "thickness_mm", "finish", "process"]
@@ -65,18 +65,28 @@ def unique_specs(specs: DataFrame, key: str, fields: list[str], conflict: Column
 def match_prices(items: DataFrame, prices: DataFrame, keys: list[str], day: str, thickness: str | None = None, tolerance: float = 0.01) -> DataFrame:
     """The price of each item: equal normalised keys, thickness within ``tolerance``, the day within the price's validity, and exactly one such price.
 
-    Items have ``item_id``; prices have ``price_id``, ``unit_price``, ``approved``, ``valid_from`` and ``valid_to``. An item with none or several has no
+    Prices have ``price_id``, ``unit_price``, ``approved``, ``valid_from`` and ``valid_to``. An item with none or several has no
     price and the reason no_price or ambiguous; its number of candidates stays visible. Prices that aren't approved don't take part. A null key
-    matches nothing. The join's keys carry the work; Spark broadcasts the price book only if it is small.
+    matches nothing. The book is grouped by its keys - an array of the key's versions - and joined once, so items aren't multiplied, grouped or joined
+    back; Spark broadcasts the book only if it is small.
     """
-    left = items.withColumns({f"__k{i}": F.lower(F.regexp_replace(F.col(k).cast("string"), r"\s+", "")) for i, k in enumerate(keys)})
-    right = prices.where("approved").select("price_id", F.col("unit_price").alias("__price"), F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"), *([F.col(thickness).alias("__thick")] if thickness else []), *[F.lower(F.regexp_replace(F.col(k).cast("string"), r"\s+", "")).alias(f"__k{i}") for i, k in enumerate(keys)])
-    near = F.abs(F.col(thickness) - F.col("__thick")) <= tolerance if thickness else F.lit(True)
-    joined = left.join(right, [f"__k{i}" for i in range(len(keys))]).where(near & valid_on(F.col(day), F.col("__from"), F.col("__to")))
-    one = joined.groupBy("item_id").agg(F.count("*").alias("candidates"), F.min("price_id").alias("price_id"), F.min_by("__price", "price_id").alias("unit_price"))
-    out = items.join(one, "item_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
-    only = F.col("candidates") == 1
-    return out.withColumns({"price_id": F.when(only, F.col("price_id")), "unit_price": F.when(only, F.col("unit_price")), "reason": F.when(F.col("candidates") == 0, "no_price").when(~only, "ambiguous")})
+    normal = lambda c: F.lower(F.regexp_replace(F.col(c).cast("string"), r"\s+", ""))
+    named = {f"__k{i}": normal(k) for i, k in enumerate(keys)}
+    low, high = price_date(F.col("valid_from")), price_date(F.col("valid_to"))
+    readable = (F.col("valid_from").isNull() | low.isNotNull()) & (F.col("valid_to").isNull() | high.isNotNull())
+    version = F.struct("price_id", F.col("unit_price").alias("price"), low.alias("low"), high.alias("high"), *([F.col(thickness).alias("thick")] if thickness else []))
+    book = prices.where("approved").where(readable).select(*[c.alias(n) for n, c in named.items()], version.alias("v")).groupBy(*named).agg(F.array_sort(F.collect_list("v")).alias("__book"))
+    at = F.col(day)
+
+    def holds(v: Column) -> Column:
+        near = F.abs(F.col(thickness) - v["thick"]) <= tolerance if thickness else F.lit(True)
+        return F.coalesce(at.isNotNull() & (v["low"].isNull() | (v["low"] <= at)) & (v["high"].isNull() | (at <= v["high"])) & near, F.lit(False))
+
+    out = items.withColumns(named).join(book, list(named), "left").withColumn("__found", F.filter("__book", holds))
+    candidates = F.coalesce(F.size("__found"), F.lit(0)).cast("long")
+    only = candidates == 1
+    columns = {"candidates": candidates, "price_id": F.when(only, F.col("__found")[0]["price_id"]), "unit_price": F.when(only, F.col("__found")[0]["price"]), "reason": F.when(candidates == 0, "no_price").when(~only, "ambiguous")}
+    return out.withColumns(columns).drop("__book", "__found", *named)
 
 
 def conflicts(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -66,13 +66,14 @@ def owned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.owned_points(points, views, ["scope"])
 
 
-@query("""WITH a AS (SELECT page_id, md5(html) AS d FROM pages WHERE NOT contains(url, '5')), b AS (SELECT page_id, CASE WHEN length(html) > 1500 THEN md5(url) ELSE md5(html) END AS d FROM pages WHERE NOT contains(url, '7'))
+@query("""WITH a AS (SELECT page_id, md5(html) AS d FROM pages ), b AS (SELECT page_id, CASE WHEN length(html) > 1500 THEN md5(url) ELSE md5(html) END AS d FROM pages UNION ALL SELECT page_id + 1000000000, md5(url) FROM pages WHERE contains(url, '7'))
 SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.d IS NULL THEN 'new' WHEN b.d IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.d IS DISTINCT FROM b.d""")
 def artefact_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9, X9, S4."""
     pages = table(spark, sf_dir, "pages")
-    now = pages.where(~F.col("url").contains("7")).select("page_id", F.when(F.length("html") > 1500, F.md5("url")).otherwise(F.md5("html")).alias("d"))
-    return evidence.drift(pages.where(~F.col("url").contains("5")).select("page_id", F.md5("html").alias("d")), now, "page_id", "d")
+    now = pages.select("page_id", F.when(F.length("html") > 1500, F.md5("url")).otherwise(F.md5("html")).alias("d"))
+    fresh = pages.where(F.col("url").contains("7")).select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.md5("url").alias("d"))
+    return evidence.drift(pages.select("page_id", F.md5("html").alias("d")), now.unionByName(fresh), "page_id", "d")
 
 
 @query("""SELECT s.s_suppkey, s.s_name, coalesce(f.bal, s.s_acctbal) AS s_acctbal FROM supplier s LEFT JOIN (SELECT s_suppkey, abs(s_acctbal) AS bal FROM supplier WHERE s_acctbal < 0) f USING (s_suppkey)""")
@@ -92,15 +93,15 @@ def variant_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.variant_binding(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'P'"), "o_custkey")
 
 
-@query("""WITH d AS (SELECT l_orderkey AS c, 'plan' AS stage, l_suppkey AS sheet FROM lineitem WHERE l_linenumber = 1), k AS (SELECT l_orderkey AS c, 'detail' AS stage, l_partkey % 50 AS sheet FROM lineitem WHERE l_linenumber = 2),
+@query("""WITH d AS (SELECT l_orderkey AS c, 'plan' AS stage, l_suppkey AS sheet FROM lineitem WHERE l_linenumber % 2 = 1), k AS (SELECT l_orderkey AS c, 'detail' AS stage, l_partkey % 50 AS sheet FROM lineitem WHERE l_linenumber % 2 = 0),
 e AS (SELECT s_suppkey AS source, (s_suppkey * 3) % 50 AS target, 'detail' AS stage FROM supplier WHERE s_acctbal > 0),
 u AS (SELECT c, stage, sheet, 0 AS o FROM d UNION ALL SELECT c, e.stage, target, 1 FROM d JOIN e ON source = sheet UNION ALL SELECT c, stage, sheet, 2 FROM k), b AS (SELECT c, stage, sheet, min(o) AS o FROM u GROUP BY ALL)
 SELECT c, stage, sheet, ['explicit', 'relation', 'material_code'][o + 1] AS origin, CAST(row_number() OVER (PARTITION BY c, stage ORDER BY o, sheet) AS INT) AS rank FROM b""")
 def stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2."""
     lines = table(spark, sf_dir, "lineitem")
-    direct = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("c"), F.lit("plan").alias("stage"), F.col("l_suppkey").alias("sheet"))
-    code = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("c"), F.lit("detail").alias("stage"), (F.col("l_partkey") % 50).alias("sheet"))
+    direct = lines.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("c"), F.lit("plan").alias("stage"), F.col("l_suppkey").alias("sheet"))
+    code = lines.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("c"), F.lit("detail").alias("stage"), (F.col("l_partkey") % 50).alias("sheet"))
     edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 3 % 50).alias("target"), F.lit("detail").alias("stage"), F.when(F.col("s_acctbal") > 0, "PASS").otherwise("REVIEW").alias("status"))
     return evidence.stage_candidates(direct, code, edges, "c")
 

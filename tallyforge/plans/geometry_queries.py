@@ -296,12 +296,11 @@ r AS (SELECT calc.*, CASE WHEN b.l_orderkey IS NOT NULL THEN 'shared_evidence' W
 SELECT p_brand, verdict, reason, count(*) AS items, CAST(sum(CASE WHEN verdict = 'PASS' THEN round(CAST(exact AS DECIMAL(20,9)) * CAST(price AS DECIMAL(10,2)), 2) END) AS DOUBLE) AS amount FROM r GROUP BY ALL""")
 def takeoff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities, unique prices and exclusive evidence of all items, and what each status amounts to."""
-    rows = items(spark, sf_dir).drop("unit_price").withColumns({"day": F.col("l_shipdate").cast("date"), "item_id": F.concat_ws("-", F.lower(F.regexp_replace("p_brand", r"\s+", "")), F.lower(F.regexp_replace("p_type", r"\s+", "")), F.col("l_shipdate").cast("date"))})
-    wanted = rows.select("item_id", "p_brand", "p_type", "day").distinct()
-    priced = pricing.match_prices(wanted, prices(spark, sf_dir), ["p_brand", "p_type"], "day").select("item_id", "unit_price", F.col("reason").alias("price_reason"))
+    rows = items(spark, sf_dir).drop("unit_price").withColumn("day", F.col("l_shipdate").cast("date"))
+    priced = pricing.match_prices(rows, prices(spark, sf_dir), ["p_brand", "p_type"], "day").withColumnRenamed("reason", "price_reason")
     owners = pricing.exclusive_owners(rows.select("l_orderkey", F.expr("l_partkey * 100 + l_suppkey % 100").alias("evidence")), "l_orderkey", "evidence")
     blocked = owners.where("status = 'BLOCK'").select("l_orderkey", F.lit(True).alias("shared"))
-    done = pricing.calculate_items(rows.join(priced, "item_id")).join(blocked, "l_orderkey", "left")
+    done = pricing.calculate_items(priced).join(blocked, "l_orderkey", "left")
     reason = F.when(F.col("shared"), "shared_evidence").otherwise(F.coalesce("block_reason", "price_reason"))
     verdict = F.when(F.col("shared") | F.col("block_reason").isNotNull(), "BLOCK").when(F.col("price_reason").isNotNull(), "REVIEW").otherwise("PASS")
     out = done.withColumns({"reason": reason, "verdict": verdict}).groupBy("p_brand", "verdict", "reason")

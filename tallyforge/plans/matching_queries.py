@@ -216,23 +216,6 @@ def panel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.split_panels(anchors, "s_nationkey", "s_acctbal", "low", "high")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS sheet, s_nationkey * 100 + floor(s_acctbal / 500)::BIGINT AS room, s_suppkey % 3 AS floor, list_sort(list_distinct(list(l_partkey % 400))) AS m FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey, s_acctbal),
-b AS (SELECT a.sheet, c.sheet AS other, bool_or(a.sheet * 7 % 101 = c.sheet) AS explicit FROM s a JOIN s c ON a.sheet <> c.sheet AND (a.room = c.room OR a.sheet * 7 % 101 = c.sheet) GROUP BY ALL),
-p AS (SELECT b.*, x.floor AS f1, y.floor AS f2, 0.02::DOUBLE + CASE WHEN explicit THEN 0.72::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_intersect(x.m, y.m)) > 0 THEN 0.10::DOUBLE + 0.08::DOUBLE * len(list_intersect(x.m, y.m)) / len(list_distinct(list_concat(x.m, y.m))) ELSE 0.0::DOUBLE END + CASE WHEN x.room = y.room THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS score
-  FROM b JOIN s x ON x.sheet = b.sheet JOIN s y ON y.sheet = b.other),
-k AS (SELECT sheet, other, explicit, round(least(score, 1.0), 6) AS score, row_number() OVER (PARTITION BY sheet, explicit ORDER BY round(least(score, 1.0), 6) DESC, other) AS r, count(*) FILTER (WHERE explicit) OVER (PARTITION BY sheet) AS n FROM p WHERE explicit OR (f1 = f2 AND score >= 0.05))
-SELECT sheet, other, score, explicit, CASE WHEN explicit AND n = 1 THEN 'PASS' ELSE 'REVIEW' END AS status FROM k WHERE explicit OR r <= 5""")
-def relation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J3, W3."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sheet")).agg(F.collect_set(F.col("l_partkey") % 400).alias("materials"))
-    sheets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sheet"), F.col("s_name").alias("code"), (F.col("s_nationkey") * 100 + F.floor(F.col("s_acctbal") / 500)).alias("room"), (F.col("s_suppkey") % 3).alias("floor")).join(lines, "sheet")
-    names = sheets.select("sheet", "room", (F.col("sheet") * 7 % 101).alias("named"))
-    other = sheets.select(F.col("sheet").alias("other"), F.col("room"))
-    rooms = names.join(other, "room").where("sheet <> other").select("sheet", "other", F.lit(False).alias("explicit"))
-    named = names.join(other.drop("room"), F.col("named") == F.col("other")).where("sheet <> other").select("sheet", "other", F.lit(True).alias("explicit"))
-    return catalog.rank_relations(sheets, sheets, rooms.unionByName(named))
-
-
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS callout, l_suppkey % 30 AS page, l_partkey % 40 AS target FROM lineitem), p AS (SELECT s_suppkey AS page, s_suppkey % 35 AS code, s_suppkey * 3 % 30 AS back FROM supplier),
 t AS (SELECT code, count(*) AS targets FROM p GROUP BY code), b AS (SELECT code, back, count(*) AS backs, min(page) AS target_page FROM p GROUP BY ALL),
 j AS (SELECT callout, c.page, target, CASE WHEN targets IS NULL THEN 'missing' WHEN backs IS NULL THEN 'one_way' WHEN backs > 1 THEN 'ambiguous' ELSE 'reciprocal' END AS state, target_page FROM c LEFT JOIN t ON t.code = target LEFT JOIN b ON b.code = target AND b.back = c.page)

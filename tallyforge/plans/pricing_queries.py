@@ -65,14 +65,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH book AS (SELECT p_brand, p_type, min(p_partkey) AS k, round(max(p_retailprice), 2) AS price FROM part GROUP BY ALL),
 prices AS (SELECT CAST(k AS VARCHAR) || '-' || v AS price_id, p_brand, p_type, price, f, CASE WHEN k % 11 <> 0 THEN t END AS t
   FROM book, (VALUES ('a', DATE '1992-01-01', DATE '1995-06-30'), ('b', DATE '1995-07-01', NULL)) AS x(v, f, t) WHERE k % 7 <> 0),
-m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, count(price_id) AS candidates, min(price_id) AS price_id, min(price) AS unit_price
-  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN prices ON prices.p_brand = part.p_brand AND prices.p_type = part.p_type AND CAST(l_shipdate AS DATE) >= f AND (t IS NULL OR CAST(l_shipdate AS DATE) <= t)
-  GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, candidates, CASE WHEN candidates = 1 THEN price_id END AS price_id, CASE WHEN candidates = 1 THEN unit_price END AS unit_price,
-  CASE WHEN candidates = 0 THEN 'no_price' WHEN candidates > 1 THEN 'ambiguous' END AS reason FROM m""")
+i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, p_type, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT w.p_brand, w.p_type, day, count(*) AS candidates, min(price_id) AS price_id, min(price) AS unit_price FROM (SELECT DISTINCT p_brand, p_type, day FROM i) w JOIN prices ON prices.p_brand = w.p_brand AND prices.p_type = w.p_type AND day >= f AND (t IS NULL OR day <= t) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(candidates, 0) AS candidates, CASE WHEN candidates = 1 THEN price_id END AS price_id, CASE WHEN candidates = 1 THEN unit_price END AS unit_price,
+  CASE WHEN candidates IS NULL THEN 'no_price' WHEN candidates > 1 THEN 'ambiguous' END AS reason FROM i LEFT JOIN m USING (p_brand, p_type, day)""")
 def price_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, M13."""
-    rows = items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_type", F.col("l_shipdate").cast("date").alias("day"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("item_id")).distinct()
+    rows = items(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "p_type", F.col("l_shipdate").cast("date").alias("day"))
     out = pricing.match_prices(rows, prices(spark, sf_dir), ["p_brand", "p_type"], "day")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "candidates", "price_id", "unit_price", "reason")
 

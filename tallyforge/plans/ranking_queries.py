@@ -160,13 +160,13 @@ def path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.path_summary(parts)
 
 
-@query("""WITH a AS (SELECT n_regionkey AS scope, n_nationkey AS edge_id, n_nationkey AS target FROM nation), b AS (SELECT s_suppkey AS edge2_id, s_nationkey AS source FROM supplier WHERE s_acctbal > 9000),
+@query("""WITH a AS (SELECT o_custkey AS scope, o_orderkey AS edge_id, o_orderkey AS target FROM orders), b AS (SELECT l_partkey * 1000 + l_suppkey AS edge2_id, l_orderkey AS source FROM lineitem WHERE l_tax = 0.08 AND l_discount = 0.1),
 c AS (SELECT scope, count(*) AS chains, min((edge_id, edge2_id)) AS m FROM a JOIN b ON target = source GROUP BY scope)
 SELECT scope, coalesce(chains, 0) AS chains, CASE WHEN chains = 1 THEN m[1] END AS edge_id, CASE WHEN chains = 1 THEN m[2] END AS edge2_id, CASE WHEN chains = 1 THEN 'PASS' WHEN chains > 1 THEN 'REVIEW' ELSE 'BLOCK' END AS status FROM (SELECT DISTINCT scope FROM a) LEFT JOIN c USING (scope)""")
 def chain_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J23."""
-    first = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("scope"), F.col("n_nationkey").alias("edge_id"), F.col("n_nationkey").alias("target"))
-    second = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("edge2_id"), F.col("s_nationkey").alias("source"))
+    first = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("edge_id"), F.col("o_orderkey").alias("target"))
+    second = table(spark, sf_dir, "lineitem").where("l_tax = 0.08 and l_discount = 0.1").select(F.expr("l_partkey * 1000 + l_suppkey").alias("edge2_id"), F.col("l_orderkey").alias("source"))
     return graphs.coherent_chains(first, second, "scope")
 
 
