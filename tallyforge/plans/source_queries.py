@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.plans.checkpoints import checkpoint_root
 from tallyforge.plans.registry import query, table
-from tallyforge.sources import files, sinks, workbooks
+from tallyforge.sources import drawings, files, sinks, workbooks
 
 
 def _folder(spark: SparkSession) -> str:
@@ -100,3 +100,36 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: lines of a Markdown table."""
     parts = table(spark, sf_dir, "part").withColumn("b", F.when(F.col("p_partkey") % 3 > 0, F.concat("p_brand", F.lit("|"), "p_size")))
     return sinks.markdown_lines(parts, ["p_partkey", "p_name", "b"])
+
+
+def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing for each customer: block B (a line, a text, a circle, a dimension and a leader, base 1, 1), block N that shows B turned by 90 degrees, and an insert of N for each order."""
+    pairs = lambda *xs: F.lit("\n".join(map(str, xs)))
+    inner = [0, "LINE", 5, "L", 8, "wall", 10, 1, 20, 1, 11, 11, 21, 1, 0, "TEXT", 5, "T", 8, "note", 1, "MT-01", 10, 3, 20, 4, 0, "CIRCLE", 5, "C", 8, "wall", 10, 5, 20, 5, 40, 2, 0, "DIMENSION", 5, "D", 8, "dim", 10, 1, 20, 3, 13, 1, 23, 1, 14, 11, 24, 1, 42, 10, 0, "LEADER", 5, "P", 8, "note", 10, 2, 20, 2, 10, 6, 20, 8]
+    head = pairs(0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "B", 10, 1, 20, 1, *inner, 0, "ENDBLK", 0, "BLOCK", 2, "N", 10, 0, 20, 0, 0, "INSERT", 5, "I", 2, "B", 10, 5, 20, 5, 50, 90, 0, "ENDBLK", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES")
+    k = F.col("o_orderkey")
+    insert = F.concat_ws("\n", pairs(0, "INSERT", 5), F.concat(F.lit("X"), k), pairs(8, "view", 2, "N", 10), k % 1000, pairs(20), k % 300, pairs(41), k % 3 + 1, pairs(42), k % 3 + 1, pairs(67), k % 2)
+    files_ = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(insert)).alias("inserts"))
+    return files_.select("path", F.concat_ws("\n", head, F.array_join("inserts", "\n"), pairs(0, "ENDSEC", 0, "EOF", "")).cast("binary").alias("content"))
+
+
+_INDEX = """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, 'X' || o_orderkey AS h, CASE WHEN o_orderkey % 2 = 1 THEN 'paper' ELSE 'model' END AS space, CAST(o_orderkey % 1000 AS DOUBLE) AS u, CAST(o_orderkey % 300 AS DOUBLE) AS v, CAST(o_orderkey % 3 + 1 AS DOUBLE) AS s FROM orders),
+e(kind, handle, layer, text, level, x, y, x0, y0, x1, y1, m) AS (VALUES ('INSERT', '', 'view', 'N', 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, NULL), ('INSERT', '/I', NULL, 'B', 1, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0, NULL),
+  ('LINE', '/I/L', 'wall', NULL, 2, 5.0, 5.0, 5.0, 5.0, 5.0, 15.0, NULL), ('TEXT', '/I/T', 'note', 'MT-01', 2, 2.0, 7.0, 2.0, 7.0, 2.0, 7.0, NULL), ('CIRCLE', '/I/C', 'wall', NULL, 2, 1.0, 9.0, -1.0, 7.0, 3.0, 11.0, NULL),
+  ('DIMENSION', '/I/D', 'dim', NULL, 2, 3.0, 5.0, 3.0, 5.0, 5.0, 15.0, 10.0), ('LEADER', '/I/P', 'note', NULL, 2, 4.0, 6.0, -2.0, 6.0, 4.0, 10.0, NULL)),
+i AS (SELECT path, level, kind, h || handle AS handle, layer, space, text, CASE WHEN level = 1 THEN 'N' WHEN level = 2 THEN 'B' END AS block, u + s * x AS x, v + s * y AS y, u + s * x0 AS x0, v + s * y0 AS y0, u + s * x1 AS x1, v + s * y1 AS y1, m AS measured FROM o, e)"""
+
+
+@query(f"{_INDEX} SELECT path, CAST(level AS INT) AS level, kind, handle, layer, space, text, block, round(x, 6) AS x, round(y, 6) AS y, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, CAST(measured AS DOUBLE) AS measured, false AS truncated FROM i")
+def drawing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of text drawings, two levels of blocks moved, scaled and turned."""
+    out = drawings.drawing_entities(_drawings(spark, sf_dir))
+    return out.select("path", "level", "kind", "handle", "layer", "space", "text", "block", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "x0", "y0", "x1", "y1")], "measured", "truncated")
+
+
+@query(f"{_INDEX}, r AS (SELECT c_custkey AS region, CAST(c_custkey AS VARCHAR) AS path, 100.5::DOUBLE AS x0, 20.5::DOUBLE AS y0, 700.5::DOUBLE AS x1, 200.5::DOUBLE AS y1 FROM customer) SELECT region, count(handle) AS entities, coalesce(string_agg(DISTINCT layer, ',' ORDER BY layer), '') AS layers, false AS truncated FROM r LEFT JOIN i ON i.path = r.path AND i.x0 <= r.x1 AND r.x0 <= i.x1 AND i.y0 <= r.y1 AND r.y0 <= i.y1 GROUP BY region")
+def region_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: what regions of the drawings hold."""
+    index = drawings.drawing_entities(_drawings(spark, sf_dir))
+    regions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("region"), F.col("c_custkey").cast("string").alias("path"), F.lit(100.5).alias("x0"), F.lit(20.5).alias("y0"), F.lit(700.5).alias("x1"), F.lit(200.5).alias("y1"))
+    return drawings.probe_regions(index, regions, 250.0)

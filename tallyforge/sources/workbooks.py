@@ -1,4 +1,4 @@
-"""Workbooks, documents and drawings as rows. Containers are opened inside tasks, one file each."""
+"""Workbooks and documents as rows. Containers are opened inside tasks, one file each."""
 
 from __future__ import annotations
 
@@ -126,76 +126,6 @@ def row_associations(texts: DataFrame, scope: list[str], code_pattern: str) -> D
     return best.select(*scope, F.col("b.seed").alias("seed"), F.col("b.code").alias("code"), "id", "text", F.row_number().over(order).alias("position"))
 
 
-def _groups(text: str) -> Iterator[tuple[int, str]]:
-    lines = text.splitlines()
-    for i in range(0, len(lines) - 1, 2):
-        code = lines[i].strip()
-        if code.lstrip("-").isdigit():
-            yield int(code), lines[i + 1].strip()
-
-
-def drawing_entities(files: DataFrame, most: int = 100_000) -> DataFrame:
-    """Entities of ASCII drawing exchange files (path, content): type, handle, layer, text and place, with block inserts expanded one level.
-
-    A file with more than ``most`` entities is marked truncated in every row, so that nobody takes the part for the whole.
-    """
-    schema = "path string, number int, entity_type string, handle string, layer string, space string, text string, block string, x double, y double, truncated boolean"
-
-    def entities(content: bytes) -> Iterator[dict]:
-        section, block, current, defined = "", None, None, {}
-        named = False
-        for code, value in _groups(content.decode("utf-8", "replace")):
-            if code == 0:
-                if current is not None:
-                    yield current
-                current = None
-                named = value == "SECTION"
-                if value == "BLOCK":
-                    block = ""
-                elif value == "ENDBLK":
-                    block = None
-                elif value not in ("SECTION", "ENDSEC", "EOF", "SEQEND", "TABLE", "ENDTAB") and section in ("ENTITIES", "BLOCKS"):
-                    current = {"entity_type": value, "block": block, "handle": None, "layer": None, "space": "model", "text": None, "x": None, "y": None}
-            elif named and code == 2:
-                section, named = value, False
-            elif current is None:
-                if block == "" and code == 2:
-                    block = value
-                    defined[value] = True
-            elif code == 5:
-                current["handle"] = value
-            elif code == 8:
-                current["layer"] = value
-            elif code == 67 and value == "1":
-                current["space"] = "paper"
-            elif code in (1, 3):
-                current["text"] = (current["text"] or "") + value
-            elif code == 2 and current["entity_type"] == "INSERT":
-                current["text"] = value
-            elif code in (10, 20) and current["x" if code == 10 else "y"] is None:
-                current["x" if code == 10 else "y"] = float(value)
-        if current is not None:
-            yield current
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                found = list(entities(content))
-                inside: dict[str, list[dict]] = {}
-                for e in found:
-                    if e["block"]:
-                        inside.setdefault(e["block"], []).append(e)
-                out = [e for e in found if e["block"] is None]
-                for e in [e for e in out if e["entity_type"] == "INSERT"]:
-                    for part in inside.get(e["text"], []):
-                        out.append(part | {"block": e["text"], "handle": f"{e['handle']}/{part['handle']}", "space": e["space"], "x": (part["x"] or 0) + (e["x"] or 0), "y": (part["y"] or 0) + (e["y"] or 0)})
-                rows = [{"path": path, "number": i, **e, "truncated": len(out) > most} for i, e in enumerate(out[:most])]
-                if rows:
-                    yield pd.DataFrame(rows)[[c.split()[0] for c in schema.split(", ")]]
-
-    return files.select("path", "content").mapInPandas(read, schema)
-
-
 def text_repairs(texts: DataFrame, file: str, text: str, reading: str) -> DataFrame:
     """Texts with ``repaired``: in files with at least 3 non-ASCII texts, of which max(3, 70 %) have a UTF-8 reading, that reading; elsewhere the text.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyforge.functions import boxes, numeric, text
 from tallyforge.operators import assembly, catalog, geometry, graphs, matching, pricing, ranking, rules, sequential, spatial
-from tallyforge.sources import files, sinks, workbooks
+from tallyforge.sources import drawings, files, sinks, workbooks
 
 
 def values(spark, column, rows, ddl):
@@ -272,8 +272,9 @@ def test_document_and_drawing_readers(spark, tmp_path):
     assert [(r["kind"], r["text"]) for r in workbooks.document_blocks(source).collect()] == [("paragraph", "hello"), ("row", "MT-01\tsteel")]
     dxf = ["0", "SECTION", "2", "BLOCKS", "0", "BLOCK", "2", "B1", "0", "TEXT", "5", "9", "1", "in block", "10", "1", "20", "2", "0", "ENDBLK", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", "0", "TEXT", "5", "A", "8", "L", "1", "MT-01", "10", "3", "20", "4", "67", "1", "0", "INSERT", "5", "C", "2", "B1", "10", "100", "20", "200", "0", "ENDSEC", "0", "EOF"]
     (tmp_path / "x.dxf").write_text("\n".join(dxf))
-    out = workbooks.drawing_entities(spark.read.format("binaryFile").load(str(tmp_path / "x.dxf"))).collect()
-    assert [(r["entity_type"], r["handle"], r["text"], r["x"], r["y"], r["space"]) for r in out] == [("TEXT", "A", "MT-01", 3.0, 4.0, "paper"), ("INSERT", "C", "B1", 100.0, 200.0, "model"), ("TEXT", "C/9", "in block", 101.0, 202.0, "model")]
+    out = drawings.drawing_entities(spark.read.format("binaryFile").load(str(tmp_path / "x.dxf"))).collect()
+    out.sort(key=lambda r: (r["level"], r["handle"]))
+    assert [(r["kind"], r["handle"], r["text"], r["x"], r["y"], r["space"]) for r in out] == [("TEXT", "A", "MT-01", 3.0, 4.0, "paper"), ("INSERT", "C", "B1", 100.0, 200.0, "model"), ("TEXT", "C/9", "in block", 101.0, 202.0, "model")]
 
 
 def test_inventory_and_archives(spark, tmp_path):
