@@ -26,14 +26,26 @@ def domain_of(source: str = "source") -> F.Column:
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited ones.
+
+    A null text is an empty one, null ids come first, ties go by text, repeated rows are rows like others; an empty table gives no rows.
+    """
     return fingerprints.edited_halves(table(spark, sf_dir, "documents"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all texts and the notices in their lines, names joined by commas.
+
+    Null and empty texts have neither; rows of one id are scanned each for itself; an empty table gives no rows.
+    """
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a model of the rows that aren't held out.
+
+    Null and empty texts get the score of no hits, equal texts equal scores, a null id isn't held out; without labels all scores are 0; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, model)
@@ -41,11 +53,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of all texts and of their decoded bytes.
+
+    Null and empty texts have no tokens; rows of one id are encoded each for itself; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.bpe_round_trip(docs, RANKS, PATTERN).drop("text"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in 40 shards of equal numbers, to one.
+
+    Null texts have 16 bytes and the checksum of the empty text; equal rows get slots of their own; an empty table gives no rows.
+    """
     placed = shards.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40, seed=5)
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
@@ -53,26 +73,46 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdicts of all texts.
+
+    Null and empty texts have no words and fail; rows of one id are judged each for itself; without labels the rules alone decide; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
     return quality.quality_verdicts(docs, model).drop("text")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all texts.
+
+    Texts without words, null ones too, share the fingerprint 0; repeated rows share a component; a null id is no component's id unless it has no other; an empty table gives no rows.
+    """
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document once for every epoch that takes it.
+
+    A null language or source is the node "unknown"; texts without words cost nothing; rows of one id in a leaf are taken together; an empty table gives no rows.
+    """
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, domain_of(), **MIX)
     return mixed.select("doc_id", F.coalesce(domain_of(), F.lit("unknown")).alias("domain"), "lang", "source", "n_tokens", "epoch")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that an earlier one has.
+
+    A null text stays null; rows of a null id come last; equal rows of one id are one document and all stay; an empty table gives no rows.
+    """
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all texts.
+
+    Null and empty texts have none; equal texts have equal spans; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.span_columns(secrets.scan_secrets(docs, RANKS, PATTERN)).drop("text")
 
