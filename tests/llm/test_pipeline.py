@@ -137,13 +137,13 @@ def test_quality_of_odd_rows(odd):
 
 
 def test_toxicity_of_odd_rows(odd):
-    model = toxicity.Toxicity([("w5", False)], toxicity.np.array([1.0, 1.0, 0, 0, 0, 0, -2.0]))
+    model = toxicity.Toxicity([("more", False)], toxicity.np.array([1.0, 1.0, 0, 0, 0, 0, -2.0]))
     out = toxicity.score_toxicity(odd, model, out="shard")
     assert out.columns == odd.columns
     scores = {(r["doc_id"], r["text"]): r["shard"] for r in out.collect()}
     empty = 1 / (1 + toxicity.math.exp(2))
     assert all(abs(scores[i, t] - empty) < 1e-12 for i, t in ((2, None), (None, None), (3, ""), (4, " \n\t")))
-    assert all(s > empty for (_, t), s in scores.items() if t and "w5" in t)
+    assert all(s > empty for (_, t), s in scores.items() if t and "more" in t)
 
 
 def test_shards_of_odd_rows(odd):
