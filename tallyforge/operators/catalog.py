@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stages of drawing kinds (P1). Fixed values.
 STAGES = {"plan": "plan", "elevation_index": "plan", "elevation": "elevation", "detail": "detail", "door": "detail", "ceiling": "detail", "floor": "detail"}
@@ -77,7 +78,7 @@ def split_panels(anchors: DataFrame, panel: str, position: str, low: str, high:
     return anchors.select(panel, position, F.coalesce((before + here) / 2, F.col(low)).alias("part_low"), F.coalesce((here + after) / 2, F.col(high)).alias("part_high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching share of two texts (twice the matched characters over all); each distinct pair is compared once a batch."""
     known = {p: SequenceMatcher(None, *p).ratio() for p in set(zip(a, b)) if None not in p}
