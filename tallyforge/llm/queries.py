@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, fingerprints, licenses, line_dedup, mixing, quality, secrets, shards, simhash, toxicity
+from tallyforge.llm import bpe, divergence, fingerprints, licenses, line_dedup, mixing, pieces, quality, resampling, secrets, shards, simhash, toxicity
 from tallyforge.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Domains of the mixture: the number of a source, divided by the number of domains, picks one.
 DOMAINS = ["web", "books", "news", "code"]
@@ -117,7 +118,35 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_columns(secrets.scan_secrets(docs, RANKS, PATTERN)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_license_scan, op3_toxicity, op4_byte_bpe, op5_sharding, op6_quality_rules, op7_simhash, op8_source_mixing, op9_line_dedup, op10_secret_scan)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of each language, and the terms that each source has more of.
+
+    Null texts, languages and sources are empty; texts may have any length; ties go by the item's bytes; repeated rows count again; other columns, of any
+    name, are left out; an empty table gives no rows.
+    """
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's texts, and the ranks of those drawn.
+
+    Null and empty texts have no features and weigh nothing; a null id is an empty one in the noise; texts of any length are scanned whole; ties go to the
+    smaller id; repeated rows are drawn each for itself; other columns, of any name, are left out; an empty table gives no rows.
+    """
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of all texts and of their decoded texts.
+
+    Null and empty texts have the begin and end ids alone; texts of any length are encoded whole; rows of one id are encoded each for itself; other
+    columns, of any name, are left out; an empty table gives no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.piece_round_trip(docs, PIECES).drop("text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_license_scan, op3_toxicity, op4_byte_bpe, op5_sharding, op6_quality_rules, op7_simhash, op8_source_mixing, op9_line_dedup, op10_secret_scan, op11_source_divergence, op12_importance_resampling, op13_sentencepiece)}
 
 
 def _weight_sql(level: int) -> str:
@@ -154,4 +183,23 @@ copies AS (SELECT *, CAST(epochs + CASE WHEN upto <= rest AND rest > 0 THEN 1 EL
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(copies)) AS INT) AS epoch FROM copies
 """
 
-ORACLE_SQL = {"op8_source_mixing": MIX_SQL}
+DIVERGENCE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.TERM}')) AS term FROM docs),
+terms AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN terms USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n FROM groups g JOIN terms t USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+sums AS (SELECT lang, source, sum(n) AS total, count(*) AS v FROM grid GROUP BY ALL),
+own AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * v) AS p FROM grid JOIN sums USING (lang, source)),
+whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (any_value(total) + 5 * any_value(v)) AS q
+    FROM grid JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM sums GROUP BY lang) USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ranked AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+    UNION ALL SELECT o.lang, o.source, 'term', o.term, p - q FROM own o JOIN whole w ON o.lang = w.lang AND o.term = w.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM ranked
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL = {"op8_source_mixing": MIX_SQL, "op11_source_divergence": DIVERGENCE_SQL}
