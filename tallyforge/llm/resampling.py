@@ -160,7 +160,7 @@ def resampled(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text:
     gain = gains(bucket_counts(docs, text, n, buckets), bucket_counts(target, text, n, buckets), buckets)
     weighed = with_weights(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), gain, "text", n)
     fits = F.col("n_words") >= least_words
-    scored = weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise("doc_id", seed)).alias("score"), fits.alias("__fits"))
+    scored = cut(weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise("doc_id", seed)).alias("score"), fits.alias("__fits")))  # the sort reads it twice
     placed = ranked(scored, [F.desc("__fits"), F.desc("score"), F.asc_nulls_first("doc_id")])
     able = placed.where("__fits").count()
     drawn = F.col("__fits") & (F.col("rank") <= percent * able // 100)
