@@ -78,15 +78,12 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id AS source_file_id, event_id, CASE WHEN user_id % 3 = 0 THEN 'second' ELSE event_type END AS state FROM events WHERE user_id % 3 > 0 OR event_id % 2 = 0""")
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: an index in which a third of the sources is replaced by a second run, the others stay."""
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("part"), F.col("user_id").alias("source_file_id"), "event_id", F.col("event_type").alias("state"))
-    path = _folder(spark)
-    # sources are dealt to 150 partitions by their number, whole sources to each
-    keyed = events.withColumn("part", F.col("part") * 3 + F.col("source_file_id") % 3)
-    sinks.upsert_by_source(keyed.repartition("part"), path, "part")
-    second = keyed.where("source_file_id % 3 = 0 and event_id % 2 = 0").withColumn("state", F.lit("second"))
-    sinks.upsert_by_source(second.repartition("part"), path, "part")
-    return spark.read.parquet(path).where("source_file_id % 3 > 0 or state = 'second'").select("source_file_id", "event_id", "state")
+    """K2: an index in which a third of the sources is replaced by a second run, the others stay, though they share files with them."""
+    index = sinks.SourceIndex(spark, _folder(spark), "source_file_id")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_file_id"), "event_id", F.col("event_type").alias("state"))
+    index.upsert(events)
+    index.upsert(events.where("source_file_id % 3 = 0 and event_id % 2 = 0").withColumn("state", F.lit("second")))
+    return index.read()
 
 
 @query("""SELECT o_custkey, '{"o_custkey":' || o_custkey || ',"candidates":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}' AS document FROM orders GROUP BY o_custkey""")
@@ -105,7 +102,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawing for each customer: block B (a line, a text, a circle, a dimension and a leader, base 1, 1), block N that shows B turned by 90 degrees, and an insert of N for each order."""
     pairs = lambda *xs: F.lit("\n".join(map(str, xs)))
-    inner = [0, "LINE", 5, "L", 8, "wall", 10, 1, 20, 1, 11, 11, 21, 1, 0, "TEXT", 5, "T", 8, "note", 1, "MT-01", 10, 3, 20, 4, 0, "CIRCLE", 5, "C", 8, "wall", 10, 5, 20, 5, 40, 2, 0, "DIMENSION", 5, "D", 8, "dim", 10, 1, 20, 3, 13, 1, 23, 1, 14, 11, 24, 1, 42, 10, 0, "LEADER", 5, "P", 8, "note", 10, 2, 20, 2, 10, 6, 20, 8]
+    inner = [0, "LINE", 5, "L", 8, "wall", 10, 1, 20, 1, 11, 11, 21, 1, 0, "TEXT", 5, "T", 8, "note", 1, "MT-01\u2028\x85 \x0cx", 10, 3, 20, 4, 0, "CIRCLE", 5, "C", 8, "wall", 10, 5, 20, 5, 40, 2, 0, "DIMENSION", 5, "D", 8, "dim", 10, 1, 20, 3, 13, 1, 23, 1, 14, 11, 24, 1, 42, 10, 0, "LEADER", 5, "P", 8, "note", 10, 2, 20, 2, 10, 6, 20, 8]
     head = pairs(0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "B", 10, 1, 20, 1, *inner, 0, "ENDBLK", 0, "BLOCK", 2, "N", 10, 0, 20, 0, 0, "INSERT", 5, "I", 2, "B", 10, 5, 20, 5, 50, 90, 0, "ENDBLK", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES")
     k = F.col("o_orderkey")
     insert = F.concat_ws("\n", pairs(0, "INSERT", 5), F.concat(F.lit("X"), k), pairs(8, "view", 2, "N", 10), k % 1000, pairs(20), k % 300, pairs(41), k % 3 + 1, pairs(42), k % 3 + 1, pairs(67), k % 2)
@@ -115,7 +112,7 @@ def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _INDEX = """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, 'X' || o_orderkey AS h, CASE WHEN o_orderkey % 2 = 1 THEN 'paper' ELSE 'model' END AS space, CAST(o_orderkey % 1000 AS DOUBLE) AS u, CAST(o_orderkey % 300 AS DOUBLE) AS v, CAST(o_orderkey % 3 + 1 AS DOUBLE) AS s FROM orders),
 e(kind, handle, layer, text, level, x, y, x0, y0, x1, y1, m) AS (VALUES ('INSERT', '', 'view', 'N', 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, NULL), ('INSERT', '/I', NULL, 'B', 1, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0, NULL),
-  ('LINE', '/I/L', 'wall', NULL, 2, 5.0, 5.0, 5.0, 5.0, 5.0, 15.0, NULL), ('TEXT', '/I/T', 'note', 'MT-01', 2, 2.0, 7.0, 2.0, 7.0, 2.0, 7.0, NULL), ('CIRCLE', '/I/C', 'wall', NULL, 2, 1.0, 9.0, -1.0, 7.0, 3.0, 11.0, NULL),
+  ('LINE', '/I/L', 'wall', NULL, 2, 5.0, 5.0, 5.0, 5.0, 5.0, 15.0, NULL), ('TEXT', '/I/T', 'note', 'MT-01' || chr(8232) || chr(133) || ' ' || chr(12) || 'x', 2, 2.0, 7.0, 2.0, 7.0, 2.0, 7.0, NULL), ('CIRCLE', '/I/C', 'wall', NULL, 2, 1.0, 9.0, -1.0, 7.0, 3.0, 11.0, NULL),
   ('DIMENSION', '/I/D', 'dim', NULL, 2, 3.0, 5.0, 3.0, 5.0, 5.0, 15.0, 10.0), ('LEADER', '/I/P', 'note', NULL, 2, 4.0, 6.0, -2.0, 6.0, 4.0, 10.0, NULL)),
 i AS (SELECT path, level, kind, h || handle AS handle, layer, space, text, CASE WHEN level = 1 THEN 'N' WHEN level = 2 THEN 'B' END AS block, u + s * x AS x, v + s * y AS y, u + s * x0 AS x0, v + s * y0 AS y0, u + s * x1 AS x1, v + s * y1 AS y1, m AS measured FROM o, e)"""
 

@@ -1,12 +1,16 @@
 """Text drawing exchange files as an index of entities.
 
-A thin reader turns group codes into flat records, file by file in bounded batches. Blocks are expanded by joins, one level of nesting a join:
-an insert's transformation is composed with that of the insert around it and applied to the points of the block's entities. Boxes, dimensions and leaders are
+A thin reader turns group codes into flat records, file by file in bounded batches: lines end at line feeds alone, texts are decoded by the code page that the file declares,
+and places that stand in a plane of their own (extrusion) are turned into the drawing's. Blocks are expanded by joins, one level of nesting a join: an insert's transformation in
+space, one for each place of its array, is composed with that of the insert around it and applied to the points of the block's entities. Boxes, dimensions and leaders are
 projections of those points.
 """
 
 from __future__ import annotations
 
+import codecs
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,26 +20,80 @@ from pyspark.sql import functions as F
 from tallyforge.plans.checkpoints import cut
 
 #: Levels of nested inserts that are expanded.
-DEPTH = 4
+DEPTH = 12
 #: Records of a file in a batch.
 BATCH = 10_000
 
-_POINTS = "array<struct<x:double,y:double>>"
+_POINTS = "array<struct<x:double,y:double,z:double>>"
 RECORD = (
     f"path string, number long, kind string, block string, handle string, layer string, space string, text string, style_points {_POINTS}, points {_POINTS}, "
-    "radius double, start_angle double, end_angle double, measured double, sx double, sy double, rotation double"
+    "radius double, start_angle double, end_angle double, measured double, sx double, sy double, sz double, rotation double, axes array<double>, "
+    "columns int, rows int, column_step double, row_step double"
 )
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 #: Group codes of single numbers by record kind: radius, angles, measurement, scales and rotation. Fixed values.
-_SINGLE = {40: "radius", 41: "sx", 42: "sy", 50: "rotation", 51: "end_angle"}
+_SINGLE = {40: "radius", 41: "sx", 42: "sy", 43: "sz", 50: "rotation", 51: "end_angle"}
+#: Group codes of an insert's array. Fixed values.
+_ARRAY = {70: "columns", 71: "rows", 44: "column_step", 45: "row_step"}
+#: Kinds whose places stand in the plane of their extrusion, and the codes of places that do in a dimension. Fixed values.
+_PLANAR = {"INSERT", "TEXT", "ATTRIB", "ATTDEF", "CIRCLE", "ARC", "LWPOLYLINE", "SOLID", "TRACE", "SHAPE"}
+#: From this version on, files are UTF-8, whatever page they declare. Fixed value.
+_UNICODE = "AC1021"
+#: Declared pages whose codec isn't cp and their number. Fixed values.
+_PAGES = {"ANSI_1361": "johab", "DOS932": "cp932", "UTF8": "utf-8", "UTF-8": "utf-8"}
+#: The first bytes of a file in which its header is sought.
+HEADER = 1 << 20
+
+
+def encoding(content: bytes) -> str:
+    """The codec of a file's texts: UTF-8 from AC1021 on and where neither version nor page is declared, else the declared page, or Windows' western one."""
+    head = content[:HEADER]
+    version = re.search(rb"\$ACADVER\s*\n\s*1\s*\n\s*(AC[0-9]+)", head)
+    page = re.search(rb"\$DWGCODEPAGE\s*\n\s*3\s*\n\s*([A-Za-z0-9_-]+)", head)
+    if version is None and page is None or version is not None and version[1].decode() >= _UNICODE:
+        return "utf-8"
+    name = page[1].decode().upper() if page else ""
+    number = re.search("[0-9]+", name)
+    try:
+        return codecs.lookup(_PAGES.get(name) or f"cp{number[0]}" if number or name in _PAGES else "cp1252").name
+    except LookupError:
+        return "cp1252"
+
+
+def _lines(content: bytes) -> Iterator[bytes]:
+    """The lines of a file, ended by line feeds, or by carriage returns where there are no others; all other characters belong to texts."""
+    mark = b"\n" if b"\n" in content else b"\r"
+    start = 3 if content.startswith(b"\xef\xbb\xbf") else 0
+    while start < len(content):
+        end = content.find(mark, start)
+        end = len(content) if end < 0 else end
+        yield content[start:end].strip(b" \t\r")
+        start = end + 1
 
 
 def _pairs(content: bytes) -> Iterator[tuple[int, str]]:
-    lines = iter(content.decode("utf-8", "replace").splitlines())
+    codec, lines = encoding(content), _lines(content)
     for code in lines:
-        value = next(lines, "")
-        if code.strip().lstrip("-").isdigit():
-            yield int(code), value.strip()
+        value = next(lines, b"").decode(codec, "replace")
+        if code.lstrip(b"-").isdigit():
+            if "\\U+" in value:
+                value = re.sub(r"\\U\+([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), value)
+            yield int(code), value
+
+
+def _axes(normal: tuple[float, float, float]) -> list[float] | None:
+    """The plane of an extrusion: its x, y and z axis as columns of a matrix, row by row; None for the drawing's own plane and for a normal without length."""
+    x, y, z = normal
+    size = math.sqrt(x * x + y * y + z * z)
+    if not size or not math.isfinite(size) or (x, y) == (0, 0) and z > 0:
+        return None
+    n = (x / size, y / size, z / size)
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    along = cross((0.0, 1.0, 0.0) if max(abs(n[0]), abs(n[1])) < 1 / 64 else (0.0, 0.0, 1.0), n)
+    size = math.sqrt(sum(c * c for c in along))
+    one = tuple(c / size for c in along)
+    two = cross(n, one)
+    return [v for row in zip(one, two, n) for v in row]
 
 
 def _number(value: str) -> float | None:
@@ -76,9 +134,15 @@ def _records(content: bytes) -> Iterator[dict]:
             current["space"] = "paper" if value == "1" else "model"
         elif code in (1, 3):
             current["text"] = (current["text"] or "") + value
-        elif code in (10, 20, 11, 21, 13, 23, 14, 24):
-            axis, which = ("x", code) if code < 20 else ("y", code - 10)
-            current["points"].setdefault(which, ([], []))[axis == "y"].append(_number(value))
+        elif code in (10, 20, 30, 11, 21, 31, 13, 23, 33, 14, 24, 34):
+            current["points"].setdefault(10 + code % 10, ([], [], []))[code // 10 - 1].append(_number(value))
+        elif code in (210, 220, 230):
+            current.setdefault("normal", [0.0, 0.0, 1.0])[code // 10 - 21] = _number(value) or 0.0
+        elif code == 38:
+            current["elevation"] = _number(value)
+        elif code in _ARRAY and current["kind"] == "INSERT":
+            number = _number(value)
+            current[_ARRAY[code]] = number if code in (44, 45) else int(number) if number is not None and math.isfinite(number) else None
         elif code == 42 and current["kind"] == "DIMENSION":
             current["measured"] = _number(value)
         elif code == 50 and current["kind"] == "ARC":
@@ -90,8 +154,22 @@ def _records(content: bytes) -> Iterator[dict]:
 
 
 def _row(path: str, number: int, r: dict) -> dict:
-    at = lambda codes: [{"x": x, "y": y} for c in codes for x, y in zip(*r["points"].get(c, ((), ()))) if x is not None and y is not None]
-    return {n: r.get(n) for n in _NAMES} | {"path": path, "number": number, "points": at((10, 11)), "style_points": at((13, 14))}
+    axes = _axes(tuple(r["normal"])) if "normal" in r else None
+    level = r.get("elevation") or 0.0
+
+    def at(codes: tuple[int, ...]) -> list[dict]:
+        out = []
+        for c in codes:
+            xs, ys, zs = r["points"].get(c, ((), (), ()))
+            zs = [z or 0.0 for z in zs] if len(zs) == len(xs) else [level] * len(xs)
+            for p in zip(xs, ys, zs):
+                if p[0] is not None and p[1] is not None:
+                    if axes and (r["kind"] in _PLANAR or r["kind"] == "DIMENSION" and c == 11):
+                        p = [sum(axes[3 * i + k] * p[k] for k in range(3)) for i in range(3)]
+                    out.append(dict(zip("xyz", p)))
+        return out
+
+    return {n: r.get(n) for n in _NAMES} | {"path": path, "number": number, "points": at((10, 11)), "style_points": at((13, 14)), "axes": axes if r["kind"] == "INSERT" else None}
 
 
 def drawing_records(files: DataFrame) -> DataFrame:
@@ -113,31 +191,51 @@ def drawing_records(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=_NAMES)
 
-    return files.select("path", "content").mapInPandas(read, RECORD)
+    return files.where("content is not null").select("path", "content").mapInPandas(read, RECORD)
+
 
+#: A transformation in space, row by row, and its shift: x' = m0 x + m1 y + m2 z + t0 and so on.
+_M, _T = [f"m{k}" for k in range(9)], [f"t{k}" for k in range(3)]
 
-def _matrix(base: Column) -> dict[str, Column]:
-    """An insert's transformation: x' = a x + b y + u, y' = c x + d y + v, the block's base point going to the insert's."""
-    angle = F.radians(F.coalesce("rotation", F.lit(0.0)))
-    sx, sy = F.coalesce("sx", F.lit(1.0)), F.coalesce("sy", F.lit(1.0))
-    a, b, c, d = sx * F.cos(angle), -sy * F.sin(angle), sx * F.sin(angle), sy * F.cos(angle)
-    at = F.get("points", 0)
-    bx, by = F.coalesce(base["x"], F.lit(0.0)), F.coalesce(base["y"], F.lit(0.0))
-    return {"a": a, "b": b, "c": c, "d": d, "u": F.coalesce(at["x"], F.lit(0.0)) - a * bx - b * by, "v": F.coalesce(at["y"], F.lit(0.0)) - c * bx - d * by}
+
+def _times(left: list[Column], right: list[Column]) -> list[Column]:
+    return [left[3 * i] * right[k] + left[3 * i + 1] * right[3 + k] + left[3 * i + 2] * right[6 + k] for i in range(3) for k in range(3)]
+
+
+def _applied(m: list[Column], p: list[Column]) -> list[Column]:
+    return [m[3 * i] * p[0] + m[3 * i + 1] * p[1] + m[3 * i + 2] * p[2] for i in range(3)]
+
+
+def _insert_matrix(base: Column) -> dict[str, Column]:
+    """An insert's transformation: the block's base point goes to the insert's, or to the place of its array (``column``, ``row``)."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    angle = F.radians(F.coalesce("rotation", zero))
+    cos, sin = F.cos(angle), F.sin(angle)
+    scale = [F.coalesce(c, one) for c in ("sx", "sy", "sz")]
+    plane = [F.coalesce(F.get("axes", k), one if k in (0, 4, 8) else zero) for k in range(9)]
+    turned = _times(plane, [cos, -sin, zero, sin, cos, zero, zero, zero, one])
+    m = [turned[k] * scale[k % 3] for k in range(9)]
+    shift = _applied(turned, [F.col("column") * F.coalesce("column_step", zero), F.col("row") * F.coalesce("row_step", zero), zero])
+    at, origin = F.get("points", 0), [F.coalesce(base[c], zero) for c in "xyz"]
+    return {f"_m{k}": v for k, v in enumerate(m)} | {f"_t{k}": F.coalesce(at[c], zero) + s - b for k, (c, s, b) in enumerate(zip("xyz", shift, _applied(m, origin)))}
 
 
 def _moved(points: str) -> Column:
-    return F.transform(points, lambda p: F.struct((F.col("a") * p["x"] + F.col("b") * p["y"] + F.col("u")).alias("x"), (F.col("c") * p["x"] + F.col("d") * p["y"] + F.col("v")).alias("y")))
+    def move(p: Column) -> Column:
+        to = _applied([F.col(c) for c in _M], [p["x"], p["y"], F.coalesce(p["z"], F.lit(0.0))])
+        return F.struct(*[(v + F.col(t)).alias(c) for c, v, t in zip("xyz", to, _T)])
+
+    return F.transform(points, move)
 
 
 def expanded(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The entities of layouts, and those of the blocks that their inserts show, in drawing coordinates, with ``level`` and the chain of handles as ``handle``.
+    """The entities of layouts, and those of the blocks that their inserts show, in drawing coordinates, with ``level`` and the chain of handles as ``handle``; a place of an insert's array is named [column,row].
 
     ``truncated`` marks the entities of a file in which inserts below ``depth`` levels weren't expanded, so that nobody takes a part for the whole. An insert of a
     block that the file lacks shows nothing.
     """
     records = cut(records)
-    own = records.where("block is null and kind <> 'BLOCK'").withColumns({"level": F.lit(0), **{n: F.lit(x) for n, x in zip("abcduv", (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))}})
+    own = records.where("block is null and kind <> 'BLOCK'").withColumns({"level": F.lit(0), **{n: F.lit(float(n in ("m0", "m4", "m8"))) for n in _M + _T}})
     bases = records.where("kind = 'BLOCK'").groupBy("path", F.col("block").alias("text")).agg(F.min_by(F.get("points", 0), "number").alias("base"))
     inner = records.where("block is not null and kind <> 'BLOCK'")
     inserts = inner.where("kind = 'INSERT'")
@@ -146,12 +244,15 @@ def expanded(records: DataFrame, depth: int = DEPTH) -> DataFrame:
     for level in range(1, depth + 2):
         # transformation of each insert, after that of the insert around it
         placed = todo.join(bases, ["path", "text"])
-        own_ = placed.withColumns({f"_{n}": c for n, c in _matrix(F.col("base")).items()})
+        many = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) - 1))
+        placed = placed.withColumn("column", many("columns")).withColumn("row", many("rows"))
+        own_ = placed.withColumns(_insert_matrix(F.col("base")))
+        outer, inner_ = [F.col(c) for c in _M], [F.col(f"_{c}") for c in _M]
+        shift = _applied(outer, [F.col(f"_{c}") for c in _T])
+        place = F.when((F.coalesce("columns", F.lit(1)) > 1) | (F.coalesce("rows", F.lit(1)) > 1), F.concat(F.col("handle"), F.lit("["), "column", F.lit(","), "row", F.lit("]"))).otherwise(F.col("handle"))
         whole = own_.select(
-            "path", F.col("text").alias("block"), F.col("handle").alias("chain"), F.col("space").alias("outer"),
-            (F.col("a") * F.col("_a") + F.col("b") * F.col("_c")).alias("a"), (F.col("a") * F.col("_b") + F.col("b") * F.col("_d")).alias("b"),
-            (F.col("c") * F.col("_a") + F.col("d") * F.col("_c")).alias("c"), (F.col("c") * F.col("_b") + F.col("d") * F.col("_d")).alias("d"),
-            (F.col("a") * F.col("_u") + F.col("b") * F.col("_v") + F.col("u")).alias("u"), (F.col("c") * F.col("_u") + F.col("d") * F.col("_v") + F.col("v")).alias("v"),
+            "path", F.col("text").alias("block"), place.alias("chain"), F.col("space").alias("outer"),
+            *[v.alias(c) for c, v in zip(_M, _times(outer, inner_))], *[(v + F.col(c)).alias(c) for c, v in zip(_T, shift)],
         )
         if level > depth:
             cutoff = whole.select("path").distinct()
@@ -161,8 +262,8 @@ def expanded(records: DataFrame, depth: int = DEPTH) -> DataFrame:
         todo = cut(shown.where("kind = 'INSERT'"))
         if level == 1 and inserts.isEmpty() or todo.isEmpty():
             break
-    moved = out.withColumns({"points": _moved("points"), "style_points": _moved("style_points"), "radius": F.col("radius") * F.greatest(F.sqrt(F.col("a") ** 2 + F.col("c") ** 2), F.sqrt(F.col("b") ** 2 + F.col("d") ** 2))})
-    moved = moved.drop("a", "b", "c", "d", "u", "v")
+    moved = out.withColumns({"points": _moved("points"), "style_points": _moved("style_points"), "radius": F.col("radius") * F.greatest(F.sqrt(F.col("m0") ** 2 + F.col("m3") ** 2), F.sqrt(F.col("m1") ** 2 + F.col("m4") ** 2))})
+    moved = moved.drop(*_M, *_T)
     if cutoff is None:
         return moved.withColumn("truncated", F.lit(False))
     return moved.join(cutoff.withColumn("truncated", F.lit(True)), "path", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
@@ -173,6 +274,7 @@ def entity_index(entities: DataFrame) -> DataFrame:
 
     A circle's box, and an arc's, is that of its whole circle; an entity without points has none.
     """
+    flat = lambda p: F.when(p.isNotNull(), F.struct(p["x"].alias("x"), p["y"].alias("y")))
     pts = F.concat("points", "style_points")
     r = F.when(F.col("kind").isin("CIRCLE", "ARC"), F.coalesce("radius", F.lit(0.0))).otherwise(0.0)
     side = lambda f, c, s: f(F.transform(pts, lambda p: p[c])) + s * r
@@ -180,8 +282,8 @@ def entity_index(entities: DataFrame) -> DataFrame:
     return entities.select(
         "path", "level", "kind", "handle", "layer", "space", "text", "block", F.get("points", 0)["x"].alias("x"), F.get("points", 0)["y"].alias("y"),
         side(F.array_min, "x", -1).alias("x0"), side(F.array_min, "y", -1).alias("y0"), side(F.array_max, "x", 1).alias("x1"), side(F.array_max, "y", 1).alias("y1"),
-        F.when(dimension, F.get("style_points", 0)).alias("from"), F.when(dimension, F.get("style_points", 1)).alias("to"), F.when(dimension, F.col("measured")).alias("measured"),
-        F.when(leader, F.get("points", 0)).alias("target"), F.when(leader, F.get("points", F.size("points") - 1)).alias("landing"), "truncated",
+        F.when(dimension, flat(F.get("style_points", 0))).alias("from"), F.when(dimension, flat(F.get("style_points", 1))).alias("to"), F.when(dimension, F.col("measured")).alias("measured"),
+        F.when(leader, flat(F.get("points", 0))).alias("target"), F.when(leader, flat(F.get("points", F.size("points") - 1))).alias("landing"), "truncated",
     )
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import excel_safe
@@ -13,9 +17,74 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def upsert_by_source(df: DataFrame, path: str, source: str = "source_file_id") -> None:
-    """K2: replaces the partitions of the sources that ``df`` has, and leaves the others."""
-    df.write.mode("overwrite").partitionBy(source).option("partitionOverwriteMode", "dynamic").parquet(path)
+class SourceIndex:
+    """K2: a table in a folder, whose sources are replaced one run at a time and whose versions are whole.
+
+    ``data`` has the rows of each run in files of any sources; a run's ``manifest`` names the files that hold a source's rows; ``current/version=n``, written last
+    in one file, names version n's manifest. Readers take the latest published version, so a run that fails at any point, or is still going, leaves the one before.
+    Sources need no folder, bucket or file of their own: a file may hold rows of sources that a later version takes elsewhere. Two runs that start from
+    one version don't both publish the next: the second fails on the version's folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, source: str = "source_file_id"):
+        self.spark, self.path, self.source = spark, path, source
+
+    def version(self) -> int:
+        """The latest published version; 0: none."""
+        published = self._published()
+        return 0 if published is None else published.agg(F.max("version")).first()[0] or 0
+
+    def _published(self) -> DataFrame | None:
+        """(version, manifest) of all published versions."""
+        try:
+            return self.spark.read.schema("manifest string, version long").parquet(f"{self.path}/current")
+        except AnalysisException:
+            return None
+
+    def _manifest(self, version: int) -> DataFrame:
+        name = self._published().where(F.col("version") == version).first()["manifest"]
+        return self.spark.read.parquet(f"{self.path}/manifest/{name}")
+
+    def upsert(self, df: DataFrame, removed: DataFrame | None = None) -> int:
+        """Publishes a version with the rows of ``df`` in place of all rows of its sources, and without those of the sources in ``removed``; its number.
+
+        A null source is a source like others. Without rows nothing but the removal changes.
+        """
+        version = self.version()
+        run = f"{self.path}/data/{uuid.uuid4().hex}"
+        df.write.parquet(run)
+        rows = self.spark.read.schema(df.schema).parquet(run)
+        held = rows.select(F.col(self.source).alias("source"), F.input_file_name().alias("file")).distinct()
+        if version:
+            gone = rows.select(F.col(self.source).alias("source")).distinct()
+            if removed is not None:
+                gone = gone.union(removed.select(F.col(self.source).alias("source"))).distinct()
+            before, gone = self._manifest(version).alias("b"), gone.alias("g")
+            held = before.join(gone, F.col("b.source").eqNullSafe(F.col("g.source")), "left_anti").select("source", "file").unionByName(held)
+        name = uuid.uuid4().hex
+        held.write.parquet(f"{self.path}/manifest/{name}")
+        self.spark.range(1).select(F.lit(name).alias("manifest")).coalesce(1).write.parquet(f"{self.path}/current/version={version + 1}")
+        return version + 1
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a published version, the latest if none is given."""
+        version = self.version() if version is None else version
+        if not version:
+            raise ValueError("no version was published")
+        manifest = self._manifest(version)
+        files = [r["file"] for r in manifest.select("file").distinct().collect()]  # names of files, not rows
+        if not files:
+            return self.spark.read.parquet(f"{self.path}/data/*").where("false")
+        rows = self.spark.read.parquet(*files).withColumn("__file", F.input_file_name()).alias("r")
+        live = manifest.withColumnsRenamed({"source": "__source", "file": "__name"})
+        return rows.join(live, (F.col("__file") == F.col("__name")) & F.col(f"r.{self.source}").eqNullSafe(F.col("__source")), "left_semi").drop("__file")
+
+    def stale_files(self, keep: int = 1) -> DataFrame:
+        """(file): those that none of the ``keep`` latest versions names, for a clean-up."""
+        latest = self.version()
+        kept = [self._manifest(v).select("file") for v in range(max(1, latest - keep + 1), latest + 1)]
+        every = reduce(DataFrame.union, [self._manifest(v).select("file") for v in range(1, latest + 1)]).distinct()
+        return every.join(reduce(DataFrame.union, kept).distinct(), "file", "left_anti")
 
 
 def publish_catalog(tables: dict[str, DataFrame], prefix: str = "catalog_", bucketed: dict[str, tuple[int, str]] | None = None) -> None:

@@ -308,10 +308,10 @@ def test_json_sources(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([("f1", 1), ("f2", 2)], "source_file_id string, v int")
-    path = str(tmp_path / "t")
-    sinks.upsert_by_source(a, path)
-    sinks.upsert_by_source(spark.createDataFrame([("f2", 9)], "source_file_id string, v int"), path)
-    assert {(r["source_file_id"], r["v"]) for r in spark.read.parquet(path).collect()} == {("f1", 1), ("f2", 9)}
+    index = sinks.SourceIndex(spark, str(tmp_path / "t"))
+    index.upsert(a)
+    index.upsert(spark.createDataFrame([("f2", 9)], "source_file_id string, v int"))
+    assert {(r["source_file_id"], r["v"]) for r in index.read().collect()} == {("f1", 1), ("f2", 9)}
     sinks.write_json(a, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     sinks.publish_catalog({"terms": a}, "t_", {"terms": (2, "source_file_id")})
