@@ -2,7 +2,8 @@
 
 The canonical form drops copyright notices and a title, folds case, turns all but letters and digits into single spaces and
 replaces equivalent spellings, so licences that differ in those alone have one digest. A notice is told from a sentence
-that a line break cut before "copyright" by what follows: a year, a sign, a placeholder, "by" or "all rights reserved". Where it ends no mark
+that a line break cut before "copyright" by what follows: a year, a sign, a placeholder, "by" or "all rights reserved". At a text's head, with nothing
+but a title and other notices before it, whatever begins with "copyright" or its sign is one. Where it ends no mark
 says, so a text has two forms: one drops the notice's whole paragraph and doesn't depend on how lines are wrapped, the other its
 line, for texts that go on in the next line. The catalogue holds the digests of both forms of licence texts, and those of
 the short notices that stand for them.
@@ -25,11 +26,12 @@ _NOTICE = re.compile(
     r"^\W*(?:(?:portions\s+)?copyright\s*(?:\(c\)|©|[0-9]{4}|[<\[{]|by\b|yyyy\b)|portions\s+copyright\b|(?:\(c\)|©)\s*(?:copyright\b|[0-9]{4}|[<\[{]|by\b|yyyy\b)|all\s+rights\s+reserved\W*$|copyright\b.*\b[12][0-9]{3}\b)",
     re.IGNORECASE,
 )
+_HEAD = re.compile(r"^\W*(?:portions\s+)?(?:copyright\b|\(c\)|©)", re.IGNORECASE)
 _LICENSE = re.compile(r"licen[sc]e", re.IGNORECASE)
 _OTHER = re.compile(r"[\W_]+")
 _WORDS = re.compile(r"\b(?:" + "|".join(map(re.escape, SPELLINGS)) + r")\b")
-#: Words of a title at most, and of what goes on after a notice's line and still belongs to it.
-TITLE, REST = 12, 11
+#: Words of a title at most, of what goes on after a notice's line and still belongs to it, and of a paragraph at a text's head that is a notice by its first word alone.
+TITLE, REST, HEAD = 12, 11, 40
 #: Lines of documents that the shipped notices can equal have a word of this kind.
 HINT = r"licen[sc]e|spdx|public domain|gpl|creative commons|cc by|cc0"
 
@@ -49,24 +51,35 @@ def _paragraphs(text: str) -> list[list[str]]:
     return [p for p in out if p]
 
 
+def _title(part: str) -> bool:
+    return len(part.split()) <= TITLE and bool(_LICENSE.search(part))
+
+
+def _at_head(before: list[str]) -> bool:
+    """Whether no more than a title stands before, so no sentence of a licence."""
+    return not before or (len(before) == 1 and _title(before[0]))
+
+
 def canonical(text: str, whole: bool = True) -> str:
     """The form of a text in which licences are compared: without notices - their ``whole`` paragraphs, or their lines alone - and title."""
     parts: list[str] = []
     for lines in _paragraphs(text):
         if whole:
-            if not _NOTICE.match(lines[0]):
+            named = _at_head(parts) and _HEAD.match(lines[0]) and len(" ".join(lines).split()) <= HEAD
+            if not named and not _NOTICE.match(lines[0]):
                 parts.append(" ".join(lines))
             continue
         run: list[str] = []
         after = False  # a notice stands before the run in this paragraph
         for line in [*lines, None]:
-            if line is not None and not _NOTICE.match(line):
+            named = line is not None and _HEAD.match(line) and _at_head([*parts, " ".join(run)] if run else parts)
+            if line is not None and not named and not _NOTICE.match(line):
                 run.append(line)
                 continue
             if run and not (after and len(" ".join(run).split()) <= REST):
                 parts.append(" ".join(run))
             run, after = [], True
-    if len(parts) > 1 and len(parts[0].split()) <= TITLE and _LICENSE.search(parts[0]):
+    if len(parts) > 1 and _title(parts[0]):
         parts = parts[1:]
     return _folded(" ".join(parts))
 

@@ -60,6 +60,22 @@ def test_forms_of_notices():
     assert licenses.canonical("Copyright (c) 2020 A") == licenses.canonical("") == ""
 
 
+@pytest.mark.parametrize("notice", ["Copyright Jane Doe", "Copyright Contributors to the Foo project", "Copyright The Authors. All rights reserved.", "(C) Jane Doe", "© Jane Doe", "Copyright Jane Doe\n(c) The Authors"])
+def test_notices_without_a_year(notice):
+    known = {d: n for d, n, kind in licenses.catalogue() if kind == "text"}
+    title, _, body = licenses.TEXTS["MIT"].split("\n\n", 2)
+    for width in range(40, 121):
+        for text in (f"{notice}\n\n{body}", f"{title}\n\n{notice}\n\n{body}"):
+            assert "MIT" in [known.get(d) for d in licenses.digests(wrapped(text, width))], width
+    assert "MIT" in [known.get(d) for d in licenses.digests(f"{notice}\n{body}")]
+    assert "MIT" not in [known.get(d) for d in licenses.digests(f"{body}\n\n{notice} keep what follows in mind")]
+
+
+def test_a_sentence_on_copyright_stays_behind_the_head():
+    text = "The first sentence has no title.\n\nCopyright law is a broad field.\n(c) is the third point."
+    assert licenses.canonical(text) == licenses.canonical(text, False) == "the first sentence has no title copyright law is a broad field c is the third point"
+
+
 def test_large_catalogue_and_own_notices(spark):
     entries = [(hashlib.sha256(f"body number {i}".encode()).hexdigest(), f"L{i:05}", "text") for i in range(20_000)]
     entries += [(hashlib.sha256(b"free for all").hexdigest(), "own", "notice")]
