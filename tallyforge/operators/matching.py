@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.graphs import connected_components
 from tallyforge.plans.checkpoints import cut
 
 
@@ -32,26 +37,78 @@ def staged_match(left: DataFrame, right: DataFrame, stages: list[list[str]], lef
     return out
 
 
-def mutual_best(pairs: DataFrame, left_id: str = "l", right_id: str = "r", score: str = "score") -> DataFrame:
+#: Pairs of a component that one task matches at once, and of a group of such components; rounds on larger ones before their components are sought again.
+WHOLE, GROUP, ROUNDS = 20_000, 100_000, 4
+
+
+def _solver(before: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pairs: _rounds_of(pairs, before)
+
+
+def _rounds_of(pairs: pd.DataFrame, before: int) -> pd.DataFrame:
+    """Matches of whole components (component, l, r, score), round by round, all components at once; one without a match in a round is done."""
+    left, right, part = (pd.factorize(pairs[c])[0] for c in ("l", "r", "component"))
+    rank = np.unique(pairs["score"].to_numpy(), return_inverse=True)[1]  # a NaN is above all numbers, as in Spark
+    rows, number, taken = np.arange(len(pairs)), before, []
+    while len(rows):
+        number += 1
+        sole = np.ones(len(rows), bool)
+        for side in (left[rows], right[rows]):
+            top = np.full(side.max() + 1, -1)
+            np.maximum.at(top, side, rank[rows])
+            at_top = rank[rows] == top[side]
+            sole &= at_top & (np.bincount(side[at_top], minlength=len(top))[side] == 1)
+        found = rows[sole]
+        taken.append((found, np.full(len(found), number)))
+        gone = np.isin(left[rows], left[found]) | np.isin(right[rows], right[found])
+        rows = rows[~gone & np.isin(part[rows], part[found])]
+    chosen, rounds = (np.concatenate(x) for x in zip(*taken))
+    return pairs.iloc[chosen][["l", "r"]].assign(round=rounds.astype("int32"))
+
+
+def _one_round(pairs: DataFrame, number: int) -> DataFrame:
+    """The pairs that are the one best of both their rows: grouped maxima and joins, so that a row of any number of pairs is in no single task."""
+    best = pairs
+    for side in ("l", "r"):
+        top = pairs.groupBy(side).agg(F.max("score").alias("__m"))
+        at_top = pairs.join(top, side).where(F.col("score") == F.col("__m"))
+        sole = at_top.groupBy(side).agg(F.count("*").alias("__n")).where("__n = 1").select(side)
+        best = best.join(top, side).where(F.col("score") == F.col("__m")).drop("__m").join(sole, side, "left_semi")
+    return cut(best.select("l", "r", F.lit(number).alias("round")))
+
+
+def mutual_best(pairs: DataFrame, left_id: str = "l", right_id: str = "r", score: str = "score", whole: int = WHOLE) -> DataFrame:
     """J15, last stage: takes the pairs that are the one best of both their rows, drops those rows, and repeats until none is left.
 
-    Each round is a pair of grouped maxima and joins, and is checkpointed; rows with a tie for the best wait for
-    the tie to be resolved by others' matches. Returns left_id, right_id and round.
+    Rows with a tie for the best wait for the tie to be resolved by others' matches. Components of up to ``whole`` pairs are matched to the end by one
+    task each, however many rounds they need. Larger ones go through ROUNDS rounds of grouped maxima and joins, each checkpointed, and what they
+    fall into is taken up again. ``whole`` changes the cost, never the result. A null id or score matches nothing. Returns left_id, right_id and round.
     """
-    open_pairs, done, number = cut(pairs.select(left_id, right_id, score)), None, 0
-    while True:
-        number += 1
-        best = open_pairs
-        for side in (left_id, right_id):
-            top = open_pairs.groupBy(side).agg(F.max(score).alias("__m"))
-            at_top = open_pairs.join(top, side).where(F.col(score) == F.col("__m"))
-            sole = at_top.groupBy(side).agg(F.count("*").alias("__n")).where("__n = 1").select(side)
-            best = best.join(top, side).where(F.col(score) == F.col("__m")).drop("__m").join(sole, side, "left_semi")
-        found = cut(best.select(left_id, right_id).withColumn("round", F.lit(number)))
-        done = found if done is None else done.unionByName(found)
-        if found.isEmpty():
-            return done
-        open_pairs = cut(without(without(open_pairs, found, left_id), found, right_id))
+    known = pairs.select(F.col(left_id).alias("l"), F.col(right_id).alias("r"), F.col(score).alias("score"))
+    known = cut(known.where(F.col("l").isNotNull() & F.col("r").isNotNull() & F.col("score").isNotNull()))
+    kinds = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+    done, number, open_pairs = [], 0, known
+    while not open_pairs.isEmpty():
+        ends = open_pairs.withColumns({"__a": F.xxhash64(F.lit(0), "l"), "__b": F.xxhash64(F.lit(1), "r")})  # equal hashes join components, which does no harm
+        roots = cut(connected_components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).select(F.col("node").alias("__a"), F.col("root").alias("component")))
+        rooted = cut(ends.join(roots, "__a").select("component", "l", "r", "score"))
+        sizes = cut(rooted.groupBy("component").agg(F.count("*").alias("n")))
+        small = rooted.join(sizes.where(F.col("n") <= whole).select("component"), "component", "left_semi")
+        groups = max(1, -(-(sizes.where(F.col("n") <= whole).agg(F.sum("n")).first()[0] or 0) // GROUP))
+        dealt = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("__group"))
+        done.append(cut(dealt.applyInPandas(_solver(number), f"l {kinds['l']}, r {kinds['r']}, round int")))
+        open_pairs = cut(rooted.join(sizes.where(F.col("n") > whole).select("component"), "component", "left_semi").select("l", "r", "score"))
+        for _ in range(ROUNDS):
+            if open_pairs.isEmpty():
+                break
+            number += 1
+            found = _one_round(open_pairs, number)
+            done.append(found)
+            open_pairs = cut(without(without(open_pairs, found, "l"), found, "r")) if not found.isEmpty() else open_pairs.limit(0)
+    out = done[0] if done else known.select("l", "r", F.lit(0).alias("round")).where("false")
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "round")
 
 
 def anchor_pairs(left: DataFrame, right: DataFrame, material: str, anchors: list[str], least: int = 2, left_id: str = "l", right_id: str = "r") -> DataFrame:

@@ -112,20 +112,31 @@ def test_geometry_scalars(spark):
 def test_mutual_best_is_a_fixpoint(spark):
     rng = random.Random(1)
     pairs = [(a, b, round(rng.random(), 2)) for a in range(30) for b in range(30) if rng.random() < 0.3]
-    left, done = list(pairs), set()
+    left, done, number = list(pairs), set(), 0
     while True:
+        number += 1
         best = lambda i, k: max((p[2] for p in left if p[i] == k), default=None)
         found = [p for p in left if p[2] == best(0, p[0]) == best(1, p[1]) and sum(q[0] == p[0] and q[2] == p[2] for q in left) == 1 and sum(q[1] == p[1] and q[2] == p[2] for q in left) == 1]
         if not found:
             break
-        done |= {p[:2] for p in found}
+        done |= {(*p[:2], number) for p in found}
         taken = [{p[i] for p in found} for i in (0, 1)]
         left = [p for p in left if p[0] not in taken[0] and p[1] not in taken[1]]
-    out = matching.mutual_best(spark.createDataFrame(pairs, "l int, r int, score double"))
-    assert {(r["l"], r["r"]) for r in out.collect()} == done
+    df = spark.createDataFrame([*pairs, (None, 1, 2.0), (1, None, 2.0), (1, 1, None)], "l int, r int, score double")
+    for whole in (10_000, 40):
+        assert sorted(map(tuple, matching.mutual_best(df, whole=whole).collect())) == sorted(done), whole
     assert matching.mutual_best(spark.createDataFrame([], "l int, r int, score double")).count() == 0
 
 
+def test_mutual_best_of_a_long_chain_beside_a_star(spark):
+    n = 1000  # each row's best is the row before's second best, so each round frees one pair
+    chain = [(i, i + d, float(2 * (n - i) - d)) for i in range(n) for d in (0, 1)]
+    star = [(-1, -i, float(i)) for i in range(1, 3000)]
+    out = matching.mutual_best(spark.createDataFrame([(f"{a}", b, s) for a, b, s in chain + star], "l string, r int, score double"))
+    rows = sorted(map(tuple, out.collect()), key=str)
+    assert rows == sorted([(f"{i}", i, i + 1) for i in range(n)] + [("-1", -2999, 1)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
