@@ -57,6 +57,13 @@ def evaluate(text: str | None, names: dict[str, Decimal] | None = None, constant
         return None
 
 
+def binary_round(c: Column | str, places: int) -> Column:
+    """A double rounded as SQL engines on doubles do: the scaled double's nearest whole number, halves away from zero. Spark's ``round`` goes by the decimal text: 0.285 is 0.29 there and 0.28 here."""
+    c = F.col(c) if isinstance(c, str) else c
+    scaled = c * float(10**places)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / float(10**places)).otherwise(c)
+
+
 def _rounded(x: Decimal | None) -> Decimal | None:
     try:
         return None if x is None else x.quantize(Decimal("1e-9"))

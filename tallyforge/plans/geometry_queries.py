@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import boxes
-from tallyforge.functions.numeric import display_value
+from tallyforge.functions.numeric import binary_round, display_value
 from tallyforge.functions.text import excel_safe
 from tallyforge.operators import geometry, pricing, rules, sequential
 from tallyforge.plans.pricing_queries import CALC_SQL, items, prices
@@ -22,7 +22,7 @@ c AS (SELECT user_id, event_type, k, 0 AS cluster, x * n AS total, n AS size, lo
 SELECT user_id, event_type, CAST(cluster AS INT) AS cluster, arg_max(total / size, k) AS center, CAST(max(size) AS BIGINT) AS size, arg_max(low <> high, k) AS corroborated FROM c GROUP BY user_id, event_type, cluster""")
 def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G14."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.round("value", 2).alias("value"), "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", binary_round("value", 2).alias("value"), "event_id")
     return sequential.cluster_values(events, ["user_id", "event_type"], "value", "event_id")
 
 
@@ -73,7 +73,7 @@ def detached_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 150").alias("scope"), "c_custkey", "c_acctbal")
     s = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("scope"), "s_suppkey", "s_acctbal")
     cost = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return sequential.greedy_pairs(c.join(s, "scope").where(cost < 500).select("scope", "c_custkey", "s_suppkey", F.round(cost, 2).alias("cost")), "scope", "c_custkey", "s_suppkey", "cost")
+    return sequential.greedy_pairs(c.join(s, "scope").where(cost < 500).select("scope", "c_custkey", "s_suppkey", binary_round(cost, 2).alias("cost")), "scope", "c_custkey", "s_suppkey", "cost")
 
 
 @query("""WITH RECURSIVE g AS (SELECT l_suppkey AS s, l_returnflag AS pool, l_partkey AS item, -max(l_quantity) AS q FROM lineitem GROUP BY ALL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numeric import binary_round
 from tallyforge.operators import graphs, ranking, spatial
 from tallyforge.plans.registry import query, table
 
@@ -28,7 +29,7 @@ a AS (SELECT *, coalesce(v2 IS NOT NULL AND abs(v1 - v2) > 1e-9 * greatest(abs(v
 SELECT user_id, event_type, CASE WHEN NOT ambiguous THEN v1 END AS chosen, ambiguous FROM a""")
 def ambiguous_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", F.round(F.col("value") / 100, 2).alias("score"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", binary_round(F.col("value") / 100, 2).alias("score"))
     return ranking.clear_best(events, ["user_id", "event_type"], "value", "score", "event_id")
 
 
@@ -94,7 +95,7 @@ s AS (SELECT s_suppkey, s_nationkey AS scope, s_acctbal AS sx, CAST(s_suppkey %
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6."""
     c, s = _points(spark, sf_dir)
-    return spatial.within_radius(c, s, ["scope"], 900.0, right_xy=("sx", "sy")).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+    return spatial.within_radius(c, s, ["scope"], 900.0, right_xy=("sx", "sy")).select("c_custkey", "s_suppkey", binary_round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH {_POINTS}, p AS (SELECT c_custkey, s_suppkey, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS d FROM c JOIN s USING (scope) WHERE sqrt((x - sx) ** 2 + (y - sy) ** 2) <= 900),
@@ -104,7 +105,7 @@ def nearest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, J19."""
     c, s = _points(spark, sf_dir)
     out = spatial.nearest(c, s, ["scope"], 900.0, "c_custkey", "s_suppkey", right_xy=("sx", "sy"))
-    return out.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"), "within")
+    return out.select("c_custkey", "s_suppkey", binary_round("distance", 6).alias("distance"), "within")
 
 
 _BOXES = "boxes AS (SELECT s_suppkey, scope, sx - 400 - s_suppkey % 7 * 100 AS x0, sx + 600 AS x1, sy - 500 AS y0, sy + 700 + s_suppkey % 3 * 100 AS y1 FROM s)"
@@ -119,7 +120,7 @@ SELECT c_custkey, s_suppkey, round(area, 3) AS area FROM c LEFT JOIN b USING (c_
 def smallest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9."""
     c, s = _points(spark, sf_dir)
-    return spatial.smallest_box(c, _boxes(s), ["scope"], 1000.0, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("area", 3).alias("area"))
+    return spatial.smallest_box(c, _boxes(s), ["scope"], 1000.0, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", binary_round("area", 3).alias("area"))
 
 
 @query(f"""WITH {_POINTS}, {_BOXES}, b AS (SELECT c_custkey, count(*) FILTER (WHERE x0 < x AND x < x1 AND y0 < y AND y < y1) AS owners, count(*) FILTER (WHERE NOT (x0 < x AND x < x1 AND y0 < y AND y < y1)) AS contacts,
