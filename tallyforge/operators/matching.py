@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,60 @@ def anchor_pairs(left: DataFrame, right: DataFrame, material: str, anchors: list
     return met.groupBy(left_id, right_id).agg(F.max(agree).alias("score")).where(F.col("score") >= least)
 
 
+#: Pairs a row up to which the last stage lists them all; beyond that it goes by counts.
+LISTED = 8
+
+
+def anchor_matches(left: DataFrame, right: DataFrame, material: str, anchors: list[str], least: int = 2, left_id: str = "l", right_id: str = "r", listed: float = LISTED) -> DataFrame:
+    """J15, last stage: (left_id, right_id), the ``mutual_best`` of ``anchor_pairs``, without listing the pairs where they are many. Ids are unique.
+
+    Rows of one side with equal fields are a class: two or more tie for each partner for ever, so a class stands for all its rows. A row's best score is the size of
+    its largest set of anchors that a row of the other side shares, and at that size no partner is in two such sets: counts by material and set give how many are best, and
+    which one if it is sole. A round takes the pairs that are each other's sole best, as long as there are any; each costs what the rows and their sets of anchors do.
+    Once the pairs left are at most ``listed`` a row they are listed, so that long chains end in one task. ``listed`` changes the cost, never the result.
+    """
+    sets = [s for k in range(least, len(anchors) + 1) for s in combinations(range(len(anchors)), k)]
+
+    def classes(df: DataFrame, id_: str) -> DataFrame:
+        fields = [F.col(material).alias("m"), *[F.col(a).cast("string").alias(f"a{i}") for i, a in enumerate(anchors)]]
+        known = df.where(F.col(material).isNotNull() & F.col(id_).isNotNull()).groupBy(*fields)
+        return cut(known.agg(F.min(id_).alias("id"), F.max(id_).alias("last")).withColumn("n", F.when(F.col("id") == F.col("last"), 1).otherwise(2)))
+
+    def keyed(side: DataFrame) -> DataFrame:
+        whole = lambda s: F.forall(F.array(*[F.col(f"a{i}").isNotNull() for i in s]), lambda x: x)
+        keys = [F.when(whole(s), F.struct(F.lit(len(s)).alias("k"), F.lit(n).alias("s"), F.array(*[F.col(f"a{i}") for i in s]).alias("v"))) for n, s in enumerate(sets)]
+        return side.select("m", "id", "n", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+    def sole(one: DataFrame, counts: DataFrame) -> DataFrame:
+        met = keyed(one.where("n = 1")).drop("n").join(counts.hint("merge"), ["m", "key"])
+        sizes = met.groupBy("id", F.col("key.k").alias("k")).agg(F.sum("n").alias("n"), F.min("other").alias("other"))
+        return sizes.groupBy("id").agg(F.max(F.struct("k", "n", "other")).alias("b")).where("b.n = 1").select("id", F.col("b.other").alias("other"))
+
+    both, done = [classes(left, left_id), classes(right, right_id)], []
+    rows = lambda side, id_: side.select(F.explode(F.array_distinct(F.array("id", "last"))).alias(id_), F.col("m").alias(material), *[F.col(f"a{i}").alias(a) for i, a in enumerate(anchors)])
+    while True:
+        counts = [cut(keyed(side).groupBy("m", "key").agg(F.sum("n").alias("n"), F.min("id").alias("other"))) for side in both]
+        lowest = [c.where(F.col("key.k") == least) for c in counts]
+        open_pairs = lowest[0].join(lowest[1].select("m", "key", F.col("n").alias("__n")).hint("merge"), ["m", "key"]).agg(F.sum(F.col("n").cast("double") * F.col("__n"))).first()[0] or 0.0
+        if not open_pairs:
+            break
+        if open_pairs <= listed * sum(side.count() for side in both):
+            pairs = anchor_pairs(rows(both[0], left_id), rows(both[1], right_id), material, anchors, least, left_id, right_id)
+            done.append(mutual_best(pairs, left_id, right_id).select(left_id, right_id))
+            break
+        first = sole(both[0], counts[1]).select(F.col("id").alias(left_id), F.col("other").alias(right_id))
+        second = sole(both[1], counts[0]).select(F.col("other").alias(left_id), F.col("id").alias(right_id))
+        found = cut(first.join(second.hint("merge"), [left_id, right_id]))
+        if found.isEmpty():
+            break
+        done.append(found)
+        both = [cut(side.join(found.select(F.col(i).alias("id")).hint("merge"), "id", "left_anti")) for side, i in zip(both, (left_id, right_id))]
+    out = done[0] if done else left.select(left_id).join(right.select(right_id), F.lit(False))
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def match_rows(left: DataFrame, right: DataFrame, component: str, row: str, material: str, anchors: list[str], left_id: str = "l", right_id: str = "r") -> DataFrame:
     """Predicted (left) and reviewed (right) rows by component id, row id, categorical signature - each unique on both sides -, then mutual best anchors.
 
@@ -136,8 +191,7 @@ def match_rows(left: DataFrame, right: DataFrame, component: str, row: str, mate
     signature = F.when(F.col(material).isNotNull() & some.isNotNull(), F.to_json(F.struct(material, *anchors), {"ignoreNullFields": "false"}))
     left, right = (df.withColumn("__signature", signature) for df in (left, right))
     stages = staged_match(left, right, [[component], [row], ["__signature"]], left_id, right_id)
-    pairs = anchor_pairs(without(left, stages, left_id), without(right, stages, right_id), material, anchors, 2, left_id, right_id)
-    last = mutual_best(pairs, left_id, right_id).select(left_id, right_id, F.lit("mutual_best").alias("method"))
+    last = anchor_matches(without(left, stages, left_id), without(right, stages, right_id), material, anchors, 2, left_id, right_id).withColumn("method", F.lit("mutual_best"))
     names = F.array(*map(F.lit, ("component_id", "row_id", "signature")))
     return stages.select(left_id, right_id, F.element_at(names, F.col("stage")).alias("method")).unionByName(last)
 
