@@ -13,13 +13,16 @@ HUB = 100_000
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with ``m``, the least v of their u: a grouped minimum, joined back; to the edges of hubs by broadcast, so that none of them is gathered in one task."""
+    """``edges`` (u, v) with ``m``, the least v of their u: a grouped minimum, joined back; to the edges of hubs by broadcast, so that none of them is gathered in one task.
+
+    The joins are merge joins by hint: Spark takes what an explode made of a narrow table for as small as that table, and would broadcast all minima.
+    """
     least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     hubs = least.where(F.col("n") > HUB).select("u", "m")
     if hubs.isEmpty():
-        return edges.join(least.select("u", "m"), "u")
+        return edges.join(least.select("u", "m").hint("merge"), "u")
     hubs = F.broadcast(hubs)
-    others = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m"), "u")
+    others = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= HUB).select("u", "m").hint("merge"), "u")
     return others.unionByName(edges.join(hubs, "u"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tallyforge.operators.evidence import selected_profiles, strip_profile
 from tallyforge.operators.graphs import connected_components
 from tallyforge.operators.sequential import unique_assignment
 from tallyforge.operators.spatial import containing_boxes
+from tallyforge.plans.checkpoints import cut
 
 #: Gap between two parts of a view, in heights of their shared edge, at most. Fixed value of the rules.
 GAP_RATIO = 0.06
@@ -46,7 +48,7 @@ def fragment_edges(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -
         first = flat.withColumn("cell", F.explode(F.array(stretch(F.col("hi")), stretch(F.col("hi")) + 1)))
         second = flat.withColumn("cell", stretch(F.col("lo")))
         p, q = first.alias("p"), second.alias("q")
-        met = p.join(q, [scope, "size", "level", "cell"]).where(F.col("p.view_id") != F.col("q.view_id"))
+        met = p.join(q.hint("merge"), [scope, "size", "level", "cell"]).where(F.col("p.view_id") != F.col("q.view_id"))
         across = F.least("p.edge", "q.edge")
         near = F.greatest(F.lit(LEAST), across * PART)
         gap, model_gap = F.col("q.lo") - F.col("p.hi"), F.col("q.mlo") - F.col("p.mhi")
@@ -63,9 +65,9 @@ def view_chains(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -> D
     edges = fragment_edges(views, scope, gap_ratio)
     node = lambda c: F.xxhash64(F.lit("view"), scope, c)
     roots = connected_components(edges.select(node("first").alias("a"), node("second").alias("b")))
-    rooted = views.withColumn("__n", node("view_id")).join(roots.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__r", F.coalesce("root", "__n"))
+    rooted = views.withColumn("__n", node("view_id")).join(roots.withColumnRenamed("node", "__n").hint("merge"), "__n", "left").withColumn("__r", F.coalesce("root", "__n"))
     chains = rooted.groupBy(scope, "__r").agg(F.min("view_id").alias("chain"), F.count_distinct("view_id").alias("parts"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
-    return rooted.select(scope, "view_id", "__r").join(chains, [scope, "__r"]).select(scope, "view_id", "chain", "parts", "x0", "y0", "x1", "y1")
+    return rooted.select(scope, "view_id", "__r").join(chains.hint("merge"), [scope, "__r"]).select(scope, "view_id", "chain", "parts", "x0", "y0", "x1", "y1")
 
 
 def chain_titles(chains: DataFrame, titles: DataFrame, scope: str, cell: float = 1000.0) -> DataFrame:
@@ -94,30 +96,80 @@ def titled_chains(views: DataFrame, titles: DataFrame, scope: str, gap_ratio: fl
     return unique_assignment(chain_titles(view_chains(views, scope, gap_ratio), titles, scope, cell), scope, "chain", "title_id")
 
 
-def outline_faces(segments: DataFrame, scope: str, step: float = 1e-4) -> DataFrame:
-    """V2: each side of each segment (scope, segment_id, forward) with its face, its turn's ends (ax, ay, bx, by) and its ``twin`` and ``after`` sides.
+#: Segments of a scope whose faces one task finds at once, and of a group of such scopes.
+WHOLE, GROUP = 50_000, 100_000
+
+
+def outline_faces(segments: DataFrame, scope: str, step: float = 1e-4, whole: int = WHOLE) -> DataFrame:
+    """V2: each side of each segment (scope, segment_id, forward) with its face, its twin's face (``other``), its turn's ends (ax, ay, bx, by) and its ``twin`` and ``after`` sides.
 
     Segments (segment_id, x0, y0, x1, y1) meet at their ends only; ends within ``step`` of a grid point are that point. Every segment is two opposite sides; the side after
-    one is the next clockwise at its end. The sides that follow each other are a face, named by its least side: components of a graph, no walk. Segments without
-    length, repeated ones and those with nulls are left out. A point's sides are sorted by one task; hubs of millions of segments don't occur in one drawing.
+    one is the next clockwise at its end. The sides that follow each other are a face, named by its least side. Scopes of up to ``whole`` segments are dealt out whole, many to a task; in larger ones the faces are components of a graph. Segments without
+    length, repeated ones and those with nulls are left out. In a larger scope a point's sides are sorted by one task; hubs of millions of segments don't occur in one drawing.
+    Sides come from exploded segments, which Spark takes for as small as their table: the joins are merge joins by hint, none is broadcast. The faces are stored once.
     """
     at = lambda c: F.round(F.col(c) / step).cast("long")
     start, end = F.struct("ax", "ay"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))
     flat = segments.select(scope, "segment_id", at("x0").alias("ax"), at("y0").alias("ay"), at("x1").alias("bx"), at("y1").alias("by")).na.drop()
     flat = flat.where("ax <> bx or ay <> by").withColumns({"__l": F.least(start, end), "__h": F.greatest(start, end)})
     flat = flat.groupBy(scope, F.col("__l.ax").alias("ax"), F.col("__l.ay").alias("ay"), F.col("__h.ax").alias("bx"), F.col("__h.ay").alias("by")).agg(F.min("segment_id").alias("segment_id"))
-    both = flat.withColumn("forward", F.lit(True)).unionByName(flat.select(scope, F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"), "segment_id", F.lit(False).alias("forward")))
     side = lambda a, b: F.xxhash64(F.lit("side"), scope, *a, *b)
     one, two = ("ax", "ay"), ("bx", "by")
-    both = both.withColumns({"side": side(one, two), "twin": side(two, one), "angle": F.atan2((F.col("by") - F.col("ay")).cast("double"), (F.col("bx") - F.col("ax")).cast("double"))})
+    flat = flat.withColumns({"side": side(one, two), "twin": side(two, one)})
+    sizes = cut(flat.groupBy(scope).agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > whole).select(scope)
+    total = sizes.where(F.col("n") <= whole).agg(F.sum("n")).first()[0] or 0
+    kind = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
+    schema = f"{scope} {kind[scope]}, segment_id {kind['segment_id']}, forward boolean, side long, twin long, after long, face long, other long, ax double, ay double, bx double, by double"
+    small = flat if large.isEmpty() else flat.join(large.hint("merge"), scope, "left_anti")
+    groups = max(1, -(-total // GROUP))
+    out = small.groupBy(F.pmod(F.xxhash64(scope), F.lit(groups)).alias("__group")).applyInPandas(lambda rows: _faces_of(rows, scope, step), schema)
+    if small is not flat:
+        out = out.unionByName(_faces_by_graph(flat.join(large.hint("merge"), scope, "left_semi"), scope, step))
+    return cut(out)
+
+
+def _faces_of(flat: pd.DataFrame, scope: str, step: float) -> pd.DataFrame:
+    """The sides and faces of whole scopes: sides sorted around their points, and the least side of each turn by doubled steps along it."""
+    n = len(flat)
+    sheet = np.tile(pd.factorize(flat[scope])[0], 2)
+    a, b = flat[["ax", "ay"]].to_numpy(), flat[["bx", "by"]].to_numpy()
+    start, end = np.concatenate([a, b]), np.concatenate([b, a])
+    names = np.concatenate([flat["side"].to_numpy(), flat["twin"].to_numpy()])
+    way = (end - start).astype(float)
+    order = np.lexsort((np.arctan2(way[:, 1], way[:, 0]), start[:, 1], start[:, 0], sheet))
+    places = np.column_stack([sheet[order], start[order]])
+    first = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(axis=1)])
+    last = np.r_[first[1:], 2 * n] - 1
+    before = np.arange(2 * n) - 1
+    before[first] = last
+    clockwise = np.empty(2 * n, int)
+    clockwise[order] = order[before]
+    twin = np.r_[np.arange(n) + n, np.arange(n)]
+    after = clockwise[twin]
+    face, ahead = names.copy(), after
+    for _ in range(int(2 * n).bit_length()):
+        face, ahead = np.minimum(face, face[ahead]), ahead[ahead]
+    twice = lambda c: np.tile(flat[c].to_numpy(), 2)
+    return pd.DataFrame({scope: twice(scope), "segment_id": twice("segment_id"), "forward": np.arange(2 * n) < n, "side": names, "twin": names[twin], "after": names[after], "face": face, "other": face[twin],
+                         "ax": start[:, 0] * step, "ay": start[:, 1] * step, "bx": end[:, 0] * step, "by": end[:, 1] * step})
+
+
+def _faces_by_graph(flat: DataFrame, scope: str, step: float) -> DataFrame:
+    """The same by a window around each point and components of a graph, for scopes of any size."""
+    back = {"ax": "bx", "ay": "by", "bx": "ax", "by": "ay", "side": "twin", "twin": "side"}
+    both = flat.withColumn("forward", F.lit(True)).unionByName(flat.select(scope, "segment_id", *[F.col(c).alias(n) for n, c in back.items()], F.lit(False).alias("forward")))
+    both = both.withColumn("angle", F.atan2((F.col("by") - F.col("ay")).cast("double"), (F.col("bx") - F.col("ax")).cast("double")))
     around = Window.partitionBy(scope, "ax", "ay").orderBy("angle")
-    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = both.withColumn("clockwise", F.coalesce(F.lag("side").over(around), F.last("side").over(whole)))
+    ends = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumn("clockwise", F.coalesce(F.lag("side").over(around), F.last("side").over(ends)))
     after = both.select(F.col("side").alias("twin"), F.col("clockwise").alias("after"))
-    turned = both.drop("clockwise", "angle").join(after, "twin")
-    roots = connected_components(turned.select(F.col("side").alias("a"), F.col("after").alias("b")))
+    turned = cut(both.drop("clockwise", "angle").join(after.hint("merge"), "twin"))
+    roots = cut(connected_components(turned.select(F.col("side").alias("a"), F.col("after").alias("b"))))
+    faces = turned.join(roots.select(F.col("node").alias("side"), F.col("root").alias("face")).hint("merge"), "side")
+    faces = faces.join(roots.select(F.col("node").alias("twin"), F.col("root").alias("other")).hint("merge"), "twin")
     scaled = lambda c: (F.col(c) * F.lit(step)).alias(c)
-    return turned.join(roots.select(F.col("node").alias("side"), F.col("root").alias("face")), "side").select(scope, "segment_id", "forward", "face", "side", "twin", "after", *[scaled(c) for c in (*one, *two)])
+    return faces.select(scope, "segment_id", "forward", "side", "twin", "after", "face", "other", *[scaled(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
@@ -142,14 +194,12 @@ def closed_outlines(faces: DataFrame, scope: str, most: int = 256) -> DataFrame:
     A face whose both sides of a segment are the same face has dangling segments, counted as ``open_sides``. The outer side of what hangs together has a negative area
     and isn't one. Corners are listed up to ``most`` sides; more make the outline ``truncated``.
     """
-    other = faces.select(F.col("side").alias("twin"), F.col("face").alias("other"))
     cross = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    joined = faces.join(other, "twin")
-    found = joined.groupBy(scope, "face").agg(F.count("*").alias("sides"), F.sum(cross).alias("area"), F.sum(length).alias("perimeter"), F.count_if(F.col("other") == F.col("face")).alias("open_sides"))
+    found = faces.groupBy(scope, "face").agg(F.count("*").alias("sides"), F.sum(cross).alias("area"), F.sum(length).alias("perimeter"), F.count_if(F.col("other") == F.col("face")).alias("open_sides"))
     found = found.where("area > 1e-9 * perimeter * perimeter").withColumn("truncated", F.col("sides") > most)
-    listed = faces.join(found.where("not truncated").select(scope, "face"), [scope, "face"]).groupBy(scope, "face").agg(F.collect_list(F.struct("side", "after", "ax", "ay")).alias("__sides"))
-    return found.join(listed, [scope, "face"], "left").withColumn("points", ring(F.coalesce("__sides", F.array().cast(listed.schema["__sides"].dataType)))).drop("__sides")
+    listed = faces.join(found.where("not truncated").select(scope, "face").hint("merge"), [scope, "face"]).groupBy(scope, "face").agg(F.collect_list(F.struct("side", "after", "ax", "ay")).alias("__sides"))
+    return found.join(listed.hint("merge"), [scope, "face"], "left").withColumn("points", ring(F.coalesce("__sides", F.array().cast(listed.schema["__sides"].dataType)))).drop("__sides")
 
 
 def probe_profiles(segments: DataFrame, contacts: DataFrame, scope: str, branch: str, most: int = 256, step: float = 1e-4) -> DataFrame:
