@@ -6,13 +6,42 @@ sheet - is one group. Spark deals the scopes out; a scope holds what one drawing
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.operators.graphs import connected_components
 
 
+def _by_scope(rows: DataFrame, keys: list[str], order: str, solve: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """The rows that ``solve`` makes of each scope's rows in order. A task takes its scopes from one sorted stream of Arrow batches and holds one at a time: no call, frame or batch a scope."""
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, scope, out = [], None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = tuple(r[k] for k in keys)
+                if own != scope and held:
+                    out += solve(held)
+                    held = []
+                scope = own
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, types)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_pylist(solve(held), types)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def cluster_values(rows: DataFrame, keys: list[str], value: str, handle: str, absolute: float = 2.0, relative: float = 0.005) -> DataFrame:
     """Greedy clusters of a key's values: in ascending order a value joins while it is within max(2, 0.5 %) of the running mean.
 
@@ -20,20 +49,21 @@ def cluster_values(rows: DataFrame, keys: list[str], value: str, handle: str, ab
     center, size and corroborated (two or more handles). Null values are left out.
     """
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+    def cluster(group: list[dict]) -> list[dict]:
         out: list[list] = []  # total, size, least and greatest handle
-        for x, n, low, high in group.sort_values("__x")[["__x", "__n", "__low", "__high"]].itertuples(index=False):
+        for r in group:
+            x, n, low, high = r["__x"], r["__n"], r["__low"], r["__high"]
             if out and abs(x - (mean := out[-1][0] / out[-1][1])) <= max(absolute, relative * abs(mean)):
                 t, size, a, b = out[-1]
                 out[-1] = [t + x * n, size + n, min(a, low), max(b, high)]
             else:
                 out.append([x * n, n, low, high])
-        found = pd.DataFrame([(i, t / n, n, a != b) for i, (t, n, a, b) in enumerate(out)], columns=["cluster", "center", "size", "corroborated"])
-        return found.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "cluster", "center", "size", "corroborated"]]
+        own = {k: group[0][k] for k in keys}
+        return [own | {"cluster": i, "center": t / n, "size": n, "corroborated": a != b} for i, (t, n, a, b) in enumerate(out)]
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__n"), F.min(handle).alias("__low"), F.max(handle).alias("__high"))
-    return counted.groupBy(*keys).applyInPandas(cluster, f"{kinds}, cluster int, center double, size long, corroborated boolean")
+    return _by_scope(counted, keys, "__x", cluster, f"{kinds}, cluster int, center double, size long, corroborated boolean")
 
 
 def merge_occurrences(rows: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -43,24 +73,25 @@ def merge_occurrences(rows: DataFrame, keys: list[str], tolerance: float = 1e-6)
     kept row takes the id and confidence of the better of the two. Returns keys, id, confidence, evidence and merged (rows in all).
     """
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for r in group.sort_values("id").to_dict("records"):
-            own = frozenset(r["evidence"] if r["evidence"] is not None else ())
+        rank = lambda r: (math.nan if r["confidence"] is None else -r["confidence"], r["id"])
+        for r in group:
+            own, placed = frozenset(r["evidence"] or ()), r["x"] is not None and r["y"] is not None
             for k in kept:
-                near = pd.notna(r["x"]) and pd.notna(k["x"]) and abs(r["x"] - k["x"]) <= tolerance and abs(r["y"] - k["y"]) <= tolerance
+                near = placed and k["x"] is not None and k["y"] is not None and abs(r["x"] - k["x"]) <= tolerance and abs(r["y"] - k["y"]) <= tolerance
                 if own == k["evidence"] or (r["leader"] is not None and r["leader"] == k["leader"]) or near:
-                    if (-r["confidence"], r["id"]) < (-k["confidence"], k["id"]):
+                    if rank(r) < rank(k):
                         k |= {"id": r["id"], "confidence": r["confidence"]}
                     k["evidence"] |= own
                     k["merged"] += 1
                     break
             else:
                 kept.append(r | {"evidence": own, "merged": 1})
-        return pd.DataFrame([{**{c: k[c] for c in (*keys, "id", "confidence", "merged")}, "evidence": sorted(k["evidence"])} for k in kept])
+        return [{**{c: k[c] for c in (*keys, "id", "confidence", "merged")}, "evidence": sorted(k["evidence"])} for k in kept]
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (*keys, "id"))
-    return rows.groupBy(*keys).applyInPandas(merge, f"{kinds}, confidence double, merged long, evidence array<string>")
+    return _by_scope(rows, keys, "id", merge, f"{kinds}, confidence double, merged long, evidence array<string>")
 
 
 def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) -> DataFrame:
@@ -70,9 +101,7 @@ def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) ->
     names, and share none; so the result depends on the order, which is that of the passes and ids. Returns scope, id and component (least id).
     """
 
-    def union(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        rows_ = group.to_dict("records")
+    def union(rows_: list[dict]) -> list[dict]:
         root = {r["id"]: r["id"] for r in rows_}
         traits = {r["id"]: ({r["room"]} - {None}, {r["name"]} - {None}) for r in rows_}
 
@@ -85,7 +114,7 @@ def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) ->
             buckets: dict[tuple, list[dict]] = {}
             for r in rows_:
                 value = tuple(r[c] for c in columns)
-                if not any(pd.isna(v) for v in value):
+                if all(v is not None and v == v for v in value):
                     buckets.setdefault(value, []).append(r)
             for _, bucket in sorted(buckets.items()):
                 if len({r["sheet"] for r in bucket}) < 2:
@@ -96,10 +125,10 @@ def guarded_components(rows: DataFrame, scope: str, passes: list[list[str]]) ->
                         continue
                     root[b] = a
                     traits[a] = tuple(x | y for x, y in zip(traits[a], traits[b]))
-        return pd.DataFrame({scope: group[scope], "id": group["id"], "component": [find(i) for i in group["id"]]})
+        return [{scope: r[scope], "id": r["id"], "component": find(r["id"])} for r in rows_]
 
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    return rows.groupBy(scope).applyInPandas(union, f"{scope} {kind(scope)}, id {kind('id')}, component {kind('id')}")
+    return _by_scope(rows, [scope], "id", union, f"{scope} {kind(scope)}, id {kind('id')}, component {kind('id')}")
 
 
 def greedy_pairs(pairs: DataFrame, scope: str, left: str, right: str, cost: str) -> DataFrame:
