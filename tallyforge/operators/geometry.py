@@ -64,17 +64,20 @@ def rectangles(lines: DataFrame, scope: list[str], tolerance: float = 0.5) -> Da
 def border_leaders(leaders: DataFrame, borders: DataFrame, scope: list[str], tolerance: float = 1e-6, cell: float = 1000.0) -> DataFrame:
     """V6: each leader's border whose outline has the leader's end (x, y) within ``tolerance``; ends on several borders are ambiguous, all branches kept.
 
-    Borders are boxes with border_id; a border is listed in the grid cells of its box.
+    Borders are boxes with border_id. Borders with equal boxes meet leaders as one, listed in the grid cells of the boxes; their ids are joined last, so only the result has all pairs.
     """
     spread = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - tolerance) / cell), F.floor((F.col(b) + tolerance) / cell)))
-    listed = borders.withColumn("__cx", spread("x0", "x1")).withColumn("__cy", spread("y0", "y1"))
-    own = leaders.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
+    own_boxes = borders.groupBy(*scope, "border_id").agg(F.array_sort(F.collect_set(F.struct("x0", "y0", "x1", "y1"))).alias("__boxes"))
+    shapes = own_boxes.groupBy(*scope, "__boxes").agg(F.count("*").alias("__n"))
+    listed = shapes.select("*", F.inline("__boxes")).withColumn("__cx", spread("x0", "x1")).withColumn("__cy", spread("y0", "y1"))
+    own = leaders.select(*scope, "leader_id", "x", "y", F.floor(F.col("x") / cell).alias("__cx"), F.floor(F.col("y") / cell).alias("__cy"))
     t = tolerance
     inside = f"x >= x0 - {t} and x <= x1 + {t} and y >= y0 - {t} and y <= y1 + {t}"
     edge = f"(abs(x - x0) <= {t} or abs(x - x1) <= {t} or abs(y - y0) <= {t} or abs(y - y1) <= {t})"
-    hits = own.join(listed, [*scope, "__cx", "__cy"]).where(f"{inside} and {edge}").select(*scope, "leader_id", "border_id").distinct()
-    counts = hits.groupBy(*scope, "leader_id").agg(F.count("*").alias("borders"))
-    return hits.join(counts, [*scope, "leader_id"]).withColumn("state", F.when(F.col("borders") > 1, "ambiguous").otherwise("branch"))
+    hits = own.join(listed, [*scope, "__cx", "__cy"]).where(f"{inside} and {edge}").select(*scope, "leader_id", "__boxes", "__n").distinct()
+    counts = hits.groupBy(*scope, "leader_id").agg(F.sum("__n").alias("borders"))
+    counted = hits.drop("__n").join(counts, [*scope, "leader_id"]).withColumn("state", F.when(F.col("borders") > 1, "ambiguous").otherwise("branch"))
+    return counted.join(own_boxes, [*scope, "__boxes"]).select(*scope, "leader_id", "border_id", "borders", "state")
 
 
 def _spread(c: F.Column, tolerance: float, cell: float) -> F.Column:
@@ -114,11 +117,12 @@ def bind_dimensions(dimensions: DataFrame, segments: DataFrame, scope: list[str]
 def covered_spans(spans: DataFrame, views: DataFrame, scope: list[str], tolerance: float = 1e-6, cell: float = 500.0) -> DataFrame:
     """V4: whether each span (span_id, y, a, b) is covered by the union of its scope's boxes without a gap: covered, gap or outside (an end lies in no box).
 
-    Spans and boxes meet in the grid cells that both touch; a pair counts in the first of them.
+    Spans and boxes meet in the grid cells that both touch; a pair counts in the first of them. Equal boxes cover the same and are one.
     """
     at = lambda c, d=0.0: F.floor((c + d) / cell)
     x0, x1, y0, y1, a, b = (F.col(c) for c in ("x0", "x1", "y0", "y1", "a", "b"))
-    listed = views.withColumn("__i", F.explode(F.sequence(at(x0, -tolerance), at(x1, tolerance)))).withColumn("__j", F.explode(F.sequence(at(y0, -tolerance), at(y1, tolerance))))
+    boxes = views.select(*scope, "x0", "x1", "y0", "y1").distinct()
+    listed = boxes.withColumn("__i", F.explode(F.sequence(at(x0, -tolerance), at(x1, tolerance)))).withColumn("__j", F.explode(F.sequence(at(y0, -tolerance), at(y1, tolerance))))
     own = spans.withColumn("__i", F.explode(F.sequence(at(F.least(a, b)), at(b)))).withColumn("__j", at(F.col("y")))
     first = F.col("__i") == F.greatest(at(x0, -tolerance), at(a))
     met = own.join(listed, [*scope, "__i", "__j"]).where(first).where(f"y0 - {tolerance} <= y and y <= y1 + {tolerance} and x1 >= a - {tolerance} and x0 <= b + {tolerance}")
