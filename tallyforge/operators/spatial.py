@@ -2,9 +2,117 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.plans.checkpoints import cut
+
+#: Pairs that a task compares, pairs from which a cell is dealt to several tasks, and rows of a task, all about; tasks at most; pairs in memory at once.
+TASK, CELL, ROWS, TASKS, BLOCK = 5_000_000, 20_000_000, 100_000, 4096, 1_000_000
+
+
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with ``__part``, and for how many tasks: the left rows of a cell (``keys``) with very many pairs are dealt to parts by hash, its right ones stand in each part.
+
+    Spark takes listed rows for as few as their table has and would give them to a handful of tasks, so the number goes by the pairs of all cells.
+    """
+    count = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    cells = cut(count(left, "__l").join(count(right, "__r"), keys).withColumn("__w", F.col("__l").cast("double") * F.col("__r")))
+    pairs, rows = cells.agg(F.coalesce(F.sum("__w"), F.lit(0.0)), F.coalesce(F.sum(F.col("__l") + F.col("__r")), F.lit(0))).first()
+    # a row for every CELL pairs at most
+    large = F.broadcast(cells.where(F.col("__w") > CELL).select(*keys, F.ceil(F.col("__w") / CELL).cast("int").alias("__n")))
+    parts = F.coalesce("__n", F.lit(1))
+    one = left.join(large, keys, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__n")
+    two = right.join(large, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
+    return one, two, min(TASKS, 1 + int(pairs / TASK) + int(rows / ROWS))
+
+
+def _met(points: DataFrame, items: DataFrame, keys: list[str], ready: Callable[[pa.Table], object], find: Callable[[object, pa.RecordBatch], pa.RecordBatch], schema: str, every: bool = False) -> DataFrame:
+    """What ``find`` makes of points and the items of their cell (``keys``), which ``ready`` prepares; points of cells without items are left out unless ``every`` is set.
+
+    A task reads its cells as one sorted stream: it holds the items of one cell and a block of its points, and no pair leaves it. Columns of points and items have names of their own, but the keys.
+    """
+    one, two, n = _dealt(points, items, keys)
+    cell = F.xxhash64(*keys, "__part").alias("__cell")
+    own = lambda df, is_point: df.select(cell, F.lit(is_point).alias("__point"), *[c for c in df.columns if c not in (*keys, "__part")])
+    rows = own(two, False).unionByName(own(one, True), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, prepared = [], None, None
+        for batch in batches:
+            cells, is_point = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__cell", "__point"))
+            ends = np.flatnonzero((cells[1:] != cells[:-1]) | (is_point[1:] != is_point[:-1])) + 1
+            for a, b in pairwise([0, *ends.tolist(), len(cells)]):
+                if b > a and not is_point[a]:
+                    held = [*held, batch.slice(a, b - a)] if cells[a] == at else [batch.slice(a, b - a)]
+                    at, prepared = cells[a], None
+                elif b > a and (cells[a] == at or every):
+                    if cells[a] != at:
+                        held, at, prepared = [batch.slice(0, 0)], cells[a], None
+                    prepared = ready(pa.Table.from_batches(held)) if prepared is None else prepared
+                    step = max(1, BLOCK // max(1, sum(x.num_rows for x in held)))
+                    for c in range(a, b, step):
+                        yield find(prepared, batch.slice(c, min(step, b - c)))
+
+    return rows.repartition(n, "__cell").sortWithinPartitions("__cell", "__point").mapInArrow(run, schema)
+
+
+def _numbers(rows: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy() for c in names]
+
+
+def _kind(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
+def _in_cells(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float) -> tuple[DataFrame, DataFrame]:
+    """Points in their grid cell and boxes in each cell that they cover (``__cx``, ``__cy``); rows with a null scope or place meet nothing and are left out."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    there = lambda df, *cs: df.dropna(subset=[*scope, *cs])
+    listed = there(boxes, "x0", "x1", "y0", "y1").withColumn("__cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("__cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    return there(points, "x", "y").withColumns({"__cx": at("x"), "__cy": at("y")}), listed
+
+
+def _held(boxes: tuple, points: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """For points (rows) and boxes (columns) whether a box holds a point: in its interior, and with the border."""
+    x, y = (c[:, None] for c in _numbers(points, "x", "y"))
+    x0, x1, y0, y1 = boxes
+    return (x0 < x) & (x < x1) & (y0 < y) & (y < y1), (x0 <= x) & (x <= x1) & (y0 <= y) & (y <= y1)
+
+
+def listed_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float, point_id: str, box_id: str) -> DataFrame:
+    """V7: for each point the number ``n`` of its boxes, the box ``v`` if it is one, and all their ids as text, sorted and joined by commas (``names``).
+
+    A row for each point, those outside all boxes too; a point with a null scope, place or id is in none.
+    """
+    own, listed = _in_cells(points.select(*scope, point_id, "x", "y"), boxes.select(*scope, box_id, "x0", "x1", "y0", "y1"), scope, cell)
+    keys = [*scope, "__cx", "__cy"]
+    own = own.dropna(subset=[point_id]).select(*keys, F.struct(*scope, point_id).alias("__id"), "x", "y")
+    listed = listed.withColumn("__name", F.col(box_id).cast("string"))
+
+    def ready(items: pa.Table) -> tuple:
+        items = items.take(pc.sort_indices(items.column("__name")))
+        return _numbers(items, "x0", "x1", "y0", "y1"), items.column(box_id).combine_chunks(), items.column("__name").combine_chunks()
+
+    def find(prepared: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides, ids, names = prepared
+        _, inside = _held(sides, batch)
+        n, col = inside.sum(1), np.nonzero(inside)[1]
+        starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), names.take(pa.array(col))), ",")
+        sole = ids.take(pa.array(np.append(col, 0)[starts[:-1]], mask=n != 1))
+        return pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(n), sole, joined], names=["id", "n", "v", "names"])
+
+    found = _met(own, listed, keys, ready, find, f"id {_kind(own, '__id')}, n long, v {_kind(boxes, box_id)}, names string", every=True)
+    nowhere = points.where(F.greatest(*[F.col(c).isNull() for c in (*scope, point_id, "x", "y")]))
+    return found.select("id.*", "n", "v", "names").unionByName(nowhere.select(*scope, point_id, F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+
 
 def within_radius(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_xy=("x", "y"), right_xy=("x", "y")) -> DataFrame:
     """Every pair of a scope within ``radius``, border included, with ``distance``.
@@ -35,11 +143,10 @@ def containing_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], cell
 
     A box is listed in each grid cell that it covers; choose ``cell`` near the usual side of a box.
     """
-    covered = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    listed = boxes.withColumn("__cx", covered("x0", "x1")).withColumn("__cy", covered("y0", "y1"))
-    own = points.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
+    one, two, n = _dealt(*_in_cells(points, boxes, scope, cell), keys := [*scope, "__cx", "__cy"])
     inside = "x0 < x and x < x1 and y0 < y and y < y1" if strict else "x0 <= x and x <= x1 and y0 <= y and y <= y1"
-    return own.join(listed, [*scope, "__cx", "__cy"]).where(inside).drop("__cx", "__cy")
+    keys.append("__part")
+    return one.repartition(n, *keys).join(two.repartition(n, *keys), keys).where(inside).drop("__cx", "__cy", "__part")
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float, point_id: str, box_id: str) -> DataFrame:
