@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.plans.checkpoints import cut
 
-#: Pairs that a task compares, pairs from which a cell is dealt to several tasks, and rows of a task, all about; tasks at most; pairs in memory at once.
-TASK, CELL, ROWS, TASKS, BLOCK = 5_000_000, 20_000_000, 100_000, 4096, 1_000_000
+#: Pairs that a task compares, pairs from which a cell is dealt to several tasks, and rows of a task, all about; tasks at most; pairs in memory at once; boxes tried at once.
+TASK, CELL, ROWS, TASKS, BLOCK, STEP = 5_000_000, 20_000_000, 100_000, 4096, 1_000_000, 64
 
 
 def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, int]:
@@ -150,17 +150,48 @@ def containing_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], cell
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float, point_id: str, box_id: str) -> DataFrame:
-    """Each point's smallest box (ties: the least id), null outside all boxes."""
-    pairs = containing_boxes(points, boxes, scope, cell, box_id)
-    best = pairs.groupBy(point_id).agg(F.min(F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), F.col(box_id))).alias("b"))
+    """Each point's smallest box (ties: the least id), null outside all boxes.
+
+    A cell's boxes are tried from the smallest on, until each of its points has one.
+    """
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    own, listed = _in_cells(points.select(*scope, F.col(point_id).alias("__id"), "x", "y"), boxes.select(*scope, box_id, "x0", "x1", "y0", "y1", area.alias("area")), scope, cell)
+
+    def ready(items: pa.Table) -> pa.Table:
+        return items.take(pc.sort_indices(items, [("area", "ascending"), (box_id, "ascending")])).combine_chunks()
+
+    def find(items: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides, at, left = _numbers(items, "x0", "x1", "y0", "y1"), np.full(batch.num_rows, -1), np.arange(batch.num_rows)
+        for start in range(0, items.num_rows, STEP):
+            _, inside = _held(tuple(c[start : start + STEP] for c in sides), batch.take(pa.array(left)))
+            some = inside.any(1)
+            at[left[some]] = start + inside[some].argmax(1)
+            if not len(left := left[~some]):
+                break
+        has = np.flatnonzero(at >= 0)
+        best = items.take(pa.array(at[has]))
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(has)), *(best.column(c).combine_chunks() for c in ("area", box_id))], names=["id", "area", box_id])
+
+    found = _met(own, listed, [*scope, "__cx", "__cy"], ready, find, f"id {_kind(points, point_id)}, area double, {box_id} {_kind(boxes, box_id)}")
+    best = found.groupBy(F.col("id").alias(point_id)).agg(F.min(F.struct("area", box_id)).alias("b"))
     return points.join(best, point_id, "left").select(*points.columns, F.col(f"b.{box_id}").alias(box_id), F.col("b.area").alias("area"))
 
 
 def unique_owner(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float, point_id: str, box_id: str) -> DataFrame:
     """The one box whose interior holds a point while no other box even touches it; else null and the state none, ambiguous or contact."""
-    touching = containing_boxes(points, boxes, scope, cell, box_id)
-    inner = F.expr("x0 < x and x < x1 and y0 < y and y < y1")
-    counts = touching.groupBy(point_id).agg(F.count_if(inner).alias("owners"), F.count_if(~inner).alias("contacts"), F.min(F.when(inner, F.col(box_id))).alias("b"))
+    own, listed = _in_cells(points.select(*scope, F.col(point_id).alias("__id"), "x", "y"), boxes.select(*scope, box_id, "x0", "x1", "y0", "y1"), scope, cell)
+    ready = lambda items: (_numbers(items, "x0", "x1", "y0", "y1"), items.column(box_id).combine_chunks())
+
+    def find(items: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
+        inner, touched = _held(items[0], batch)
+        some = np.flatnonzero(touched.any(1))
+        inner, touched = inner[some], touched[some]
+        owners = inner.sum(1)
+        b = items[1].take(pa.array(inner.argmax(1), mask=owners == 0))
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(some)), pa.array(owners), pa.array(touched.sum(1) - owners), b], names=["id", "owners", "contacts", "b"])
+
+    found = _met(own, listed, [*scope, "__cx", "__cy"], ready, find, f"id {_kind(points, point_id)}, owners long, contacts long, b {_kind(boxes, box_id)}")
+    counts = found.groupBy(F.col("id").alias(point_id)).agg(F.sum("owners").alias("owners"), F.sum("contacts").alias("contacts"), F.min("b").alias("b"))
     out = points.join(counts, point_id, "left")
     state = F.when(F.col("owners").isNull(), "none").when(F.col("contacts") > 0, "contact").when(F.col("owners") > 1, "ambiguous").otherwise("owned")
     return out.withColumn("state", state).select(*points.columns, "state", F.when(F.col("state") == "owned", F.col("b")).alias(box_id))

@@ -40,3 +40,17 @@ def test_points_of_one_id_share_their_views(spark):
     v = spark.createDataFrame([(3, "s", 0.0, 2.0, 0.0, 2.0), (10, "s", 8.0, 10.0, 8.0, 10.0)], "view_id int, s string, x0 double, x1 double, y0 double, y1 double")
     got = sorted((r["point_id"], r["owner"], r["views"], r["issue"]) for r in evidence.owned_points(p, v, ["s"], cell=5.0).collect() if r["point_id"] == 2) + sorted((r["point_id"], r["views"]) for r in evidence.owned_points(p, v, ["s"], cell=5.0).collect() if r["point_id"] == 1)
     assert got == [(2, 3, "3", None), (1, "10,3"), (1, "10,3")]
+
+
+def test_smallest_box_and_owner_list_no_pairs(spark):
+    points, boxes, p, b = dense(spark, 400, 2)
+    smallest, owner = spatial.smallest_box(p, b, ["s"], 9.0, "p", "b"), spatial.unique_owner(p, b, ["s"], 9.0, "p", "b")
+    assert not [x for x in joins(smallest) + joins(owner) if "__cx" in x and "Inner" in x]
+    got = {r["p"]: (r["area"], r["b"]) for r in smallest.collect()}
+    states = {r["p"]: (r["state"], r["b"]) for r in owner.collect()}
+    for q in points:
+        held = holding(q, boxes)
+        assert got[q[0]] == min((((x[3] - x[2]) * (x[5] - x[4]), x[0]) for x in held), default=(None, None))
+        inner = [x[0] for x in held if x[2] < q[2] < x[3] and x[4] < q[3] < x[5]]
+        want = "none" if not held else "contact" if len(held) > len(inner) else "ambiguous" if len(inner) > 1 else "owned"
+        assert states[q[0]] == (want, inner[0] if want == "owned" else None)
