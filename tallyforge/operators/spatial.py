@@ -114,21 +114,29 @@ def listed_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], cell: fl
     return found.select("id.*", "n", "v", "names").unionByName(nowhere.select(*scope, point_id, F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
 
 
+def _around(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_xy=("x", "y"), right_xy=("x", "y")) -> tuple[DataFrame, DataFrame]:
+    """Left rows in their cell of a grid of side ``radius`` and the eight around it, right ones in their own (``__cx``, ``__cy``), with their places as ``__lx``, ``__ly``, ``__rx``, ``__ry``; rows without a scope or place are left out."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = left.dropna(subset=[*scope, *left_xy]).withColumn("__s", F.explode(steps)).withColumns({"__cx": cell(left_xy[0]) + F.col("__s.a"), "__cy": cell(left_xy[1]) + F.col("__s.b"), "__lx": F.col(left_xy[0]), "__ly": F.col(left_xy[1])}).drop("__s")
+    own = right.dropna(subset=[*scope, *right_xy]).withColumns({"__cx": cell(right_xy[0]), "__cy": cell(right_xy[1]), "__rx": F.col(right_xy[0]), "__ry": F.col(right_xy[1])})
+    return near, own
+
+
 def within_radius(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_xy=("x", "y"), right_xy=("x", "y")) -> DataFrame:
     """Every pair of a scope within ``radius``, border included, with ``distance``.
 
     Points meet in the cells of a grid of side ``radius``: the right points once, the left ones in their own and the eight
-    cells around. Columns of the right side but the scope must have names of their own.
+    cells around. Columns of the right side but the scope must have names of their own. Tasks get about equal numbers of pairs.
     """
-    lx, ly = left_xy
-    rx, ry = right_xy
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    cell = lambda c: F.floor(F.col(c) / radius)
-    near = left.withColumn("__s", F.explode(steps)).withColumns({"__cx": cell(lx) + F.col("__s.a"), "__cy": cell(ly) + F.col("__s.b")}).drop("__s")
-    own = right.withColumns({"__cx": cell(rx), "__cy": cell(ry), "__rx": F.col(rx), "__ry": F.col(ry)}).drop(*{rx, ry} & set(left.columns))
-    pairs = near.join(own, [*scope, "__cx", "__cy"])
-    distance = F.sqrt((F.col(lx) - F.col("__rx")) ** 2 + (F.col(ly) - F.col("__ry")) ** 2)
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).drop("__cx", "__cy", "__rx", "__ry")
+    near, own = _around(left, right, scope, radius, left_xy, right_xy)
+    own = own.drop(*{*right_xy} & set(left.columns))
+    keys = [*scope, "__cx", "__cy"]
+    one, two, n = _dealt(near, own, keys)
+    keys.append("__part")
+    pairs = one.repartition(n, *keys).join(two.repartition(n, *keys), keys)
+    distance = F.sqrt((F.col("__lx") - F.col("__rx")) ** 2 + (F.col("__ly") - F.col("__ry")) ** 2)
+    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).drop("__cx", "__cy", "__part", "__lx", "__ly", "__rx", "__ry")
 
 
 def nearest(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_id: str, right_id: str, **xy) -> DataFrame:

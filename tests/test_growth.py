@@ -54,3 +54,20 @@ def test_smallest_box_and_owner_list_no_pairs(spark):
         inner = [x[0] for x in held if x[2] < q[2] < x[3] and x[4] < q[3] < x[5]]
         want = "none" if not held else "contact" if len(held) > len(inner) else "ambiguous" if len(inner) > 1 else "owned"
         assert states[q[0]] == (want, inner[0] if want == "owned" else None)
+
+
+def test_radius_join_is_dealt_by_its_pairs(spark, monkeypatch):
+    """One cell with nearly all pairs goes to several tasks, and the number of tasks goes by the pairs."""
+    monkeypatch.setattr(spatial, "TASK", 1000)
+    monkeypatch.setattr(spatial, "CELL", 2000)
+    rng = random.Random(4)
+    a = [(i, rng.uniform(0, 8), rng.uniform(0, 8)) for i in range(150)] + [(150, None, 1.0)]
+    b = [(i, rng.uniform(0, 8), rng.uniform(0, 8)) for i in range(150)] + [(150, 1.0, None)]
+    left = spark.createDataFrame(a, "a long, x double, y double").withColumn("s", F.lit(1))
+    right = spark.createDataFrame(b, "b long, u double, v double").withColumn("s", F.lit(1))
+    pairs = spatial.within_radius(left, right, ["s"], 9.0, right_xy=("u", "v"))
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, j) for i, x, y in a[:-1] for j, u, v in b[:-1] if ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 9.0}
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    most = max(sum(r["task"] == t for r in got) for t in {r["task"] for r in got})
+    assert most < len(want) / 3
