@@ -139,11 +139,30 @@ def within_radius(left: DataFrame, right: DataFrame, scope: list[str], radius: f
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).drop("__cx", "__cy", "__part", "__lx", "__ly", "__rx", "__ry")
 
 
-def nearest(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_id: str, right_id: str, **xy) -> DataFrame:
-    """Each left row's nearest right row within the radius (ties: the least id), null if there is none, and whether another is as near."""
-    pairs = within_radius(left, right, scope, radius, **xy)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"), F.count("*").alias("within"))
-    return left.join(best, left_id, "left").select(*left.columns, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance"), F.coalesce("within", F.lit(0)).alias("within"))
+def nearest(left: DataFrame, right: DataFrame, scope: list[str], radius: float, left_id: str, right_id: str, left_xy=("x", "y"), right_xy=("x", "y")) -> DataFrame:
+    """Each left row's nearest right row within the radius (ties: the least id), null if there is none, and how many are within it.
+
+    A task keeps of a left row and a cell one nearest right row and a count, and no pairs.
+    """
+    own, near = _around(right, left, scope, radius, right_xy, left_xy)  # the right rows stand in nine cells, so a left one has all of its own in one cell
+    keys = [*scope, "__cx", "__cy"]
+    near, own = near.select(*keys, F.col(left_id).alias("__id"), "__rx", "__ry"), own.select(*keys, F.col(right_id).alias("__other"), "__lx", "__ly")
+    ready = lambda items: items.take(pc.sort_indices(items.column("__other"))).combine_chunks()
+
+    def find(items: pa.Table, batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (c[:, None] for c in _numbers(batch, "__rx", "__ry"))
+        sx, sy = _numbers(items, "__lx", "__ly")
+        d = np.sqrt((x - sx) ** 2 + (y - sy) ** 2)
+        inside = d <= radius
+        d[~inside] = np.inf
+        within, best = inside.sum(1), d.argmin(1)
+        some = np.flatnonzero(within)
+        other = items.column("__other").combine_chunks().take(pa.array(best[some]))
+        return pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(some)), pa.array(d[some, best[some]]), other, pa.array(within[some])], names=["id", "distance", "other", "within"])
+
+    found = _met(near, own, keys, ready, find, f"id {_kind(left, left_id)}, distance double, other {_kind(right, right_id)}, within long")
+    best = found.groupBy(F.col("id").alias(left_id)).agg(F.min(F.struct("distance", "other")).alias("b"), F.sum("within").alias("within"))
+    return left.join(best, left_id, "left").select(*left.columns, F.col("b.other").alias(right_id), F.col("b.distance").alias("distance"), F.coalesce("within", F.lit(0)).alias("within"))
 
 
 def containing_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], cell: float, box_id: str, strict: bool = False) -> DataFrame:

@@ -71,3 +71,17 @@ def test_radius_join_is_dealt_by_its_pairs(spark, monkeypatch):
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
     most = max(sum(r["task"] == t for r in got) for t in {r["task"] for r in got})
     assert most < len(want) / 3
+
+
+def test_nearest_lists_no_pairs(spark):
+    rng = random.Random(5)
+    a = [(i, float(rng.randrange(30)), float(rng.randrange(30))) for i in range(200)] + [(200, None, 1.0), (201, 99.0, 99.0)]
+    b = [(i, float(rng.randrange(30)), float(rng.randrange(30))) for i in range(200)]
+    left = spark.createDataFrame(a, "a long, x double, y double").withColumn("s", F.lit("s"))
+    right = spark.createDataFrame(b, "b long, u double, v double").withColumn("s", F.lit("s"))
+    out = spatial.nearest(left, right, ["s"], 5.0, "a", "b", right_xy=("u", "v"))
+    assert not [x for x in joins(out) if "__cx" in x and "Inner" in x]
+    got = {r["a"]: (r["distance"], r["b"], r["within"]) for r in out.collect()}
+    for i, x, y in a:
+        near = [] if x is None else [(d, j) for j, u, v in b if (d := ((x - u) ** 2 + (y - v) ** 2) ** 0.5) <= 5.0]
+        assert got[i] == (*min(near, default=(None, None)), len(near))
