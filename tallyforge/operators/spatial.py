@@ -8,7 +8,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.plans.checkpoints import cut
@@ -227,13 +227,33 @@ def unique_owner(points: DataFrame, boxes: DataFrame, scope: list[str], cell: fl
 def inherited_code(orphans: DataFrame, frames: DataFrame, scope: list[str], least_gap: float = 5000.0) -> DataFrame:
     """The code of the frame with the least (vertical gap, horizontal distance, id) of its scope within max(5000, two heights).
 
-    Orphans have id, x, y and h; frames have frame_id, code, fx and fy. Null without one. They meet in bands of y: a frame in its own, an orphan in
-    those within its reach.
+    Orphans have id, x, y and h; frames have frame_id, code, fx and fy. Null without one. The nearest lines of frames above and below an orphan, then the nearest frames
+    left and right on them, are found by sorted windows, so no pairs are listed.
     """
     reach = F.greatest(F.lit(least_gap), 2 * F.coalesce(F.col("h"), F.lit(0.0)))
-    band = lambda c: F.floor(c / least_gap)
-    listed = orphans.withColumn("__band", F.explode(F.sequence(band(F.col("y") - reach), band(F.col("y") + reach))))
-    gap, side = F.abs(F.col("y") - F.col("fy")), F.abs(F.col("x") - F.col("fx"))
-    pairs = listed.join(frames.withColumn("__band", band(F.col("fy"))), [*scope, "__band"]).where(gap <= reach)
-    best = pairs.groupBy("id").agg(F.min(F.struct(gap.alias("gap"), side.alias("side"), "frame_id", "code")).alias("b"))
-    return orphans.join(best, "id", "left").select(*orphans.columns, F.col("b.code").alias("code"), F.col("b.frame_id").alias("frame_id"))
+    known = lambda df, *cs: df.dropna(subset=[*scope, *cs])
+    framed = known(frames, "fy").where("not isnan(fy)").withColumn("f", F.struct("frame_id", "code"))
+    # a line: the frames of one height; its first frame serves where no horizontal distance is known
+    lines = framed.groupBy(*scope, "fy").agg(F.min("f").alias("f")).select(*scope, F.col("fy").alias("at"), F.struct("fy", "f").alias("line"))
+    heights = known(orphans, "y").where("not isnan(y)").select(*scope, F.col("y").alias("at")).distinct()
+    both = _beside(heights.withColumn("orphan", F.lit(True)).unionByName(lines, allowMissingColumns=True), scope, "at", "line").where("orphan")
+    gap = lambda c: F.abs(F.col("at") - F.col(f"{c}.fy"))
+    nearer = F.when(F.col("low").isNull() | (gap("high") < gap("low")), F.array("high")).when(F.col("high").isNull() | (gap("low") < gap("high")) | (F.col("low.fy") == F.col("high.fy")), F.array("low")).otherwise(F.array("low", "high"))
+    on = both.select(*scope, F.col("at").alias("y"), F.explode(nearer).alias("line")).where("line is not null")
+    sought = orphans.join(on, [*scope, "y"]).withColumn("gap", F.abs(F.col("y") - F.col("line.fy"))).where(F.col("gap") <= reach)
+    sought = sought.select(*scope, "id", "gap", F.col("line.fy").alias("fy"), F.col("line.f").alias("any"), F.when(~F.isnan("x"), F.col("x")).alias("at"))
+    placed = known(framed, "fx").where("not isnan(fx)").groupBy(*scope, "fy", "fx").agg(F.min("f").alias("f"))
+    placed = placed.select(*scope, "fy", F.col("fx").alias("at"), F.struct("fx", "f").alias("place"))
+    ends = _beside(sought.withColumn("orphan", F.lit(True)).unionByName(placed, allowMissingColumns=True), [*scope, "fy"], "at", "place").where("orphan")
+    side = lambda c: F.abs(F.col("at") - F.col(f"{c}.fx"))
+    there = lambda c: F.when(side(c).isNotNull(), F.struct("gap", F.lit(False).alias("unknown"), side(c).alias("side"), F.col(f"{c}.f").alias("f")))
+    best = F.least(there("low"), there("high"), F.struct("gap", F.lit(True).alias("unknown"), F.lit(0.0).alias("side"), F.col("any").alias("f")))
+    found = ends.groupBy("id").agg(F.min(best).alias("b"))
+    return orphans.join(found, "id", "left").select(*orphans.columns, F.col("b.f.code").alias("code"), F.col("b.f.frame_id").alias("frame_id"))
+
+
+def _beside(rows: DataFrame, scope: list[str], at: str, value: str) -> DataFrame:
+    """``rows`` with the non-null ``value`` that is next at or before their place (``low``) and at or after it (``high``)."""
+    window = Window.partitionBy(*scope)
+    low, high = (F.last(value, ignorenulls=True).over(window.orderBy(order)) for order in (F.asc(at), F.desc(at)))
+    return rows.withColumn("low", low).withColumn("high", high)

@@ -85,3 +85,16 @@ def test_nearest_lists_no_pairs(spark):
     for i, x, y in a:
         near = [] if x is None else [(d, j) for j, u, v in b if (d := ((x - u) ** 2 + (y - v) ** 2) ** 0.5) <= 5.0]
         assert got[i] == (*min(near, default=(None, None)), len(near))
+
+
+def test_inherited_code_lists_no_pairs(spark):
+    rng = random.Random(7)
+    orphans = [(i, "s", float(rng.randrange(20)), float(rng.randrange(0, 40000, 500)), rng.choice([10.0, None, 4000.0])) for i in range(300)] + [(300, "s", None, 1000.0, 1.0), (301, "s", 1.0, None, 1.0), (302, "t", 1.0, 1.0, 1.0)]
+    frames = [(i, "s", f"c{i}", float(rng.randrange(20)), float(rng.randrange(0, 40000, 1000))) for i in range(200)]
+    o, f = spark.createDataFrame(orphans, "id int, s string, x double, y double, h double"), spark.createDataFrame(frames, "frame_id int, s string, code string, fx double, fy double")
+    out = spatial.inherited_code(o, f, ["s"])
+    assert not [x for x in joins(out) if "__band" in x]
+    got = {r["id"]: r["frame_id"] for r in out.collect()}
+    for i, s, x, y, h in orphans:
+        near = [(abs(y - fy), abs((x or 0) - fx) if x is not None else 0, n) for n, t, _, fx, fy in frames if s == t and abs(y - fy) <= max(5000.0, 2 * (h or 0))] if y is not None else []
+        assert got[i] == (min(near)[2] if near else None)
