@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evidence, spatial
+from tallyforge.operators import catalog, evidence, pricing, spatial
+from tallyforge.plans import checkpoints
+from tallyforge.plans.queries import QUERIES
 
 
 def joins(df) -> list[str]:
@@ -98,3 +100,10 @@ def test_inherited_code_lists_no_pairs(spark):
     for i, s, x, y, h in orphans:
         near = [(abs(y - fy), abs((x or 0) - fx) if x is not None else 0, n) for n, t, _, fx, fy in frames if s == t and abs(y - fy) <= max(5000.0, 2 * (h or 0))] if y is not None else []
         assert got[i] == (min(near)[2] if near else None)
+
+
+def test_conflicts_shuffle_a_row_for_each_key(spark):
+    rows = [(1, "a", "x"), (1, "b", "y"), (1, None, "z"), (2, "a", "x"), (2, "a", "y"), (3, "a", "x"), (3, "b", "x"), (4, "a", None), (4, "b", "y"), (5, "b", "y"), (5, "a", "x"), (5, "c", "y"), (None, "a", "x"), (None, "b", "y")]
+    out = pricing.cross_source_conflicts(spark.createDataFrame(rows, "k int, v string, s string"), "k", "v", "s")
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"] or 0, r["values"], r["sources"], r["status"]) for r in out.collect()) == [(0, 2, "x|y", "BLOCK"), (1, 2, "x|y", "BLOCK"), (5, 3, "x|y", "BLOCK")]
