@@ -155,16 +155,16 @@ def reciprocal_links(callouts: DataFrame, pages: DataFrame) -> DataFrame:
 def phrase_codes(mentions: DataFrame, phrases: DataFrame) -> DataFrame:
     """Each mention (mention, text) with the code of the phrases (phrase, code) that its text has as whole words: one code gives REVIEW, several BLOCK, none null.
 
-    Mentions and phrases meet on the phrase's first word, then by containment.
+    Mentions' runs of words, of each number of words that a phrase has, are looked up among the phrases: words end at single spaces, case doesn't matter. A run meets one row, however many phrases begin alike.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\S+)"), F.lit(1)))
-    spread = mentions.withColumn("__w", F.explode(words))
-    keyed = phrases.withColumn("__w", F.regexp_extract(F.lower("phrase"), r"^(\S+)", 1))
-    space = F.lit(" ")
-    hits = spread.join(keyed, "__w").where(F.lower(F.concat(space, "text", space)).contains(F.lower(F.concat(space, "phrase", space))))
-    found = hits.groupBy("mention").agg(F.count_distinct("code").alias("codes"), F.min("code").alias("code"))
+    words = lambda c: F.split(F.lower(c), " ")
+    known = phrases.groupBy(F.lower("phrase").alias("__run")).agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    lengths = [r[0] for r in phrases.select(F.size(words("phrase"))).where(F.col("phrase").isNotNull()).distinct().collect()]  # numbers of words, of which there are few
+    runs = mentions.select("mention", words("text").alias("__w"), F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")).alias("__n")).where(F.size("__w") >= F.col("__n"))
+    runs = runs.select("mention", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - F.col("__n") + 1), lambda i: F.array_join(F.slice("__w", i, F.col("__n")), " ")))).alias("__run"))
+    found = runs.join(known, "__run").groupBy("mention").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     out = mentions.join(found, "mention", "left")
-    return out.select("mention", F.when(F.col("codes") == 1, F.col("code")).alias("code"), F.when(F.col("codes") == 1, "REVIEW").when(F.col("codes") > 1, "BLOCK").alias("status"))
+    return out.select("mention", F.when(F.col("low") == F.col("high"), F.col("low")).alias("code"), F.when(F.col("low") == F.col("high"), "REVIEW").when(F.col("low") < F.col("high"), "BLOCK").alias("status"))
 
 
 def reuse_audit(records: DataFrame, identity: Column, name: str, stage: str) -> DataFrame:

@@ -107,3 +107,16 @@ def test_conflicts_shuffle_a_row_for_each_key(spark):
     out = pricing.cross_source_conflicts(spark.createDataFrame(rows, "k int, v string, s string"), "k", "v", "s")
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["k"] or 0, r["values"], r["sources"], r["status"]) for r in out.collect()) == [(0, 2, "x|y", "BLOCK"), (1, 2, "x|y", "BLOCK"), (5, 3, "x|y", "BLOCK")]
+
+
+def test_phrases_of_one_first_word_are_not_compared(spark):
+    """Whole phrases are looked up, however many begin with one word; odd spaces and phrases without codes count as in SQL."""
+    phrases = [(f"red {i}", f"c{i}") for i in range(300)] + [("Red 1", "c1"), ("red 2 b", "d"), (" lead", "e"), ("x\ty", "f"), ("none", None), (None, "g"), ("", "h")]
+    mentions = [(1, "a RED 1 b"), (2, "red 2 b"), (3, "xred 1"), (4, "red 17"), (5, "  lead"), (6, "x\ty z"), (7, "none"), (8, None), (9, "red 1 and red 5"), (10, "red 3 red 3")]
+    p, m = spark.createDataFrame(phrases, "phrase string, code string"), spark.createDataFrame(mentions, "mention int, text string")
+    out = catalog.phrase_codes(m, p)
+    assert "Contains" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "contains(" not in plan.lower()
+    got = {r["mention"]: (r["code"], r["status"]) for r in out.collect()}
+    for i, text in mentions:
+        codes = {c for q, c in phrases if text is not None and q is not None and c is not None and f" {q} ".lower() in f" {text} ".lower()}
+        assert got[i] == (min(codes) if len(codes) == 1 else None, "REVIEW" if len(codes) == 1 else "BLOCK" if codes else None), i
