@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import evidence
+from tallyforge.plans.checkpoints import spread
 from tallyforge.plans.registry import query, table
 
 
@@ -42,7 +43,7 @@ def strip_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = F.array(point(zero, zero), point(w, zero), point(w, one), point(one, one), point(one, w + 5), point(zero, w + 5))
     plate = F.array(point(zero, zero), point(w, zero), point(w, w), point(zero, w))
     s = evidence.strip_profile(F.when(F.col("p_partkey") % 3 > 0, angle).otherwise(plate))
-    return table(spark, sf_dir, "part").select("p_partkey", s.alias("s")).select("p_partkey", "s.state", F.round("s.thickness", 6).alias("thickness"), F.round("s.centre_length", 6).alias("centre_length"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", s.alias("s")).select("p_partkey", "s.state", F.round("s.thickness", 6).alias("thickness"), F.round("s.centre_length", 6).alias("centre_length"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber AS profile_id, l_suppkey % 50 AS g, l_returnflag = 'A' AS supported, CASE WHEN l_tax > 0.07 THEN 'tax' END AS issue, l_suppkey % 50 = 7 AND l_linenumber = 7 AS truncated FROM lineitem),

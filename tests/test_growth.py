@@ -120,3 +120,14 @@ def test_phrases_of_one_first_word_are_not_compared(spark):
     for i, text in mentions:
         codes = {c for q, c in phrases if text is not None and q is not None and c is not None and f" {q} ".lower() in f" {text} ".lower()}
         assert got[i] == (min(codes) if len(codes) == 1 else None, "REVIEW" if len(codes) == 1 else "BLOCK" if codes else None), i
+
+
+def tasks(spark, df) -> int:
+    return df.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+
+
+def test_outlines_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypatch):
+    spark.range(600).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(checkpoints, "ROWS", 100, raising=False)
+    out = QUERIES["strip_profiles"](spark, str(tmp_path))
+    assert tasks(spark, out) == 7 and out.where("state = 'UNIQUE'").count() == 400
