@@ -140,8 +140,9 @@ def formula(expression: Column, symbols: Column) -> Column:
 
     @F.pandas_udf(QUANTITY)
     def apply(text: pd.Series, names: pd.Series) -> pd.Series:
-        bound = [{k: Decimal(repr(v)) for k, v in (dict(m) if m is not None else {}).items() if v is not None} for m in names]
-        return pd.Series([_rounded(evaluate(t, n, _multiplier)) for t, n in zip(text, bound)], dtype=object)
+        rows = [(t, frozenset((k, v) for k, v in (dict(m) if m is not None else {}).items() if v is not None)) for t, m in zip(text, names)]
+        known = {row: _rounded(evaluate(row[0], {k: Decimal(repr(v)) for k, v in row[1]}, _multiplier)) for row in set(rows)}  # each distinct row is parsed once a batch
+        return pd.Series([known[row] for row in rows], dtype=object)
 
     return apply(expression, symbols)
 
@@ -168,7 +169,7 @@ def excel_formula(text: pd.Series) -> pd.Series:
         except (SyntaxError, ValueError, RecursionError):
             return None
 
-    return text.map(compile_one, na_action="ignore")
+    return text.map({t: compile_one(t) for t in text.dropna().unique()}).where(text.notna(), None)
 
 
 def unit_of(method: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import numeric, text
 from tallyforge.operators import catalog, matching, rules
+from tallyforge.plans.checkpoints import spread
 from tallyforge.plans.registry import query, table
 
 
@@ -315,7 +316,7 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_partkey % 2 = 0 THEN '=(((I{row}*J{row})*K{row})/1000000)' ELSE '=((J{row}*K{row})/1000)' END AS formula FROM part""")
 def safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions over part sizes, by a parser in Arrow batches."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("", F.lit("("), "p_size", F.lit("+3)×2-"), F.col("p_partkey") % 5, F.lit("/4")).alias("e"), F.when(F.col("p_partkey") % 2 == 0, "width_mm*length_mm*quantity/1000000").otherwise("length_mm*quantity/1000").alias("d"), "p_size")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat_ws("", F.lit("("), "p_size", F.lit("+3)×2-"), F.col("p_partkey") % 5, F.lit("/4")).alias("e"), F.when(F.col("p_partkey") % 2 == 0, "width_mm*length_mm*quantity/1000000").otherwise("length_mm*quantity/1000").alias("d"), "p_size")
     unit = F.when(F.col("p_partkey") % 2 == 0, "㎡").otherwise("m")
     size = F.col("p_size").cast("double")
     return parts.select("p_partkey", numeric.arithmetic("e").cast("double").alias("value"), numeric.dimensional_quantity("d", unit, size * 10, size * 100, F.lit(2.0)).cast("double").alias("quantity"), numeric.formula(F.lit("2*a-b"), F.create_map(F.lit("a"), size, F.lit("b"), F.lit(1.0))).cast("double").alias("derived"), numeric.excel_formula("d").alias("formula"))

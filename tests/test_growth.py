@@ -131,3 +131,10 @@ def test_outlines_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(checkpoints, "ROWS", 100, raising=False)
     out = QUERIES["strip_profiles"](spark, str(tmp_path))
     assert tasks(spark, out) == 7 and out.where("state = 'UNIQUE'").count() == 400
+
+
+def test_expressions_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypatch):
+    spark.range(600).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(checkpoints, "ROWS", 100, raising=False)
+    out = QUERIES["safe_arithmetic"](spark, str(tmp_path))
+    assert tasks(spark, out) == 7 and sorted(r["derived"] for r in out.collect()) == sorted(2.0 * (i % 50) - 1 for i in range(600))
