@@ -162,8 +162,8 @@ def phrase_codes(mentions: DataFrame, phrases: DataFrame) -> DataFrame:
     lengths = [r[0] for r in phrases.select(F.size(words("phrase"))).where(F.col("phrase").isNotNull()).distinct().collect()]  # numbers of words, of which there are few
     runs = mentions.select("mention", words("text").alias("__w"), F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>")).alias("__n")).where(F.size("__w") >= F.col("__n"))
     runs = runs.select("mention", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - F.col("__n") + 1), lambda i: F.array_join(F.slice("__w", i, F.col("__n")), " ")))).alias("__run"))
-    found = runs.join(known, "__run").groupBy("mention").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    out = mentions.join(found, "mention", "left")
+    found = runs.join(known.hint("merge"), "__run").groupBy("mention").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    out = mentions.join(found.hint("merge"), "mention", "left")  # Spark takes exploded rows for few and would broadcast them
     return out.select("mention", F.when(F.col("low") == F.col("high"), F.col("low")).alias("code"), F.when(F.col("low") == F.col("high"), "REVIEW").when(F.col("low") < F.col("high"), "BLOCK").alias("status"))
 
 
