@@ -1,6 +1,9 @@
 """Drawings in their own encoding and in space: line ends, code pages, extrusion, arrays."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.sources import drawings
 
@@ -78,3 +81,29 @@ def test_deep_nesting(spark):
     whole = read(spark, content)
     assert [(r["x"], r["y"], r["truncated"]) for r in whole if r["kind"] == "POINT"] == [(6.0, -1.0, False)]
     assert not any(r["kind"] == "POINT" for r in read(spark, content, 3)) and all(r["truncated"] for r in read(spark, content, 3))
+
+
+def test_small_files_share_a_batch(spark):
+    types = to_arrow_schema(T.StructType.fromDDL(drawings.RECORD))
+    content = dxf(*texts("one", "two"), 0, "DIMENSION", 5, "D", 10, 1, 20, 3, 13, 1, 23, 1, 14, 11, 24, 1, 33, 5, 34, 6)
+    given = [pa.RecordBatch.from_pylist([{"path": f"{b}/{k}", "content": content} for k in range(50)]) for b in range(2)]
+    (out,) = drawings._read(iter(given), types)
+    rows = out.to_pylist()
+    assert [(r["path"], r["number"]) for r in rows] == [(f"{b}/{k}", n) for b in range(2) for k in range(50) for n in range(3)]
+    assert all(r["points"] == [{"x": 1.0, "y": 3.0, "z": 0.0}] and r["style_points"] == [{"x": 1.0, "y": 1.0, "z": 5.0}, {"x": 11.0, "y": 1.0, "z": 6.0}] for r in rows[2::3])
+    large = pa.RecordBatch.from_pylist([{"path": "l", "content": dxf(*texts(*"x" * drawings.BATCH))}])
+    assert [b.num_rows for b in drawings._read(iter([large]), types)] == [drawings.BATCH // 2] * 2
+
+
+def test_nested_arrays_and_missing_handles(spark):
+    line = (0, "LINE", 5, "L", 10, 0, 20, 0, 11, 1, 21, 0)
+    blocks = (0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "B", 10, 0, 20, 0, *line, 0, "POINT", 10, 1, 20, 1, 0, "LWPOLYLINE", 5, "P", *[x for k in range(6) for x in (10, k, 20, k * k)], 0, "ENDBLK")
+    nested = (0, "BLOCK", 2, "N", 10, 1, 20, 0, 0, "INSERT", 5, "I", 2, "B", 10, 2, 20, 0, 70, 2, 44, 10, 0, "INSERT", 2, "B", 10, 0, 20, 5, 0, "INSERT", 5, "Q", 2, "none", 10, 0, 20, 0, 0, "ENDBLK", 0, "ENDSEC")
+    inserts = (0, "INSERT", 5, "A", 2, "N", 10, 100, 20, 0, 0, "INSERT", 2, "N", 10, 0, 20, 100, 50, 90, 0, "INSERT", 5, "S", 2, "B", 10, -5, 20, 0, 41, 2)
+    rows = read(spark, dxf(*inserts, head=(*blocks, *nested)))
+    at = lambda kind: sorted((r["level"], r["handle"], round(r["x"], 6), round(r["y"], 6)) for r in rows if r["kind"] == kind)
+    assert at("LINE") == sorted([(2, "A/I[0,0]/L", 101.0, 0.0), (2, "A/I[1,0]/L", 111.0, 0.0), (2, "A/L", 99.0, 5.0), (2, "I[0,0]/L", 0.0, 101.0), (2, "I[1,0]/L", 0.0, 111.0), (2, "L", -5.0, 99.0), (1, "S/L", -5.0, 0.0)])
+    assert at("POINT")[0] == (1, "S", -3.0, 1.0) and len(at("POINT")) == 7
+    (wide,) = [r for r in rows if r["handle"] == "S/P"]
+    assert (wide["x0"], wide["x1"], wide["y0"], wide["y1"]) == (-5.0, 5.0, 0.0, 25.0)
+    assert len([r for r in rows if r["text"] == "none"]) == 2
