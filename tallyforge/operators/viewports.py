@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,14 @@ from tallyforge.plans.checkpoints import cut
 GAP_RATIO = 0.06
 #: Places count as equal within this part of an edge, and within LEAST units at least. Fixed values of the rules.
 PART, LEAST = 1e-7, 1e-6
+#: Segments or views of a scope whose faces or chains one task finds at once, and of a group of such scopes.
+WHOLE, GROUP = 50_000, 100_000
+#: A view's box on paper and in the model.
+BOXES = ("x0", "y0", "x1", "y1", "mx0", "my0", "mx1", "my1")
+#: Places from here on are left to the graph, and pairs of views that a task compares at once.
+FAR, PAIRS = 1e12, 1_000_000
+#: Odd factors of a cell's hash. Fixed values.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def fragment_edges(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -> DataFrame:
@@ -28,11 +38,10 @@ def fragment_edges(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -
     each other with a gap. A box that is empty or has a null has no neighbours. Views meet in cells of edge size, level and place, so the work follows
     the neighbours, not the pairs of a sheet.
     """
-    boxes = ("x0", "y0", "x1", "y1", "mx0", "my0", "mx1", "my1")
     sound = F.lit(True)
     for low, high in (("x0", "x1"), ("y0", "y1"), ("mx0", "mx1"), ("my0", "my1")):
         sound &= F.col(low) < F.col(high)
-    own = views.select(scope, "view_id", "scale", *boxes).where(sound & (F.col("scale") > 0))
+    own = views.select(scope, "view_id", "scale", *BOXES).where(sound & (F.col("scale") > 0))
     found = None
     for axis, (a, c) in (("x", ("x", "y")), ("y", ("y", "x"))):
         edge = F.col(f"{c}1") - F.col(f"{c}0")
@@ -60,8 +69,89 @@ def fragment_edges(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -
     return found.distinct()
 
 
-def view_chains(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO) -> DataFrame:
-    """(scope, view_id, chain, parts, x0, y0, x1, y1): each view's chain of neighbouring parts, named by its least view, with the box around all of them; a view without neighbours is a chain of its own."""
+def view_chains(views: DataFrame, scope: str, gap_ratio: float = GAP_RATIO, whole: int = WHOLE) -> DataFrame:
+    """(scope, view_id, chain, parts, x0, y0, x1, y1): each view's chain of neighbouring parts, named by its least view, with the box around all of them; a view without neighbours is a chain of its own.
+
+    Scopes of up to ``whole`` views are dealt out whole, many to a task, which finds the neighbours in the same cells as ``fragment_edges``; in larger ones, and in those with views without an id or places
+    beyond FAR or NaN, the chains are components of a graph.
+    """
+    views = views.select(scope, "view_id", "scale", *BOXES).where(F.col(scope).isNotNull())
+    odd = F.col("view_id").isNull()
+    for c in ("scale", *BOXES):
+        odd |= F.coalesce(~(F.abs(F.col(c).cast("double")) < FAR), F.lit(False))
+    sizes = cut(views.groupBy(scope).agg(F.count("*").alias("n"), F.bool_or(odd).alias("odd")))
+    by_graph = (F.col("n") > whole) | F.col("odd")
+    large = sizes.where(by_graph).select(scope)
+    total = sizes.where(~by_graph).agg(F.sum("n")).first()[0] or 0
+    some = not large.isEmpty()
+    small = views.join(large.hint("merge"), scope, "left_anti") if some else views
+    kind = {f.name: f.dataType.simpleString() for f in views.schema.fields}
+    schema = f"{scope} {kind[scope]}, view_id {kind['view_id']}, chain {kind['view_id']}, parts long, " + ", ".join(f"{c} {kind[c]}" for c in BOXES[:4])
+    groups = max(1, -(-total // GROUP))
+    out = small.groupBy(F.pmod(F.xxhash64(scope), F.lit(groups)).alias("__group")).applyInPandas(lambda rows: _chains_of(rows, scope, gap_ratio), schema)
+    return out.unionByName(_chains_by_graph(views.join(large.hint("merge"), scope, "left_semi"), scope, gap_ratio)) if some else out
+
+
+def _chains_of(rows: pd.DataFrame, scope: str, gap_ratio: float) -> pd.DataFrame:
+    """The chains of whole scopes."""
+    node = rows.groupby([scope, "view_id"], sort=False).ngroup().to_numpy()
+    root = np.arange(node.max() + 1)
+    pairs = [(node[p], node[q]) for axis in "xy" for p, q in _neighbours(rows, scope, axis, gap_ratio)]
+    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, int) for k in (0, 1))
+    while (root[a] != root[b]).any():
+        one, two = root[a], root[b]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+    chains = rows.groupby(root[node], sort=False)
+    return pd.DataFrame({scope: rows[scope], "view_id": rows["view_id"], "chain": chains["view_id"].transform("min"), "parts": np.bincount(root)[root[node]],
+                         **{c: chains[c].transform(f) for c, f in zip(BOXES, ("min", "min", "max", "max"))}})
+
+
+def _neighbours(rows: pd.DataFrame, scope: str, axis: str, gap_ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of neighbours along an axis, as ``fragment_edges`` finds them, in blocks of about PAIRS pairs that share a cell. Equal hashes of different cells only add pairs to compare."""
+    a, c = (axis, "y" if axis == "x" else "x")
+    v = {k: rows[k].to_numpy(float) for k in ("scale", *BOXES)}
+    sound = (v["scale"] > 0) & (v["x0"] < v["x1"]) & (v["y0"] < v["y1"]) & (v["mx0"] < v["mx1"]) & (v["my0"] < v["my1"])
+    at = np.flatnonzero(sound)
+    sheet, scale = pd.factorize(rows[scope])[0][at], v["scale"][at]
+    lo, hi, c0, c1, mlo, mhi, mc0, mc1 = (v[k][at] for k in (f"{a}0", f"{a}1", f"{c}0", f"{c}1", f"m{a}0", f"m{a}1", f"m{c}0", f"m{c}1"))
+    edge = c1 - c0
+    slack = np.maximum(LEAST, edge * PART) * 1.01
+    one, two = [], []
+    with np.errstate(all="ignore"):
+        sizes = [np.floor(np.log2(edge + s * slack * 2)) for s in (-1, 1)]
+        for n, size in enumerate(sizes):
+            unit = 2.0**size
+            levels = [np.floor((c0 + s * slack) / unit) for s in (-1, 1)]
+            for k, level in enumerate(levels):
+                own = np.flatnonzero(np.isfinite(size) & ((size != sizes[0]) if n else True) & ((level != levels[0]) if k else True))
+                for ends, step, to in ((hi, 0, one), (hi, 1, one), (lo, 0, two)):
+                    cell = np.floor(ends[own] / (unit[own] * (2.02 * gap_ratio))) + step
+                    key = sum(x.astype(np.int64).astype(np.uint64) * np.uint64(m) for x, m in zip((sheet[own], size[own], level[own], cell), _MIX))
+                    to.append((key, own))
+    (p_key, p), (q_key, q) = (tuple(np.concatenate(x) for x in zip(*s)) for s in (one, two))
+    order = np.argsort(q_key)
+    q_key, q = q_key[order], q[order]
+    first = np.searchsorted(q_key, p_key, "left")
+    count = np.searchsorted(q_key, p_key, "right") - first
+    ends, start = np.cumsum(count), 0
+    while start < len(p):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        n = count[start:stop]
+        i = np.repeat(p[start:stop], n)
+        j = q[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[start:stop], n)]
+        across, larger = np.minimum(edge[i], edge[j]), np.maximum(scale[i], scale[j])
+        near = np.maximum(LEAST, across * PART)
+        gap, model_gap, model_near = lo[j] - hi[i], mlo[j] - mhi[i], near / scale[i]
+        good = (sheet[i] == sheet[j]) & (gap > near) & (gap <= gap_ratio * across) & (np.abs(c0[i] - c0[j]) <= near) & (np.abs(c1[i] - c1[j]) <= near) & (np.abs(scale[i] - scale[j]) <= 1e-7 * larger)
+        good &= (np.abs(mc0[i] - mc0[j]) <= model_near) & (np.abs(mc1[i] - mc1[j]) <= model_near) & (model_gap > model_near)
+        yield at[i[good]], at[j[good]]
+        start = stop
+
+
+def _chains_by_graph(views: DataFrame, scope: str, gap_ratio: float) -> DataFrame:
+    """The same by components of a graph, for scopes of any size."""
     edges = fragment_edges(views, scope, gap_ratio)
     node = lambda c: F.xxhash64(F.lit("view"), scope, c)
     roots = connected_components(edges.select(node("first").alias("a"), node("second").alias("b")))
@@ -96,10 +186,6 @@ def titled_chains(views: DataFrame, titles: DataFrame, scope: str, gap_ratio: fl
     return unique_assignment(chain_titles(view_chains(views, scope, gap_ratio), titles, scope, cell), scope, "chain", "title_id")
 
 
-#: Segments of a scope whose faces one task finds at once, and of a group of such scopes.
-WHOLE, GROUP = 50_000, 100_000
-
-
 def outline_faces(segments: DataFrame, scope: str, step: float = 1e-4, whole: int = WHOLE) -> DataFrame:
     """V2: each side of each segment (scope, segment_id, forward) with its face, its twin's face (``other``), its turn's ends (ax, ay, bx, by) and its ``twin`` and ``after`` sides.
 

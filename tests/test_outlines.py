@@ -139,3 +139,21 @@ def test_faces_of_whole_scopes_equal_those_of_the_graph(spark):
     segments = spark.createDataFrame([(s, i, *map(float, xy)) for s, i, *xy in lines], "s int, segment_id int, x0 double, y0 double, x1 double, y1 double")
     rows = [sorted(map(tuple, viewports.outline_faces(segments, "s", whole=whole).select("s", "segment_id", "forward", "face", "other", "side", "twin", "after", "ax", "by").collect())) for whole in (0, 50_000)]
     assert rows[0] == rows[1] and len(rows[0]) == 42
+
+
+def test_chains_of_whole_sheets_are_those_of_the_graph(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(600):
+        x, y, scale = rng.randrange(6) * 104.0, rng.randrange(6) * 83.0, rng.choice((0.1, 0.1, 0.2))
+        jitter = rng.choice((0.0, 0.0, 4e-6, 1.0))
+        mx, my = x * 15, y * 11
+        rows.append((k % 7, k if k % 50 else k + 1, scale, x + jitter, y, x + 100.0, y + 80.0, mx, my, mx + 1000.0, my + 800.0))
+    rows += [(1, 1000, 0.1, None, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0), (2, 1001, 0.1, 5.0, 5.0, 5.0, 5.0, 0.0, 0.0, 1.0, 1.0), (None, 1002, 0.1, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0), (3, 1003, 0.1, float("nan"), 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0)]
+    views = spark.createDataFrame(rows, "sheet long, view_id long, scale double, x0 double, y0 double, x1 double, y1 double, mx0 double, my0 double, mx1 double, my1 double")
+    many = viewports.view_chains(views, "sheet")
+    assert "FlatMapGroupsInPandas" in many._jdf.queryExecution().executedPlan().toString()
+    listed = lambda df: sorted(map(str, df.collect()))
+    found = listed(many)
+    assert found == listed(viewports.view_chains(views, "sheet", whole=0))
+    assert len(found) == 603 and max(r["parts"] for r in many.collect()) > 5
