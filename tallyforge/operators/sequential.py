@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.operators.graphs import connected_components
+from tallyforge.plans.checkpoints import cut
 
 
 def _by_scope(rows: DataFrame, keys: list[str], order: str, solve: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -172,25 +173,60 @@ def round_robin(rows: DataFrame, scope: str, pool: str, item: str, order: str, c
     return pools.groupBy(scope).applyInPandas(take, f"{scope} {kind(scope)}, {item} {kind(item)}, {pool} {kind(pool)}, turn int")
 
 
-def unique_assignment(pairs: DataFrame, scope: str, left: str, right: str) -> DataFrame:
+#: Pairs of a scope whose components one task finds at once.
+WHOLE = 50_000
+
+
+def unique_assignment(pairs: DataFrame, scope: str, left: str, right: str, whole: int = WHOLE) -> DataFrame:
     """Per connected component of a scope's allowed pairs its one complete assignment of left rows to right rows.
 
     A component whose sides differ in number is ``unequal``, one with several complete assignments ``ambiguous``, one without any ``none``;
-    they have one row without a pair. A ``unique`` one has a row for each pair. ``component`` is its least left row. Components are found as a graph;
-    each is one group: what hangs together in one drawing. Pairs with nulls are left out, repeated pairs count once.
+    they have one row without a pair. A ``unique`` one has a row for each pair. ``component`` is its least left row. Scopes of up to ``whole`` pairs are
+    taken from one sorted stream a task, one at a time; components of larger ones are found as a graph, and each is one group: what hangs together
+    in one drawing. Pairs with nulls are left out, repeated pairs count once.
     """
-    own = pairs.select(scope, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct()
-    ends = own.withColumns({"__a": F.xxhash64(F.lit("l"), scope, left), "__b": F.xxhash64(F.lit("r"), scope, right)})
-    roots = connected_components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
-    rooted = ends.join(roots.select(F.col("node").alias("__a"), F.col("root").alias("__root")), "__a").select("__root", scope, left, right)
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        state, found = _assignment(list(zip(group[left], group[right])))
-        least = group[left].min()
-        return pd.DataFrame([(group[scope].iloc[0], least, state, a, b) for a, b in found or [(None, None)]], columns=[scope, "component", "state", left, right]).astype({left: object, right: object})
-
+    own = cut(pairs.select(scope, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct())
     kind = lambda c: pairs.schema[c].dataType.simpleString()
-    return rooted.groupBy("__root").applyInPandas(assign, f"{scope} {kind(scope)}, component {kind(left)}, state string, {left} {kind(left)}, {right} {kind(right)}")
+    schema = f"{scope} {kind(scope)}, component {kind(left)}, state string, {left} {kind(left)}, {right} {kind(right)}"
+
+    def assign(rows: list[dict]) -> list[dict]:
+        state, found = _assignment([(r[left], r[right]) for r in rows])
+        least = min(r[left] for r in rows)
+        return [{scope: rows[0][scope], "component": least, "state": state, left: a, right: b} for a, b in found or [(None, None)]]
+
+    def solve(rows: list[dict]) -> list[dict]:
+        return [out for part in _parts(rows, left, right) for out in assign(part)]
+
+    # by a hash, so that a null scope may be large too; scopes of one hash go one way
+    own = own.withColumn("__s", F.xxhash64(scope))
+    large = cut(own.groupBy("__s").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("__s"))
+    some = not large.isEmpty()
+    small = own.join(large.hint("merge"), "__s", "left_anti") if some else own
+    out = _by_scope(small, [scope], left, solve, schema)
+    if not some:
+        return out
+    ends = own.join(large.hint("merge"), "__s", "left_semi").withColumns({"__a": F.xxhash64(F.lit("l"), scope, left), "__b": F.xxhash64(F.lit("r"), scope, right)})
+    roots = connected_components(ends.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    rooted = ends.join(roots.select(F.col("node").alias("__a"), F.col("root").alias("__root")).hint("merge"), "__a").select("__root", scope, left, right)
+    return out.unionByName(_by_scope(rooted, ["__root"], left, assign, schema))
+
+
+def _parts(rows: list[dict], left: str, right: str) -> list[list[dict]]:
+    """The rows of each connected component."""
+    root: dict = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for r in rows:
+        root[find((0, r[left]))] = find((1, r[right]))
+    parts: dict = {}
+    for r in rows:
+        parts.setdefault(find((0, r[left])), []).append(r)
+    return list(parts.values())
 
 
 def _assignment(pairs: list[tuple]) -> tuple[str, list[tuple]]:

@@ -102,7 +102,7 @@ def viewport_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On sheets of sixty, those of even numbers with those of odd ones nearby."""
     e = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 60").alias("scope"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
     left, right = e.where("id % 2 = 0").select("scope", F.col("id").alias("a"), "x"), e.where("id % 2 = 1").select("scope", F.col("id").alias("b"), F.col("x").alias("y"))
-    return sequential.unique_assignment(left.join(right, "scope").where("abs(x - y) < 110"), "scope", "a", "b")
+    return sequential.unique_assignment(left.hint("merge").join(right, "scope").where("abs(x - y) < 110"), "scope", "a", "b")
 
 
 @query("""WITH s AS (SELECT p_brand, list_sort([p_size % 9 + 1, 3, p_size % 9 + 1, 3]) AS sides, round(p_retailprice, 2) AS d FROM part),

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import catalog, evidence, pricing, spatial
+from tallyforge.operators import catalog, evidence, pricing, sequential, spatial
 from tallyforge.plans import checkpoints
 from tallyforge.plans.queries import QUERIES
 
@@ -138,3 +138,17 @@ def test_expressions_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypat
     monkeypatch.setattr(checkpoints, "ROWS", 100, raising=False)
     out = QUERIES["safe_arithmetic"](spark, str(tmp_path))
     assert tasks(spark, out) == 7 and sorted(r["derived"] for r in out.collect()) == sorted(2.0 * (i % 50) - 1 for i in range(600))
+
+
+def test_assignments_of_whole_scopes_are_those_of_the_graph(spark):
+    rng = random.Random(9)
+    pairs = [(s, a, b) for s in (1, 2, None) for a in range(60) for b in range(60) if rng.random() < 0.018]
+    pairs += pairs[:20] + [(3, 5, 5), (3, 6, None), (4, 1, 1), (4, 1, 2), (4, 2, 1), (4, 2, 2)]
+    df = spark.createDataFrame(pairs, "s int, l int, r int")
+    listed = lambda out: sorted(map(str, out.collect()))
+    found = sequential.unique_assignment(df, "s", "l", "r")
+    assert not joins(found)
+    assert len(listed(found)) == 40 and len({r["state"] for r in found.collect()}) >= 3
+    assert listed(found) == listed(sequential.unique_assignment(df, "s", "l", "r", whole=0)) == listed(sequential.unique_assignment(df, "s", "l", "r", whole=30))
+    plan = QUERIES["viewport_matching"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
