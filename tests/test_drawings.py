@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallyforge.plans.queries import QUERIES
 from tallyforge.sources import drawings
 
 
@@ -107,3 +108,8 @@ def test_nested_arrays_and_missing_handles(spark):
     (wide,) = [r for r in rows if r["handle"] == "S/P"]
     assert (wide["x0"], wide["x1"], wide["y0"], wide["y1"]) == (-5.0, 5.0, 0.0, 25.0)
     assert len([r for r in rows if r["text"] == "none"]) == 2
+
+
+def test_filters_repeat_no_movement(spark):
+    plan = QUERIES["region_probe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 2  # points and style_points, once each
