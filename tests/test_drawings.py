@@ -113,3 +113,30 @@ def test_nested_arrays_and_missing_handles(spark):
 def test_filters_repeat_no_movement(spark):
     plan = QUERIES["region_probe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(") == 2  # points and style_points, once each
+
+
+def test_blocks_away_from_regions_are_left_out(spark):
+    inner = (0, "LINE", 5, "L", 8, "wall", 10, 1, 20, 0, 11, 3, 21, 1, 0, "CIRCLE", 5, "C", 8, "round", 10, 2, 20, 2, 40, -5, 0, "LWPOLYLINE", 5, "P", 8, "path", *[x for k in range(6) for x in (10, k, 20, k * k)])
+    nested = (0, "ENDBLK", 0, "BLOCK", 2, "N", 10, 2, 20, 1, 0, "INSERT", 5, "I", 8, "in", 2, "B", 10, 4, 20, -3, 41, -2, 50, 30, 0, "POINT", 5, "O", 8, "odd", 10, "nan", 20, 0, 0, "ENDBLK", 0, "ENDSEC")
+    inserts = [x for k in range(60) for x in (0, "INSERT", 5, f"X{k}", 8, "view", 2, "BN"[k % 2], 10, 37 * k % 400, 20, 53 * k % 300, 41, k % 3 + 1, 42, -(k % 4) - 1, 50, 25 * k, 230, 1 - 2 * (k % 5 == 0))]
+    content = bytearray(dxf(*inserts, head=(0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "B", 10, 1, 20, 0, *inner, *nested)))
+    files = spark.createDataFrame([("f", content), ("g", content)], "path string, content binary")
+    regions = spark.createDataFrame([(k, "f", 40.0 * k, 30.0 * k, 40.0 * k + 25, 30.0 * k + 20) for k in range(3)], "region int, path string, x0 double, y0 double, x1 double, y1 double")
+    whole, near = drawings.drawing_entities(files).cache(), drawings.drawing_entities(files, regions=regions).cache()
+    found = [sorted(map(tuple, drawings.probe_regions(df, regions, 50.0).collect())) for df in (whole, near)]
+    assert found[0] == found[1] and all(n > 0 for _, n, _, _ in found[0])
+    assert near.where("level > 0 and path = 'f'").count() < whole.where("level > 0 and path = 'f'").count() / 2 and near.where("level > 0 and path = 'g'").isEmpty()
+
+
+def test_filters_repeat_no_boxes(spark):
+    plan = QUERIES["region_probe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "array_m" in line for line in plan.split("\n"))
+
+
+def test_stretches_cut_no_record(monkeypatch):
+    content = dxf(*texts("one", "żółw", "\\U+4E0D"), 0, "LWPOLYLINE", *[x for k in range(40) for x in (10, k, 20, 2 * k)], end="\r\n")
+    whole = list(drawings._records("f", content))
+    assert len(whole) == 4 and whole[3][1] == 40 and [r[7] for r, _ in whole[:3]] == ["one", "żółw", "不"]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(drawings, "CHUNK", size)
+        assert list(drawings._records("f", content)) == whole
