@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.plans.checkpoints import cut
@@ -12,11 +12,14 @@ from tallyforge.plans.checkpoints import cut
 HUB = 100_000
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
     """``edges`` (u, v) with ``m``, the least v of their u: a grouped minimum, joined back; to the edges of hubs by broadcast, so that none of them is gathered in one task.
 
+    ``few`` says that there are at most HUB edges, so that no node can be a hub: then it is a window, in one shuffle and no job of its own.
     The joins are merge joins by hint: Spark takes what an explode made of a narrow table for as small as that table, and would broadcast all minima.
     """
+    if few:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
     hubs = least.where(F.col("n") > HUB).select("u", "m")
     if hubs.isEmpty():
@@ -29,7 +32,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long): root is the least node of its component.
 
-    Each step replaces every edge by one from its far end to the least neighbour of its near end; the result of a step is checkpointed.
+    Each step replaces every edge by one from its far end to the least neighbour of its near end; the result of a step is checkpointed, so a graph without hubs takes two executions a step.
     Neither the grouped minima nor the joins gather a hub in one task.
     Loops, repeated edges and nulls are allowed: a loop gives (node, node), an edge with a null is ignored.
     """
@@ -39,10 +42,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        small = _with_least(large)
-        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        few = 2 * mark[0] <= HUB
+        large = _with_least(both, few).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_least(large if few else cut(large.distinct()), few)
+        moved = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        links = cut(moved.where("u <> v").distinct())
         now = _mark(links)
         if now == mark:
             break
