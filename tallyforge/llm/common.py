@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyforge.plans.checkpoints import checkpoint_root, cut
 
-__all__ = ["bound_batches", "blocks", "cut", "if_few", "labelled_sample", "shared_folder", "sieved", "stored", "table", "texts_of_sample", "with_arrow", "word_count"]
+__all__ = ["bound_batches", "blocks", "cut", "few", "if_few", "if_small", "labelled_sample", "shared_folder", "sieve_bits", "sieved", "stored", "table", "texts_of_sample", "with_arrow", "word_count"]
 
 #: Text bytes that one numpy or Python step holds at a time inside a task.
 BLOCK_BYTES = 1 << 19
@@ -82,8 +82,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Narrow rows that may be broadcast after a count.
-FEW = 500_000
+#: Narrow rows that may be broadcast after a count: the driver collects them, makes a hashed table of them and keeps its blocks, about 25 MB in all.
+FEW = 100_000
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
@@ -91,6 +91,15 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def few(rows: int) -> bool:
+    return rows <= FEW
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if ``rows``, a bound of its rows that is known without another count, is few."""
+    return F.broadcast(df) if few(rows) else df
+
+
 def labelled_sample(labels: DataFrame, label: str, sample: int, seed: int) -> tuple[DataFrame | None, dict[int, int]]:
     """(doc_id, y) of about ``sample`` ids of each label, 0 and 1, or of all there are, chosen by a seeded hash of the id, and how many ids each label has; None without both labels."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -107,8 +116,13 @@ def texts_of_sample(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-#: Bits of a sieve: 32 MB as a broadcast table, at any size of the input.
-SIEVE_BITS = 1 << 28
+#: Bits of a sieve at most: 8 MB as a broadcast table at any size of the input, of which the driver holds several copies while it is made. Bits for each key below that.
+SIEVE_BITS, SIEVE_SHARE = 1 << 26, 64
+
+
+def sieve_bits(keys: int) -> int:
+    """Bits of a sieve for so many keys: one in SIEVE_SHARE of the other rows or fewer passes it, and more only beyond the sieve's own bound; the exact join drops those."""
+    return min(SIEVE_BITS, max(1 << 15, 1 << (SIEVE_SHARE * keys).bit_length()))
 
 
 def sieved(df: DataFrame, columns: list[str | F.Column], keys: DataFrame, names: list[str], out: str = "__maybe", bits: int = SIEVE_BITS) -> DataFrame:

@@ -150,7 +150,7 @@ def scan_licenses(df: DataFrame, known: DataFrame | list[tuple[str, str, str]] |
     rows = cut(rows)
     lines = rows.where(F.size("line_digests") > 0).select("doc_id", "__th", F.explode("line_digests").alias("line_digest")).distinct()
     named = lines.join(of("notice", "line_digest", "__notice"), "line_digest").groupBy("doc_id", "__th").agg(F.array_sort(F.collect_set("__notice")).alias("notices"))
-    named = if_few(cut(named.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "notices")))
+    named = if_few(cut(named.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "notices")), 500_000)
     out = rows.join(of("text", "text_digest", "__one"), "text_digest", "left").join(of("text", "other_digest", "__two"), "other_digest", "left")
     out = out.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     return out.select("doc_id", "text_digest", F.coalesce("__one", "__two").alias("license"), F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

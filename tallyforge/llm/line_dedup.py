@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, bound_batches, cut, if_few, sieved, stored
+from tallyforge.llm.common import blocks, bound_batches, cut, if_few, if_small, sieve_bits, sieved, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 5
 
@@ -119,8 +119,9 @@ def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     near = keyed.join(if_few(shared), "key", "left_semi").groupBy("h1", "h2")
     place = [F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"), F.min_by("line", "doc_id").alias("line")]
     near = cut(near.agg(*place, F.bool_or(~F.col("first_half")).alias("head"), F.bool_or("first_half").alias("tail")).drop("h1", "h2"))
-    likely = sieved(docs, ["doc_id", "th"], near, ["doc_id", "th"]).where("__maybe").drop("__maybe")
-    texts = likely.join(if_few(near), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
+    n = near.count()
+    likely = sieved(docs, ["doc_id", "th"], near, ["doc_id", "th"], bits=sieve_bits(n)).where("__maybe").drop("__maybe")
+    texts = likely.join(if_small(near, n), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
     texts = cut(texts.distinct())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +169,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     gone = exact.select("doc_id", "th", "line").unionByName(lines.where("again").select("doc_id", "th", "line")).unionByName(near_lines(lines, docs))
     gone = cut(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("__gone")))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), "__gone")
-    marked = sieved(hashed.withColumn("__i", F.col(doc_id).cast("long")), ["__i", "__th"], gone, ["__id", "__h"])
+    n = gone.count()
+    marked = sieved(hashed.withColumn("__i", F.col(doc_id).cast("long")), ["__i", "__th"], gone, ["__id", "__h"], bits=sieve_bits(n))
     met = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
-    likely = marked.where("__maybe").join(if_few(gone), met, "left")
+    likely = marked.where("__maybe").join(if_small(gone, n), met, "left")
     joined = likely.drop("__id", "__h").unionByName(marked.where("not __maybe").withColumn("__gone", F.lit(None).cast("array<int>")))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns if c != "n_dropped"]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut, if_few, with_arrow
+from tallyforge.llm.common import cut, if_small, with_arrow
 from tallyforge.operators.graphs import connected_components
 
 BITS = 64
@@ -217,12 +217,14 @@ def first_of_components(df: DataFrame, groups: DataFrame, doc_id: str, text: str
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("__kept_hash"))
     marked = groups.join(kept, F.col("component_id").eqNullSafe(F.col("__kept")), "left").select("doc_id", "text_hash", F.coalesce(stays, F.lit(False)).alias("__stays"))
     rows = cut(marked.groupBy("doc_id", "text_hash").agg(F.bool_or("__stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"))
+    n_twice, n_gone = rows.agg(F.count_if("__stays"), F.count_if(~F.col("__stays"))).first()
     gone = rows.where("not __stays").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
     own = F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__gone_hash"))
-    left = df.join(if_few(gone), own, "left_anti")
-    if rows.where("__stays").isEmpty():
+    left = df.join(if_small(gone, n_gone), own, "left_anti")
+    if not n_twice:
         return left
     # rows of one id and text: one of them stays, and only they are grouped
     twice = rows.where("__stays").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash"))
-    once, several = left.join(if_few(twice), own, "left_anti"), left.join(if_few(twice), own, "left_semi")
+    twice = if_small(twice, n_twice)
+    once, several = left.join(twice, own, "left_anti"), left.join(twice, own, "left_semi")
     return once.unionByName(several.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, "__hash"]).drop("__hash"))
