@@ -91,13 +91,13 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def few(rows: int) -> bool:
-    return rows <= FEW
+def few(rows: int, times: int = 1) -> bool:
+    return rows <= times * FEW
 
 
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if ``rows``, a bound of its rows that is known without another count, is few."""
-    return F.broadcast(df) if few(rows) else df
+def if_small(df: DataFrame, rows: int, times: int = 1) -> DataFrame:
+    """``df`` marked for broadcast if ``rows``, a bound of its rows that is known without another count, is few; ``times`` as many where texts would be shuffled else."""
+    return F.broadcast(df) if few(rows, times) else df
 
 
 def labelled_sample(labels: DataFrame, label: str, sample: int, seed: int) -> tuple[DataFrame | None, dict[int, int]]:

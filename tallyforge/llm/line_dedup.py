@@ -26,6 +26,9 @@ from tallyforge.llm.common import blocks, bound_batches, cut, if_few, if_small,
 
 MIN_WORDS, NEAR_WORDS = 3, 5
 
+#: Tables that whole texts are joined to may be broadcast with so many times the usual rows: shuffled texts are most of what a disk would hold.
+TEXTS = 5
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -121,7 +124,7 @@ def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     near = cut(near.agg(*place, F.bool_or(~F.col("first_half")).alias("head"), F.bool_or("first_half").alias("tail")).drop("h1", "h2"))
     n = near.count()
     likely = sieved(docs, ["doc_id", "th"], near, ["doc_id", "th"], bits=sieve_bits(n)).where("__maybe").drop("__maybe")
-    texts = likely.join(if_small(near, n), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
+    texts = likely.join(if_small(near, n, TEXTS), ["doc_id", "th"]).select("doc_id", "th", "line", "head", "tail", F.get(F.split("text", "\n"), F.col("line")).alias("words"))
     texts = cut(texts.distinct())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     n = gone.count()
     marked = sieved(hashed.withColumn("__i", F.col(doc_id).cast("long")), ["__i", "__th"], gone, ["__id", "__h"], bits=sieve_bits(n))
     met = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
-    likely = marked.where("__maybe").join(if_small(gone, n), met, "left")
+    likely = marked.where("__maybe").join(if_small(gone, n, TEXTS), met, "left")
     joined = likely.drop("__id", "__h").unionByName(marked.where("not __maybe").withColumn("__gone", F.lit(None).cast("array<int>")))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     columns = [F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns if c != "n_dropped"]
